@@ -7,6 +7,8 @@ character classes (``U``) and ``\\n`` as the only line terminator (``d``).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,16 +100,34 @@ def first_match(text: Column, pattern: str, group: int = 0) -> Column:
 
     ``rlike`` stops at the first hit, so a text without one costs one scan.
     """
-    position = F.regexp_instr(text, F.lit(pattern))
     return F.when(
         text.rlike(pattern),
-        F.struct(
-            (newline_count(F.substr(text, F.lit(1), position - 1)) + 1).alias("line"),
-            F.regexp_extract(text, pattern, group).alias("value"),
-        ),
+        F.struct(first_line(text, pattern).alias("line"), F.regexp_extract(text, pattern, group).alias("value")),
     )
 
 
+def first_line(text: Column, pattern: str) -> Column:
+    """Line of the first match; the text must have one."""
+    return newline_count(F.element_at(F.split(text, pattern, 2), 1)) + 1
+
+
+def fold(text: Column) -> Column:
+    """Lower case, with the two letters that only case-insensitive matching equates."""
+    return F.translate(F.lower(text), "\u017f\u212a", "sk")
+
+
+def literal_core(pattern: str) -> str | None:
+    """The literal behind ``\\bword\\b`` or a plain literal pattern, lower-cased."""
+    core = pattern.removeprefix(r"\b").removesuffix(r"\b")
+    return core.lower() if re.fullmatch(r"[\w@/ -]+", core) else None
+
+
+def may_match(folded: Column, patterns: tuple[str, ...]) -> Column:
+    """Necessary condition for any of the case-insensitive patterns: a cheap substring test."""
+    cores = [literal_core(p) for p in patterns]
+    return F.lit(True) if None in cores else contains_any(folded, cores)
+
+
 def match_all(df: DataFrame, text: str, pattern: str, groups: dict[str, int]) -> DataFrame:
     """Explode :func:`matches` into rows: ``n`` (0-based), ``line`` and the groups."""
     kept = [c for c in df.columns if c != text]

@@ -67,13 +67,13 @@ def mention_vocabulary(files: DataFrame, units: list[str]) -> DataFrame:
     searching the files; ``low`` and ``high`` tell whether a file with another
     stem holds the unit. Equal units fold map-side.
     """
-    text = F.col("content")
-    arrays = []
-    for unit in units:
-        found = F.array_distinct(F.regexp_extract_all(text, F.lit(UNITS[unit]), F.lit(0)))
+    def cut(unit: str) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(F.col("content"), F.lit(UNITS[unit]), F.lit(0)))
         if unit != "word":
             found = F.filter(found, lambda v: v.rlike(r"\W"))
-        arrays.append(F.transform(found, lambda v, u=unit: F.struct(F.lit(u).alias("unit"), v.alias("value"))))
+        return F.transform(found, lambda v: F.struct(F.lit(unit).alias("unit"), v.alias("value")))
+
+    arrays = [cut(unit) for unit in units]
     readable = files.where(F.col("text") & (F.col("size") <= dims.MAX_MENTION_BYTES))
     exploded = readable.select(
         "repo", paths.stem_of(F.col("path")).alias("stem"),

@@ -155,8 +155,7 @@ def python_outline(files: DataFrame, limit: int = 60) -> DataFrame:
     from fleetlens.operators.extract import signal_items
     from fleetlens.sources.corpus import analysis_scope
 
-    wanted, _, items = signal_items(
-        F.col("content"), F.col("language"), ("py_classes", "py_functions", "py_imports"))
+    wanted, _, items = signal_items(("py_classes", "py_functions", "py_imports"))
 
     def names(kind: str, mark: str, cap: int) -> Column:
         found = F.transform(F.filter(F.col("items"), lambda s: s["kind"] == kind), lambda s: s["value"])
@@ -177,7 +176,7 @@ def component_outline(files: DataFrame, limit: int = 60) -> DataFrame:
     from fleetlens.operators.extract import signal_items
     from fleetlens.sources.corpus import analysis_scope
 
-    wanted, _, items = signal_items(F.col("content"), F.col("language"), ("js_components",))
+    wanted, _, items = signal_items(("js_components",))
     read = analysis_scope(files).where(wanted).select("repo", F.col("path").alias("file"), items.alias("items"))
     names = F.array_join(F.slice(F.transform("items", lambda s: s["value"]), 1, 15), ",")
     outlined = read.where(F.size("items") > 0).select(

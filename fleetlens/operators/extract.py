@@ -11,13 +11,14 @@ do not parse still report, and import-like lines inside strings do too.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens import dims
-from fleetlens.functions.text import blank_to_null, first_match, matches, rx, strip, strip_fence
+from fleetlens.functions.text import blank_to_null, first_line, fold, matches, may_match, rx, strip, strip_fence
 from fleetlens.sources.corpus import analysis_scope
 
 ITEM = "array<struct<kind:string,value:string,method:string,line:int>>"
@@ -160,8 +161,13 @@ LANGUAGES_OF = {
 }
 
 
-def signal_items(content: Column, language: Column, names: tuple[str, ...]) -> tuple[Column, Column, Column]:
-    """(language filter, lang label, array of items) for the chosen extractors."""
+@cache
+def signal_items(names: tuple[str, ...]) -> tuple[Column, Column, Column]:
+    """(language filter, lang label, array of items) over ``content`` and ``language``.
+
+    Expressions are unresolved, so one build serves every DataFrame.
+    """
+    content, language = F.col("content"), F.col("language")
     by_lang: dict[str, list[Column]] = {}
     for name in names:
         extractor = EXTRACTORS[name]
@@ -183,7 +189,7 @@ def signals(files: DataFrame, *names: str) -> DataFrame:
     ``content`` is looked at.
     """
     chosen = names or tuple(EXTRACTORS)
-    wanted, label, items = signal_items(F.col("content"), F.col("language"), chosen)
+    wanted, label, items = signal_items(chosen)
     scoped = analysis_scope(files).where(wanted)
     exploded = scoped.select(
         "repo", F.col("path").alias("file"), label.alias("lang"), "third_party", F.explode(items).alias("s")
@@ -237,30 +243,30 @@ def html_assets(files: DataFrame, needles=dims.ASSET_TO_TECH, tags: str = "scrip
 
 # --- mentions ---------------------------------------------------------------
 
-def mention_items(content: Column, patterns=dims.TECHNOLOGY_PATTERNS) -> Column:
-    """array<struct<tech, line, pattern>>: first match of each pattern.
+def mention_items(content: Column, folded: Column, patterns=dims.TECHNOLOGY_PATTERNS) -> Column:
+    """array<struct<tech, line, pattern>>: first match of each pattern, null where there is none.
 
-    One alternation of everything is tried first, so a file that mentions
-    nothing costs a single scan.
+    ``folded`` is ``fold(content)``; a substring test on it spares the pattern
+    search for most files.
     """
-    flat = [(tech, p) for tech, ps in patterns.items() for p in ps]
-    any_hit = content.rlike(rx("|".join(p for _, p in flat), "i"))
     hits = []
-    for tech, p in flat:
-        hit = first_match(content, rx(p, "i"))
-        hits.append(F.when(hit.isNotNull(), F.struct(
-            F.lit(tech).alias("tech"), hit["line"].alias("line"), F.lit(p).alias("pattern"))))
-    return F.when(any_hit, F.array_compact(F.array(*hits)))
+    for tech, alternatives in patterns.items():
+        for p in alternatives:
+            pattern = rx(p, "i")
+            hits.append(F.when(may_match(folded, (p,)) & content.rlike(pattern), F.struct(
+                F.lit(tech).alias("tech"), first_line(content, pattern).alias("line"), F.lit(p).alias("pattern"))))
+    return F.array(*hits)
 
 
 def mention_rows(files: DataFrame, patterns=dims.TECHNOLOGY_PATTERNS) -> DataFrame:
     """(repo, tech, file, line, pattern, weight): one row per file and pattern that matches."""
     weight = F.when(F.col("name").isin(*dims.PRIORITY_FILES), F.lit(10)).otherwise(F.lit(1))
-    exploded = analysis_scope(files).select(
+    scoped = analysis_scope(files).withColumn("_folded", fold(F.col("content")))
+    exploded = scoped.select(
         "repo", F.col("path").alias("file"), weight.alias("weight"),
-        F.explode(mention_items(F.col("content"), patterns)).alias("m"),
+        F.explode(mention_items(F.col("content"), F.col("_folded"), patterns)).alias("m"),
     )
-    return exploded.select("repo", "m.tech", "file", "m.line", "m.pattern", "weight")
+    return exploded.where("m is not null").select("repo", "m.tech", "file", "m.line", "m.pattern", "weight")
 
 
 # --- documents --------------------------------------------------------------

@@ -44,12 +44,11 @@ def fingerprint_parts(
 
 def _canonical(items: Column) -> Column:
     """JSON with alphabetical keys and sorted lists, duplicates kept."""
-    fields = []
-    for name in PARTS:
-        chosen = F.filter(items, lambda s, name=name: s["part"] == name)
-        repeated = F.flatten(F.transform(chosen, lambda s: F.array_repeat(s["entry"], s["n"].cast("int"))))
-        fields.append(repeated.alias(name))
-    return F.to_json(F.struct(*fields))
+    def entries(name: str) -> Column:
+        chosen = F.filter(items, lambda s: s["part"] == name)
+        return F.flatten(F.transform(chosen, lambda s: F.array_repeat(s["entry"], s["n"].cast("int"))))
+
+    return F.to_json(F.struct(*[entries(name).alias(name) for name in PARTS]))
 
 
 def fingerprint(parts: DataFrame, max_entries: int = 200_000) -> DataFrame:

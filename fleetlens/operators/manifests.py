@@ -30,13 +30,12 @@ def _quoted_line(content: Column, key: Column) -> Column:
 
 
 def npm_items(content: Column, parsed: Column) -> Column:
-    arrays = [
-        F.transform(_entries(parsed[section]), lambda e, s=section: F.struct(
-            e["key"].alias("name"), e["value"].alias("version"), F.lit(s).alias("section"),
+    def read(section: str) -> Column:
+        return F.transform(_entries(parsed[section]), lambda e: F.struct(
+            e["key"].alias("name"), e["value"].alias("version"), F.lit(section).alias("section"),
             _quoted_line(content, e["key"]).alias("line")))
-        for section in NPM_SECTIONS
-    ]
-    return F.concat(*arrays).cast(DEPENDENCIES)
+
+    return F.concat(*[read(s) for s in NPM_SECTIONS]).cast(DEPENDENCIES)
 
 
 def npm_script_items(content: Column, parsed: Column) -> Column:

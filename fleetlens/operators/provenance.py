@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens import dims
 from fleetlens.functions import paths
-from fleetlens.functions.text import first_match, lookup, rx, strip
+from fleetlens.functions.text import contains_any, first_line, fold, lookup, rx, strip
 from fleetlens.operators.extract import asset_items, mention_items, mention_rows, signal_items
 from fleetlens.operators.manifests import dependency_items, is_manifest
 from fleetlens.operators.ranking import top_n
@@ -50,6 +52,7 @@ def _or_empty(items: Column) -> Column:
     return F.coalesce(items.cast(ITEM), F.array().cast(ITEM))
 
 
+@cache
 def declared_items() -> Column:
     """Technologies one own manifest declares, plus the presence rule."""
     name, path, content = F.col("name"), F.col("path"), F.col("content")
@@ -64,22 +67,25 @@ def declared_items() -> Column:
     return _or_empty(F.when(own, F.concat(_or_empty(named), _or_empty(present))))
 
 
+@cache
 def imported_items() -> Column:
-    wanted, _, items = signal_items(F.col("content"), F.col("language"), ("py_imports", "js_imports"))
+    wanted, _, items = signal_items(("py_imports", "js_imports"))
     scoped = wanted & F.col("text") & (F.col("size") <= dims.MAX_ANALYSIS_BYTES)
     shaped = F.transform(items, lambda s: _item(tech_for(s["value"]), "imported", s["line"], s["value"]))
     return _or_empty(F.when(scoped, shaped))
 
 
+@cache
 def vendored_items() -> Column:
     shaped = F.transform(asset_items(F.col("content")), lambda a: _item(
         a["tech"], "vendored", a["line"], a["asset"]))
     return _or_empty(F.when(F.col("language") == "HTML", shaped))
 
 
+@cache
 def mentioned_items() -> Column:
     scoped = F.col("text") & (F.col("size") <= dims.MAX_ANALYSIS_BYTES)
-    shaped = F.transform(mention_items(F.col("content")), lambda m: _item(
+    shaped = F.transform(mention_items(F.col("content"), F.col("_folded")), lambda m: _item(
         m["tech"], "mentioned", m["line"], m["pattern"]))
     return _or_empty(F.when(scoped, shaped))
 
@@ -93,7 +99,7 @@ def technology_evidence(files: DataFrame, *provenances: str) -> DataFrame:
     arrays = [makers[p]() for p in (provenances or dims.PROVENANCE_ORDER)]
     joined = F.concat(*arrays) if len(arrays) > 1 else arrays[0]
     known = F.filter(joined, lambda i: i["tech"].isNotNull())
-    exploded = files.select(
+    exploded = files.withColumn("_folded", fold(F.col("content"))).select(
         "repo", F.col("path").alias("file"), paths.depth_of(F.col("path")).alias("depth"), "third_party",
         F.explode(known).alias("i"),
     )
@@ -180,15 +186,18 @@ def capability_hits(files: DataFrame, keywords=dims.CAPABILITY_KEYWORDS) -> Data
         F.col("text") & (F.col("size") <= dims.MAX_CAPABILITY_BYTES)
         & ~F.col("path").rlike(rx(dims.CAPABILITY_EXCLUDED_PATH, "i"))
     )
+    content = F.col("content")
     hits = []
     for category, words in keywords.items():
-        hit = first_match(F.col("content"), keyword_pattern(words))
-        hits.append(F.when(hit.isNotNull(), F.struct(
-            F.lit(category).alias("category"), hit["line"].alias("line"),
-            F.lower(hit["value"]).alias("keyword"))))
-    return scoped.select(
-        "repo", F.col("path").alias("file"), "third_party", F.inline(F.array_compact(F.array(*hits)))
+        pattern = keyword_pattern(words)
+        possible = contains_any(F.col("_folded"), words)
+        hits.append(F.when(possible & content.rlike(pattern), F.struct(
+            F.lit(category).alias("category"), first_line(content, pattern).alias("line"),
+            F.lower(F.regexp_extract(content, pattern, 0)).alias("keyword"))))
+    exploded = scoped.withColumn("_folded", fold(content)).select(
+        "repo", F.col("path").alias("file"), "third_party", F.inline(F.array(*hits))
     )
+    return exploded.where("category is not null")
 
 
 def _categories(value: Column, support: dict[str, tuple[str, ...]]) -> Column:

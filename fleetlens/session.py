@@ -6,6 +6,10 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+# PySpark walks the Python stack for every column expression to name it in
+# errors. The operators build hundreds of expressions, so sessions turn it off.
+CALL_SITES = "spark.python.sql.dataFrameDebugging.enabled"
+
 
 def local_session(app: str = "fleetlens", cores: str = "*", partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
@@ -17,6 +21,7 @@ def local_session(app: str = "fleetlens", cores: str = "*", partitions: int = 8)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config(CALL_SITES, "false")
         .config("spark.driver.memory", "8g")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
