@@ -165,11 +165,11 @@ def normalize_command(command: Column) -> Column:
     return strip(F.regexp_replace(body, rx(f"{SPACE}+"), " "))
 
 
-def strip_fence(text: Column) -> Column:
-    """Drop one outer code fence (bare, md or markdown)."""
+def strip_fence(text: Column, languages: tuple[str, ...] = ("markdown", "md")) -> Column:
+    """Drop one outer code fence, bare or of one of the languages."""
     body = strip(text)
     opened = body.startswith("```")
-    inner = strip(F.regexp_replace(body, r"\A```(?:markdown|md)?", ""))
+    inner = strip(F.regexp_replace(body, rf"\A```(?:{'|'.join(languages)})?", ""))
     closed = strip(F.regexp_replace(inner, r"```\z", ""))
     return F.when(opened, closed).otherwise(body)
 

@@ -207,7 +207,7 @@ def context_digest(
         F.col("path"), F.lit(" ("), F.col("kind"), F.lit(", "), F.size("dependencies").cast("string"),
         F.lit(" deps)"), F.when(F.col("third_party"), " [TERCEROS]").otherwise(""))
     deps = declared_dependencies(manifests)
-    dep_order = ["depth", "file", "line", "name"]
+    dep_order = ["depth", "file", "line", "name", "section"]
     npm = top_n(deps.where("kind = 'npm'"), ["repo"], dep_order, 60)
     python = top_n(deps.where("kind = 'python'"), ["repo"], dep_order, 60)
     dep_name = F.concat(F.col("name"), F.when(F.col("kind") == "npm", "@").otherwise(""),

@@ -298,7 +298,7 @@ def split_sections(responses: DataFrame) -> DataFrame:
 def parse_verdict(responses: DataFrame) -> DataFrame:
     """(repo, verdict, path, reason) from a tolerant JSON answer; invalid gives no rows."""
     entry = "array<struct<ruta:string,porque:string>>"
-    parsed = F.from_json(strip_fence(F.col("text")), f"borrar {entry}, revisar {entry}")
+    parsed = F.from_json(strip_fence(F.col("text"), ("json",)), f"borrar {entry}, revisar {entry}")
 
     def labelled(name: str) -> Column:
         rows = F.coalesce(parsed[name], F.array().cast(entry))

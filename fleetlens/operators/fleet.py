@@ -78,7 +78,7 @@ def repo_card(
 
     version = F.coalesce(F.col("version"), F.lit(""))
     rank = F.col("rank")
-    deps = top_n(declared_dependencies(manifests), ["repo"], ["depth", "file", "line", "name"], 80)
+    deps = top_n(declared_dependencies(manifests), ["repo"], ["depth", "file", "line", "name", "section"], 80)
     parts = [
         field(language_counts(files, 8), "languages", F.concat_ws(":", "language", F.col("n").cast("string")), rank),
         field(conclusive_only(technologies), "technologies", F.concat_ws(":", "tech", "provenance"), F.lit(0)),
