@@ -92,7 +92,7 @@ def merge_blocks(readmes: DataFrame, generated: str = "generated") -> DataFrame:
 
     blocks = F.arrays_zip(
         group(0).alias("whole"), group(1).alias("id"), group(2).alias("sha"), group(3).alias("content"))
-    judged = readmes.select(
+    judged = readmes.where(text.rlike(BEGIN)).select(
         "repo", "text", body.alias("_body"), text_sha12(body).alias("_sha"),
         F.transform(blocks, lambda b: F.struct(
             b["whole"].alias("whole"), b["id"].alias("id"), is_frozen(b).alias("frozen"))).alias("_blocks"),

@@ -93,7 +93,7 @@ FILES = {
         "'# ignorados'", "'node_modules'", "'/tests/fixtures/'", cat("'/data/planilla_'", key(-8), "'.csv'"))),
     14: (f"CASE WHEN {ROOT} THEN 'README.md' ELSE {cat(q('docs/guide_'), K, q('.md'))} END", f"CASE WHEN {BLOCK} % 5 = 4 THEN " + cat("'# '", REPO, NL) + " ELSE " + text(
         cat("'# Guia '", K), "''", "'![insignia](x.svg)'", "'## Descripción'",
-        cat("'Usa React, Flask y probablemente MongoDB con `t_'", mod(60, "(o_orderkey - 12)"), "' y `tabla_x`.'"),
+        cat("'Usa React, Flask y probablemente expressjs con `t_'", mod(60, "(o_orderkey - 12)"), "' y `tabla_x`.'"),
         cat("'La variable `KEY_'", mod(30), "' y OTRA_CLAVE se leen al inicio.'"), "'## Instalación'",
         "'npm install'", "'npm run build            # genera dist'", "'  pip install -r requirements.txt'",
         cat("'python app/mod_'", key(14), "'.py'"), "'## Rutas'",
@@ -106,7 +106,7 @@ FILES = {
         "'{\"name\": \"web\", \"dependencies\": {\"vue\": \"3\", \"leaflet\": \"1.9\"},'",
         "' \"devDependencies\": {\"vue\": \"2\", \"recharts\": \"1\"},'", "' \"scripts\": {\"test\": \"vitest run\"}}'")),
     18: (f"CASE WHEN {ROOT} THEN 'requirements.txt' ELSE {cat(q('app/req_'), K, q('/requirements-dev.txt'))} END", text(
-        "'uvicorn[standard]>=0.2'", "'sqlalchemy'", "'# fin'", cat("'pytest=='", mod(8)))),
+        "'uvicorn[standard]>=0.2'", "'sqlalchemy'", f"CASE WHEN {ROOT} THEN 'scikit-learn' ELSE '# fin' END", cat("'pytest=='", mod(8)))),
     19: (cat("'lib/tool_'", K, "'.py'"), text("'def ayuda():'", "'    return 1'")),
     20: (cat("'app/main_'", K, "'.py'"), f"CASE WHEN {BLOCK} % 2 = 0 THEN " + text(
         cat("'from lib.tool_'", key(1), "' import ayuda'"), "'if __name__ == \"__main__\":'", "'    ayuda()'") + " ELSE " + text(

@@ -17,7 +17,7 @@ from fleetlens.operators import (
 )
 from fleetlens.plans import derived as d
 from fleetlens.session import checkpoint_dir
-from fleetlens.sources import corpus, sinks
+from fleetlens.sources import corpus, sinks, store
 from fleetlens.streaming import gate
 
 SCOPE = "repo_"
@@ -156,6 +156,50 @@ class Inputs:
         return f"{checkpoint_dir(self.spark)}/fleetlens/{name}-{uuid.uuid4().hex}"
 
 
+_STORES: dict[tuple[str, str], store.EvidenceStore] = {}
+
+
+class StoredInputs(Inputs):
+    """Inputs of the queries that start from extracted evidence: landed once per session."""
+
+    @cached_property
+    def evidence(self) -> store.EvidenceStore:
+        landed = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if landed not in _STORES:
+            _STORES[landed] = store.land(self.files, self.scratch("store"))
+        return _STORES[landed]
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        return self.evidence.signals()
+
+    def only(self, *names: str) -> DataFrame:
+        return self.evidence.signals(*names)
+
+    @cached_property
+    def manifests(self) -> DataFrame:
+        return self.evidence.read("manifests")
+
+    @cached_property
+    def technologies(self) -> DataFrame:
+        return provenance.provenance_rank(self.evidence.read("technology_evidence"))
+
+    @cached_property
+    def capabilities(self) -> DataFrame:
+        support = provenance.capability_corroboration(self.technologies, self.dependencies)
+        return provenance.capability_signals(self.evidence.read("capability_hits"), support)
+
+
+# Queries over extracted evidence; all others start from file contents.
+FROM_STORE = {
+    "evidence_sink", "card_sink", "conclusive_only", "normalize_token", "tech_for", "tech_mentioned_only",
+    "capability_corroboration", "orphan_by_import", "verdict_join", "cleanup_summary", "fingerprint", "repo_card",
+    "private_rollup", "run_inventory", "weak_signals", "validation_summary", "context_digest", "candidate_order",
+    "manifest_order", "deletion_candidates", "claims_minus_evidence", "claims_env", "claims_endpoints",
+    "claims_technologies", "claims_tables", "claims_commands", "known_commands", "env_example_rows", "api_doc_rows",
+    "public_view", "inventory_rows",
+}
+
 Query = Callable[[Inputs], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
@@ -524,7 +568,8 @@ def _widen(df: DataFrame) -> DataFrame:
 
 def runner(name: str) -> Callable[[SparkSession, str], DataFrame]:
     build = REGISTRY[name]
-    return lambda spark, sf_dir: _widen(build(Inputs(spark, sf_dir)))
+    inputs = StoredInputs if name in FROM_STORE else Inputs
+    return lambda spark, sf_dir: _widen(build(inputs(spark, sf_dir)))
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
