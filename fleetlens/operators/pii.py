@@ -12,8 +12,10 @@ from fleetlens.operators.ranking import top_n
 
 # The 40 characters before the address (fewer at the start of the text) are
 # captured by a bounded look-behind that is only tried where an address starts.
+# The engine steps back in UTF-16 units, up to two per character, and takes the
+# shortest window that holds 40 characters.
 _ADDRESS = dims.EMAIL.removeprefix(r"\b")
-EMAIL_WITH_PREFIX = rx(rf"\b(?={_ADDRESS})(?<=(\A[\s\S]{{0,39}}|[\s\S]{{40}}))({_ADDRESS})")
+EMAIL_WITH_PREFIX = rx(rf"\b(?={_ADDRESS})(?<=(\A[\s\S]{{0,79}}|[\s\S]{{40,80}}))({_ADDRESS})")
 
 
 def email_items(text: Column, drop_after_colon: bool = True) -> Column:
