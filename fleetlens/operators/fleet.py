@@ -23,29 +23,31 @@ README_FILES = ("README.md", "README", "README.txt")
 def health_facts(files: DataFrame) -> DataFrame:
     """One row per repository of checkable facts: a single partial aggregate.
 
-    The title test runs inside the README row, so texts never reach the shuffle.
+    All facts but the title come from a scan of paths and sizes; contents are
+    read only behind the pushed filter on the README paths, and the title test
+    runs inside that row, so texts never reach the shuffle.
     """
     path, name = F.col("path"), F.col("name")
-    root_readme = path.isin(*README_FILES) & (F.col("content") != "")
-    summary = F.when(root_readme, summary_items(F.col("content")))
+    summary = summary_items(F.col("content"))
     first_line = F.regexp_replace(F.lower(strip(F.try_element_at(summary, F.lit(1)))), r"\A[# ]+", "")
     title_only = (F.size(summary) == 0) | ((F.size(summary) == 1) & (first_line == F.lower("repo")))
     priority = F.when(path == "README.md", 0).when(path == "README", 1).otherwise(2)
+    titles = files.where(path.isin(*README_FILES) & (F.col("content") != "")).select(
+        "repo", F.struct(priority.alias("p"), title_only.alias("t")).alias("title"))
     facts = files.select(
         "repo",
         F.when(path == "README.md", F.col("size")).otherwise(0).alias("bytes"),
-        F.when(root_readme, F.struct(priority.alias("p"), title_only.alias("t"))).alias("title"),
         (F.upper(name).startswith("LICEN") | (F.upper(name) == "COPYING")).alias("license"),
         path.rlike(r"\A(tests|test|spec)/|/tests/|/__tests__/").alias("tests"),
         path.startswith(".github/workflows/").alias("ci"),
         name.isin("Dockerfile", "docker-compose.yml", "docker-compose.yaml").alias("docker"),
         (path == ".gitignore").alias("gitignore"),
     )
-    grouped = facts.groupBy("repo").agg(
+    grouped = facts.unionByName(titles, allowMissingColumns=True).groupBy("repo").agg(
         F.max("bytes").alias("readme_bytes"), F.min("title").alias("title"),
         F.bool_or("license").alias("has_license"), F.bool_or("tests").alias("has_tests"),
         F.bool_or("ci").alias("has_ci"), F.bool_or("docker").alias("has_docker"),
-        F.bool_or("gitignore").alias("has_gitignore"), F.count(F.lit(1)).alias("n_files"),
+        F.bool_or("gitignore").alias("has_gitignore"), F.count("bytes").alias("n_files"),
     )
     placeholder = (F.col("readme_bytes") < dims.PLACEHOLDER_SIZE) | F.coalesce(F.col("title.t"), F.lit(True))
     return grouped.withColumn("readme_placeholder", placeholder).drop("title")
