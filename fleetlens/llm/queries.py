@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetlens.llm import wavelet
+from fleetlens.llm import lines, secrets, wavelet
 from fleetlens.llm.common import table
 
 
@@ -20,8 +21,21 @@ def op1_wavelet_shards(spark: SparkSession, folder: str) -> DataFrame:
     return wavelet.tokens_per_document(spark, table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op3_line_runs(spark: SparkSession, folder: str) -> DataFrame:
+    kept = lines.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op8_credential_links(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, folder, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_shards": op1_wavelet_shards,
+    "op3_line_runs": op3_line_runs,
+    "op8_credential_links": op8_credential_links,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_line_runs": lines.ORACLE,
+}
