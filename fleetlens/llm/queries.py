@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import lines, secrets, wavelet
+from fleetlens.llm import lines, secrets, voronoi, wavelet
 from fleetlens.llm.common import table
 
 
@@ -30,12 +30,18 @@ def op8_credential_links(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, folder, "documents")))
 
 
+def op9_voronoi_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return voronoi.top_k(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_shards": op1_wavelet_shards,
     "op3_line_runs": op3_line_runs,
     "op8_credential_links": op8_credential_links,
+    "op9_voronoi_top_k": op9_voronoi_top_k,
 }
 
 ORACLES: dict[str, str] = {
     "op3_line_runs": lines.ORACLE,
+    "op9_voronoi_top_k": voronoi.ORACLE,
 }
