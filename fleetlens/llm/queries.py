@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import lines, secrets, voronoi, wavelet
+from fleetlens.llm import golay, lines, secrets, voronoi, wavelet
 from fleetlens.llm.common import table
 
 
@@ -26,6 +26,11 @@ def op3_line_runs(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_golay_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = golay.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_credential_links(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, folder, "documents")))
 
@@ -37,6 +42,7 @@ def op9_voronoi_top_k(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_shards": op1_wavelet_shards,
     "op3_line_runs": op3_line_runs,
+    "op4_golay_simhash": op4_golay_simhash,
     "op8_credential_links": op8_credential_links,
     "op9_voronoi_top_k": op9_voronoi_top_k,
 }
