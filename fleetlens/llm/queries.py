@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import golay, lines, secrets, voronoi, wavelet
+from fleetlens.llm import golay, lines, secrets, voronoi, wavelet, winnow
 from fleetlens.llm.common import table
 
 
@@ -39,12 +39,17 @@ def op9_voronoi_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return voronoi.top_k(table(spark, folder, "embeddings"))
 
 
+def op10_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    return winnow.compare_edited(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_shards": op1_wavelet_shards,
     "op3_line_runs": op3_line_runs,
     "op4_golay_simhash": op4_golay_simhash,
     "op8_credential_links": op8_credential_links,
     "op9_voronoi_top_k": op9_voronoi_top_k,
+    "op10_winnowing": op10_winnowing,
 }
 
 ORACLES: dict[str, str] = {
