@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import golay, lines, packing, secrets, toxicity, voronoi, wavelet, winnow
+from fleetlens.llm import golay, lines, neural, packing, secrets, toxicity, voronoi, wavelet, winnow
 from fleetlens.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op5_lexicon_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op6_log_bilinear(spark: SparkSession, folder: str) -> DataFrame:
+    return neural.score(table(spark, folder, "documents"))
+
+
 def op7_lexical_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_runs": op3_line_runs,
     "op4_golay_simhash": op4_golay_simhash,
     "op5_lexicon_toxicity": op5_lexicon_toxicity,
+    "op6_log_bilinear": op6_log_bilinear,
     "op7_lexical_packing": op7_lexical_packing,
     "op8_credential_links": op8_credential_links,
     "op9_voronoi_top_k": op9_voronoi_top_k,
