@@ -65,13 +65,17 @@ class Encoder:
 
     def _fresh(self, wanted: set[bytes]) -> dict[bytes, bytes]:
         """Ids of pieces not met before; a piece that the vocabulary would cut further is put together from its parts."""
-        parts = {p: self._parts(p) for p in wanted}
-        new = list({q for qs in parts.values() for q in qs if q not in self.known})
-        found: dict[bytes, bytes] = {}
-        for at in range(0, len(new), 20_000):
-            found.update(zip(new[at : at + 20_000], self._together(new[at : at + 20_000]), strict=True))
+        plain = [p for p in wanted if p[-1:] not in b".," and b"\n" not in p]
+        joined = {p: self._parts(p) for p in wanted.difference(plain)}
         known = self.known
-        return {p: b"".join([found[q] if q in found else known[q] for q in qs]) for p, qs in parts.items()}
+        plain += {q for qs in joined.values() for q in qs if q not in known and q not in wanted or q in joined}
+        found: dict[bytes, bytes] = {}
+        for at in range(0, len(plain), 20_000):
+            found.update(zip(plain[at : at + 20_000], self._together(plain[at : at + 20_000]), strict=True))
+        for p, qs in joined.items():
+            if len(qs) > 1:
+                found[p] = b"".join([found[q] if q in found else known[q] for q in qs])
+        return found
 
     def _parts(self, piece: bytes) -> list[bytes]:
         if b"\n" in piece and piece.count(b"\n") == 1 and _LINE.search(piece):

@@ -27,9 +27,9 @@ from fleetlens.llm.encoding import encoder
 
 SHARD_TOKENS = 1 << 18
 BLOCK_BITS = 512  # a multiple of 8; one count of ones is kept per block and plane
-SHARD_SCHEMA = "part int, shard int, n_tokens long, n_bits int, doc_ids array<long>, lengths array<int>, planes binary, ranks binary, zeros array<long>"
+SHARD_SCHEMA = "part int, before long, n_tokens long, n_bits int, doc_ids array<long>, lengths array<int>, planes binary, ranks binary, zeros array<long>"
 _SHARD = pa.schema([
-    ("part", pa.int32()), ("shard", pa.int32()), ("n_tokens", pa.int64()), ("n_bits", pa.int32()), ("doc_ids", pa.list_(pa.int64())),
+    ("part", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("n_bits", pa.int32()), ("doc_ids", pa.list_(pa.int64())),
     ("lengths", pa.list_(pa.int32())), ("planes", pa.binary()), ("ranks", pa.binary()), ("zeros", pa.list_(pa.int64())),
 ])
 
@@ -136,7 +136,7 @@ def write_shards(
 ) -> DataFrame:
     """The shard table of ``docs`` (doc_id, text): encoded, range-partitioned by doc_id, one row per shard.
 
-    ``part`` and ``shard`` give the ascending order. The texts are shuffled once; ids are made after it.
+    ``part`` and ``before`` (ids of earlier shards of the part) give the ascending order. The texts are shuffled once; ids are made after it.
     """
     spark = docs.sparkSession
 
@@ -146,21 +146,21 @@ def write_shards(
         part, tokens = TaskContext.get().partitionId(), encoder(vocabulary, leading)
 
         def shards() -> Iterator[tuple]:
-            ids, doc_ids, load, number = [], [], 0, 0
+            ids, doc_ids, load, before = [], [], 0, 0
             for rows in _groups(text_rows(batches, "doc_id", "text"), 512):
                 for (doc_id, _), own in zip(rows, tokens.encode([t for _, t in rows]), strict=True):
                     ids.append(np.append(own, np.asarray([end_id], own.dtype)))
                     doc_ids.append(doc_id)
                     load += len(ids[-1])
                     if load >= shard_tokens:
-                        yield pack(number, ids, doc_ids, load)
-                        ids, doc_ids, load, number = [], [], 0, number + 1
+                        yield pack(before, ids, doc_ids, load)
+                        ids, doc_ids, load, before = [], [], 0, before + load
             if doc_ids:
-                yield pack(number, ids, doc_ids, load)
+                yield pack(before, ids, doc_ids, load)
 
-        def pack(number: int, ids: list[np.ndarray], doc_ids: list[int], load: int) -> tuple:
+        def pack(before: int, ids: list[np.ndarray], doc_ids: list[int], load: int) -> tuple:
             m = WaveletMatrix.build(np.concatenate(ids), id_bits)
-            return part, number, load, id_bits, doc_ids, [len(x) for x in ids], m.planes.tobytes(), m.ranks.tobytes(), m.zeros
+            return part, before, load, id_bits, doc_ids, [len(x) for x in ids], m.planes.tobytes(), m.ranks.tobytes(), m.zeros
 
         yield from in_batches(shards(), _SHARD, 1)
 
@@ -188,16 +188,13 @@ def shard_of(row) -> WaveletMatrix:
 def read_shards(shards: DataFrame) -> DataFrame:
     """Per document of a shard table, in order: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian, 32 bits).
 
-    Offsets come from the shards' counts alone: sums per partition, then sums inside a partition.
+    Offsets come from the shards' counts alone: one sum per range partition, of which there are as many as
+    shuffle partitions, so they are broadcast; the planes are not shuffled.
     """
-    sizes = shards.select("part", "shard", "n_tokens")
-    per_part = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    inside = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("part", "shard", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("_inside")).join(
-        per_part.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before")), "part"
-    )
-    placed = shards.join(starts.select("part", "shard", (F.col("_inside") + F.col("_before")).alias("start")), ["part", "shard"])
+    per_part = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_part.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    placed = shards.join(F.broadcast(starts), "part").withColumn("start", F.col("before") + F.col("_before"))
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
