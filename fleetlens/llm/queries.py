@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import golay, lines, neural, packing, secrets, toxicity, voronoi, wavelet, winnow
+from fleetlens.llm import golay, lines, mixing, neural, packing, secrets, toxicity, voronoi, wavelet, winnow
 from fleetlens.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op1_wavelet_shards(spark: SparkSession, folder: str) -> DataFrame:
     return wavelet.tokens_per_document(spark, table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op2_entropy_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
 def op3_line_runs(spark: SparkSession, folder: str) -> DataFrame:
     kept = lines.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -58,6 +62,7 @@ def op10_winnowing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_shards": op1_wavelet_shards,
+    "op2_entropy_mixing": op2_entropy_mixing,
     "op3_line_runs": op3_line_runs,
     "op4_golay_simhash": op4_golay_simhash,
     "op5_lexicon_toxicity": op5_lexicon_toxicity,
