@@ -201,6 +201,20 @@ def totals(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id long, total double, words long, score double")
 
 
+def kept(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, as they are: one pass, no join."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = shared.value
+        match = lex.matcher()
+        for batch in batches:
+            clean = [lex.score(*match(t)) < threshold for (t,) in text_rows(iter([batch]), "text")]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training_labels(labels: DataFrame) -> DataFrame:
     return labels.where(bucket(F.col("doc_id"), 3) != 1)
 
