@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import in_batches, landed, text_rows, words_of
 
 UNITS, SUFFIXES, KNOWN, LONGEST = 400, 110, 150_000, 64
-WIDTH, NOISE, BATCH, RATE = 24, 64, 1024, 0.08
+WIDTH, NOISE, BATCH, RATE, SQUARES = 24, 64, 1024, 0.1, 1e-4  # SQUARES: what AdaGrad starts from
 END = b"\n"  # no word holds a blank
 SMOOTH = 0.1
 WARM_UP = 10  # one document in so many trains the common start
@@ -233,7 +233,7 @@ def train_round(docs: DataFrame, vocab, model: Model, noise: np.ndarray) -> Mode
     out = pa.schema([("i", pa.int32()), ("v", pa.float64()), ("n", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, squares, rng, n = Model(k, start.value.copy()), np.full_like(start.value, 0.1), np.random.default_rng(11), 0
+        own, squares, rng, n = Model(k, start.value.copy()), np.full_like(start.value, SQUARES), np.random.default_rng(11), 0
         for group in _text_groups(text_rows(batches, "text")):
             _, units, starts, _ = numbered([t for (t,) in group], vocab.value)
             train_on(own, units, starts, noise, squares, rng)
