@@ -74,7 +74,7 @@ def mention_vocabulary(files: DataFrame, units: list[str]) -> DataFrame:
         return F.transform(found, lambda v: F.struct(F.lit(unit).alias("unit"), v.alias("value")))
 
     arrays = [cut(unit) for unit in units]
-    readable = files.where(F.col("text") & (F.col("size") <= dims.MAX_MENTION_BYTES))
+    readable = files.where("text")
     exploded = readable.select(
         "repo", paths.stem_of(F.col("path")).alias("stem"),
         F.inline(F.concat(*arrays) if len(arrays) > 1 else arrays[0]),

@@ -18,34 +18,39 @@ def env_inventory(signals: DataFrame) -> DataFrame:
     return first_per_key(found, ["repo", "value"], ["file", "line"])
 
 
-def api_inventory(signals: DataFrame, limit: int = dims.MAX_API_ITEMS) -> DataFrame:
-    """(repo, rank, type, method, path, file, line): first distinct endpoints and calls."""
+def _first(df: DataFrame, order: list[Column | str], limit: int | None) -> DataFrame:
+    """All rows, or with a limit the first ones of each repository with their ``rank``."""
+    return df if limit is None else top_n(df, ["repo"], order, limit)
+
+
+def api_inventory(signals: DataFrame, limit: int | None = None) -> DataFrame:
+    """(repo, type, method, path, file, line): distinct endpoints and calls; with a limit the first ones, ranked."""
     kind = F.col("kind")
     items = signals.where(kind.isin("route", "api_call")).select(
         "repo", "file", "line", "method", F.col("value").alias("path"),
         F.when(kind == "route", "backend_route").otherwise("frontend_api_call").alias("type"),
     )
-    return top_n_distinct(items, ["repo"], ["file", "line", "method", "path"], limit)
+    return items.distinct() if limit is None else top_n_distinct(items, ["repo"], ["file", "line", "method", "path"], limit)
 
 
-def table_inventory(signals: DataFrame, limit: int = dims.MAX_TABLE_ITEMS) -> DataFrame:
-    """(repo, rank, value, file, line): first distinct table mentions."""
+def table_inventory(signals: DataFrame, limit: int | None = None) -> DataFrame:
+    """(repo, value, file, line): distinct table mentions; with a limit the first ones, ranked."""
     items = signals.where(F.col("kind") == "table").select("repo", "file", "line", "value")
-    return top_n_distinct(items, ["repo"], ["file", "line", "value"], limit)
+    return items.distinct() if limit is None else top_n_distinct(items, ["repo"], ["file", "line", "value"], limit)
 
 
-def structure_counts(files: DataFrame, limit: int = 30) -> DataFrame:
-    """(repo, root, n, rank): files per top-level path segment."""
+def structure_counts(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """(repo, root, n): files per top-level path segment."""
     root = F.substring_index(F.col("path"), "/", 1)
     counted = files.groupBy("repo", root.alias("root")).agg(F.count(F.lit(1)).alias("n"))
-    return top_n(counted, ["repo"], [F.col("n").desc(), F.col("root")], limit)
+    return _first(counted, [F.col("n").desc(), F.col("root")], limit)
 
 
-def language_counts(files: DataFrame, limit: int = 15) -> DataFrame:
-    """(repo, language, n, rank), ``Other`` left out."""
+def language_counts(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """(repo, language, n), ``Other`` left out."""
     known = files.where(F.col("language") != "Other")
     counted = known.groupBy("repo", "language").agg(F.count(F.lit(1)).alias("n"))
-    return top_n(counted, ["repo"], [F.col("n").desc(), F.col("language")], limit)
+    return _first(counted, [F.col("n").desc(), F.col("language")], limit)
 
 
 def importance(path: Column, name: Column) -> Column:
@@ -56,16 +61,16 @@ def importance(path: Column, name: Column) -> Column:
     return reduce(lambda a, b: a + b, points)
 
 
-def important_files(files: DataFrame, limit: int = 80) -> DataFrame:
-    """(repo, path, score, rank)."""
+def important_files(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """(repo, path, score)."""
     scored = files.select("repo", "path", importance(F.col("path"), F.col("name")).alias("score"))
-    return top_n(scored.where("score > 0"), ["repo"], [F.col("score").desc(), F.col("path")], limit)
+    return _first(scored.where("score > 0"), [F.col("score").desc(), F.col("path")], limit)
 
 
-def deployment_files(files: DataFrame, limit: int = 50) -> DataFrame:
-    """(repo, path, rank): paths that name a deployment tool; a path occurs once per repository."""
+def deployment_files(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """(repo, path): paths that name a deployment tool; a path occurs once per repository."""
     named = files.where(F.lower(F.col("path")).rlike("|".join(dims.DEPLOYMENT_TOKENS)))
-    return top_n(named.select("repo", "path"), ["repo"], ["path"], limit)
+    return _first(named.select("repo", "path"), ["path"], limit)
 
 
 def summary_items(text: Column, limit: int = 35) -> Column:
@@ -142,106 +147,92 @@ def run_inventory(
 
 # --- digest -----------------------------------------------------------------
 
-def _section(df: DataFrame, number: int, order: Column, line: Column) -> DataFrame:
-    return df.select("repo", F.lit(number).alias("section"), order.cast("bigint").alias("n"), line.alias("line"))
+# Output format of the digest: the mark that opens each kind of line, and the items shown per section.
+SECTIONS = {
+    "declared": 1, "languages": 15, "technologies": 25, "mentioned": 25, "manifests": 20, "npm": 60, "python": 60, "scripts": 40,
+    "roots": 30, "key_files": 80, "api": 150, "tables": 150, "env": 100, "capabilities": 60, "modules": 60, "components": 60, "readme": 35, "deployment": 50,
+}
 
 
 def _cited(prefix: Column) -> Column:
     return F.concat(prefix, F.lit(" ["), F.col("file"), F.lit(":"), F.col("line").cast("string"), F.lit("]"))
 
 
-def python_outline(files: DataFrame, limit: int = 60) -> DataFrame:
-    """(repo, file, outline, rank): classes, functions and imports of the first Python files."""
-    from fleetlens.operators.extract import signal_items
-    from fleetlens.sources.corpus import analysis_scope
-
-    wanted, _, items = signal_items(("py_classes", "py_functions", "py_imports"))
-
-    def names(kind: str, mark: str, cap: int) -> Column:
-        found = F.transform(F.filter(F.col("items"), lambda s: s["kind"] == kind), lambda s: s["value"])
-        joined = F.array_join(F.slice(found, 1, cap), ",")
-        return F.when(F.size(found) > 0, F.concat(F.lit(mark), joined)).otherwise("")
+def _marked(mark: str, value: Column) -> Column:
+    return F.concat(F.lit(f"{mark}: "), value)
 
-    read = analysis_scope(files).where(wanted).select("repo", F.col("path").alias("file"), items.alias("items"))
-    outlined = read.where(F.size("items") > 0).select(
-        "repo", "file",
-        F.concat("file", names("class", "|C=", 12), names("function", "|F=", 18), names("import", "|I=", 12))
-        .alias("outline"),
-    )
-    return top_n(outlined, ["repo"], ["file"], limit)
 
+def python_outline(signals: DataFrame) -> DataFrame:
+    """(repo, file, outline): how many classes, functions and imports each Python file has."""
+    kinds = {"class": "classes", "function": "functions", "import": "imports"}
+    python = signals.where((F.col("lang") == "python") & F.col("kind").isin(*kinds))
+    counted = python.groupBy("repo", "file").agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in kinds.items()])
+    shown = [F.concat(F.col(n).cast("string"), F.lit(f" {n}")) for n in kinds.values()]
+    return counted.select("repo", "file", F.concat_ws(", ", *shown).alias("outline"))
 
-def component_outline(files: DataFrame, limit: int = 60) -> DataFrame:
-    """(repo, file, outline, rank): components of the first script files that have any."""
-    from fleetlens.operators.extract import signal_items
-    from fleetlens.sources.corpus import analysis_scope
 
-    wanted, _, items = signal_items(("js_components",))
-    read = analysis_scope(files).where(wanted).select("repo", F.col("path").alias("file"), items.alias("items"))
-    names = F.array_join(F.slice(F.transform("items", lambda s: s["value"]), 1, 15), ",")
-    outlined = read.where(F.size("items") > 0).select(
-        "repo", "file", F.concat("file", F.lit(":"), names).alias("outline"))
-    return top_n(outlined, ["repo"], ["file"], limit)
+def component_outline(signals: DataFrame) -> DataFrame:
+    """(repo, file, outline): how many components each script file has."""
+    counted = signals.where(F.col("kind") == "component").groupBy("repo", "file").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("repo", "file", F.concat(F.col("n").cast("string"), F.lit(" components")).alias("outline"))
 
 
-def context_digest(
+def digest_lines(
     files: DataFrame, signals: DataFrame, manifests: DataFrame, technologies: DataFrame,
-    capability_rows: DataFrame, readmes: DataFrame, declared: DataFrame,
-    max_chars: int = dims.MAX_CONTEXT_CHARS,
+    capability_rows: DataFrame, readmes: DataFrame, declared: DataFrame, limits: dict[str, int] | None = None,
 ) -> DataFrame:
-    """(repo, text, truncated): bounded evidence text, human declaration first.
-
-    Every section is capped per repository before it is collected, so the list
-    behind one text has a fixed upper bound.
-    """
+    """(repo, section, n, line, cut): the first lines of each section; ``cut`` where a section has more."""
     from fleetlens.operators.manifests import declared_dependencies, npm_scripts
 
-    conclusive = technologies.where(F.col("provenance") != "mentioned")
-    mentioned = technologies.where(F.col("provenance") == "mentioned")
-    first = F.col("evidence")[0]
-    tech_line = F.concat(
-        F.lit("TECH="), F.col("tech"), F.lit("["), F.col("provenance"), F.lit(":"), first["file"],
-        F.lit(":"), first["line"].cast("string"), F.lit("]"))
-    shown = top_n(manifests, ["repo"], ["third_party", "depth", "path"], 20)
-    manifest_line = F.concat(
-        F.col("path"), F.lit(" ("), F.col("kind"), F.lit(", "), F.size("dependencies").cast("string"),
-        F.lit(" deps)"), F.when(F.col("third_party"), " [TERCEROS]").otherwise(""))
+    limits = SECTIONS | (limits or {})
+    numbers = {name: i for i, name in enumerate(SECTIONS)}
+
+    def section(name: str, df: DataFrame, order: list[Column | str], line: Column) -> DataFrame:
+        limit = limits[name]
+        kept = top_n(df.withColumn("_line", line), ["repo"], [*order, "_line"], limit + 1)
+        return kept.select("repo", F.lit(numbers[name]).alias("section"), F.col("rank").cast("bigint").alias("n"), F.col("_line").alias("line"), (F.col("rank") > limit).alias("cut"))
+
+    conclusive = F.col("provenance") != "mentioned"
     deps = declared_dependencies(manifests)
     dep_order = ["depth", "file", "line", "name", "section"]
-    npm = top_n(deps.where("kind = 'npm'"), ["repo"], dep_order, 60)
-    python = top_n(deps.where("kind = 'python'"), ["repo"], dep_order, 60)
-    dep_name = F.concat(F.col("name"), F.when(F.col("kind") == "npm", "@").otherwise(""),
-                        F.coalesce(F.col("version"), F.lit("")))
-    scripts = top_n(npm_scripts(manifests), ["repo"], ["file", "line", "name"], 40)
-    env = top_n(env_inventory(signals), ["repo"], ["value"], dims.MAX_ENV_ITEMS)
-    signal_line = F.concat(F.col("category"), F.lit(" [confidence="), F.col("confidence"), F.lit("] "), F.col("keyword"))
+    dep_name = F.concat(F.col("name"), F.when(F.col("kind") == "npm", "@").otherwise(""), F.coalesce(F.col("version"), F.lit("")))
+    tech_line = _marked("technology", F.concat(F.col("tech"), F.lit(" "), F.col("provenance"), F.lit(" "), F.col("file"), F.lit(":"), F.col("line").cast("string")))
+    manifest_line = F.concat(
+        F.col("path"), F.lit(" ("), F.col("kind"), F.lit(", "), F.size("dependencies").cast("string"), F.lit(")"), F.when(F.col("third_party"), " third party").otherwise(""))
     declaration = strip(F.col("declared"))
-    rank = F.col("rank")
+    signal_line = _cited(F.concat(F.col("category"), F.lit(" "), F.col("confidence"), F.lit(" "), F.col("keyword")))
     parts = [
-        _section(declared.where(declaration != ""), 0, F.lit(0), F.concat(F.lit("HUMAN_DECLARED "), declaration)),
-        _section(language_counts(files), 1, rank, F.concat(F.lit("LANG="), F.col("language"))),
-        _section(top_n(conclusive, ["repo"], ["tech"], 25), 2, rank, tech_line),
-        _section(top_n(mentioned, ["repo"], ["tech"], 25), 3, rank, F.concat(F.lit("TECH_ONLY_MENTIONED "), F.col("tech"))),
-        _section(shown, 4, rank, manifest_line),
-        _section(npm, 5, rank, _cited(dep_name)),
-        _section(python, 6, rank, _cited(dep_name)),
-        _section(scripts, 7, rank, F.concat(F.col("name"), F.lit("="), F.col("command"), F.lit(" ["), F.col("file"), F.lit("]"))),
-        _section(structure_counts(files), 8, rank, F.concat(F.lit("ROOT="), F.col("root"), F.lit("("), F.col("n").cast("string"), F.lit(")"))),
-        _section(important_files(files), 9, rank, F.concat(F.lit("KEY_FILE="), F.col("path"))),
-        _section(api_inventory(signals), 10, rank, _cited(F.concat_ws(" ", "method", "path"))),
-        _section(table_inventory(signals), 11, rank, _cited(F.col("value"))),
-        _section(env, 12, rank, _cited(F.col("value"))),
-        _section(capability_rows.where("n <= 8").withColumn("rank", F.col("n")), 13, rank, _cited(signal_line)),
-        _section(python_outline(files), 14, rank, F.col("outline")),
-        _section(component_outline(files), 15, rank, F.col("outline")),
-        _section(summary_lines(readmes), 16, rank, F.col("value")),
-        _section(deployment_files(files), 17, rank, F.concat(F.lit("DEPLOYMENT="), F.col("path"))),
+        section("declared", declared.where(declaration != ""), [], _marked("declared by people", declaration)),
+        section("languages", language_counts(files), [F.col("n").desc(), "language"], _marked("language", F.col("language"))),
+        section("technologies", technologies.where(conclusive), ["tech"], tech_line),
+        section("mentioned", technologies.where(~conclusive), ["tech"], _marked("only mentioned", F.col("tech"))),
+        section("manifests", manifests, ["third_party", "depth", "path"], manifest_line),
+        section("npm", deps.where("kind = 'npm'"), dep_order, _cited(dep_name)),
+        section("python", deps.where("kind = 'python'"), dep_order, _cited(dep_name)),
+        section("scripts", npm_scripts(manifests), ["file", "line", "name"], F.concat(F.col("name"), F.lit("="), F.col("command"), F.lit(" ["), F.col("file"), F.lit("]"))),
+        section("roots", structure_counts(files), [F.col("n").desc(), "root"], _marked("root", F.concat(F.col("root"), F.lit(" "), F.col("n").cast("string")))),
+        section("key_files", important_files(files), [F.col("score").desc(), "path"], _marked("key file", F.col("path"))),
+        section("api", api_inventory(signals), ["file", "line", "method", "path"], _cited(F.concat_ws(" ", "method", "path"))),
+        section("tables", table_inventory(signals), ["file", "line", "value"], _cited(F.col("value"))),
+        section("env", env_inventory(signals), ["value"], _cited(F.col("value"))),
+        section("capabilities", capability_rows, ["category", "file", "line"], signal_line),
+        section("modules", python_outline(signals), ["file"], F.concat(F.col("file"), F.lit(": "), F.col("outline"))),
+        section("components", component_outline(signals), ["file"], F.concat(F.col("file"), F.lit(": "), F.col("outline"))),
+        section("readme", summary_lines(readmes, limits["readme"] + 1).withColumnRenamed("rank", "_n"), ["_n"], F.col("value")),
+        section("deployment", deployment_files(files), ["path"], _marked("deployment", F.col("path"))),
     ]
-    rows = reduce(lambda a, b: a.unionByName(b), parts)
-    full = F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("section", "n", "line"))), lambda s: s["line"]), "\n")
-    text = rows.groupBy("repo").agg(full.alias("full"))
-    return text.select(
-        "repo", F.substring("full", 1, max_chars).alias("text"),
-        (F.length("full") > max_chars).alias("truncated"),
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def context_digest(lines: DataFrame, max_chars: int = dims.MAX_CONTEXT_CHARS) -> DataFrame:
+    """(repo, text, truncated, cut_sections): a text of bounded size from :func:`digest_lines`.
+
+    The text is the feature here, so sections have limits; every section that has more than it
+    shows is named by number, and ``truncated`` tells whether the text itself was cut.
+    """
+    shown = F.array_sort(F.collect_list(F.when(~F.col("cut"), F.struct("section", "n", "line"))))
+    text = lines.groupBy("repo").agg(
+        F.array_join(F.transform(shown, lambda s: s["line"]), "\n").alias("full"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("cut"), F.col("section")))), ",").alias("cut_sections"),
     )
+    return text.select("repo", F.substring("full", 1, max_chars).alias("text"), (F.length("full") > max_chars).alias("truncated"), "cut_sections")

@@ -11,8 +11,6 @@ from fleetlens.operators.evidence import api_inventory, env_inventory, important
 from fleetlens.operators.manifests import declared_dependencies, npm_scripts
 from fleetlens.operators.provenance import conclusive_only
 
-PARTS = ("api", "dependencies", "env", "important_files", "scripts", "tables", "technologies")
-
 
 def fingerprint_parts(
     files: DataFrame, signals: DataFrame, manifests: DataFrame, technologies: DataFrame
@@ -42,33 +40,17 @@ def fingerprint_parts(
     return counted.unionByName(every)
 
 
-def _canonical(items: Column) -> Column:
-    """JSON with alphabetical keys and sorted lists, duplicates kept."""
-    def entries(name: str) -> Column:
-        chosen = F.filter(items, lambda s: s["part"] == name)
-        return F.flatten(F.transform(chosen, lambda s: F.array_repeat(s["entry"], s["n"].cast("int"))))
-
-    return F.to_json(F.struct(*[entries(name).alias(name) for name in PARTS]))
-
-
-def fingerprint(parts: DataFrame, max_entries: int = 200_000) -> DataFrame:
-    """(repo, sha, chunks): sha256 of the canonical JSON of each repository.
+def fingerprint(parts: DataFrame) -> DataFrame:
+    """(repo, sha, buckets): one rule for every size.
 
-    One digest needs its text in one place, so a repository with more than
-    ``max_entries`` distinct entries is cut by a hash of the entry into chunks
-    of about that size: its fingerprint is the sha256 of the ordered chunk
-    digests. Equal evidence still gives equal fingerprints, whatever the
-    partitioning, and no group grows without bound.
+    An entry is a line ``part:entry*n``. Lines fall into 65,536 buckets by the first four hex
+    digits of their md5; each bucket that is not empty has the sha256 of its ordered lines, and the
+    fingerprint is the sha256 of the ordered bucket digests. At most that many digests meet per repository.
     """
-    sizes = parts.groupBy("repo").agg(F.count(F.lit(1)).alias("total"))
-    chunks = F.greatest(F.ceil(F.col("total") / F.lit(max_entries)), F.lit(1)).cast("int")
-    placed = parts.join(sizes.select("repo", chunks.alias("chunks")), "repo").withColumn(
-        "chunk", F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("part", "entry"), F.col("chunks"))).otherwise(F.lit(0))
-    )
-    items = F.array_sort(F.collect_list(F.struct("part", "entry", "n")))
-    digests = placed.groupBy("repo", "chunks", "chunk").agg(F.sha2(_canonical(items), 256).alias("sha"))
-    ordered = F.array_sort(F.collect_list(F.struct("chunk", "sha")))
-    merged = digests.groupBy("repo", "chunks").agg(ordered.alias("d"))
-    joined = F.array_join(F.transform("d", lambda x: x["sha"]), "")
-    sha = F.when(F.col("chunks") > 1, F.sha2(joined, 256)).otherwise(F.col("d")[0]["sha"])
-    return merged.select("repo", sha.alias("sha"), "chunks")
+    line = F.concat(F.col("part"), F.lit(":"), F.col("entry"), F.lit("*"), F.col("n").cast("string"))
+    placed = parts.select("repo", line.alias("line")).withColumn("bucket", F.substring(F.md5("line"), 1, 4))
+    ordered = F.array_join(F.array_sort(F.collect_list("line")), "\n")  # null lines, of repositories without entries, are skipped
+    digests = placed.groupBy("repo", "bucket").agg(F.sha2(ordered, 256).alias("sha"))
+    pair = F.when(F.col("bucket").isNotNull(), F.concat(F.col("bucket"), F.col("sha")))
+    joined = F.array_join(F.array_sort(F.collect_list(pair)), "")
+    return digests.groupBy("repo").agg(F.sha2(joined, 256).alias("sha"), F.count("bucket").alias("buckets"))

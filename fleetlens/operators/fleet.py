@@ -66,53 +66,42 @@ def debt_ranking(scored: DataFrame) -> DataFrame:
     return ranked(scored, [], [F.col("debt").desc(), F.lower("repo"), F.col("repo")], "rank")
 
 
-def repo_card(
-    repos: DataFrame, files: DataFrame, signals: DataFrame, manifests: DataFrame, technologies: DataFrame
-) -> DataFrame:
-    """One card per analysed repository.
+CARD_COUNTS = ("dependencies", "endpoints", "tables", "env_vars", "key_files", "manifests")
 
-    All capped facts travel as rows of one long table and meet in a single
-    aggregate; the caps bound every list. Own manifests can be many, so the card
-    holds their number and :func:`card_manifests` lists them.
-    """
-    def field(df: DataFrame, name: str, value: Column, order: Column) -> DataFrame:
-        return df.select("repo", F.lit(name).alias("field"), order.cast("bigint").alias("n"), value.alias("value"))
+
+def card_items(files: DataFrame, signals: DataFrame, manifests: DataFrame, technologies: DataFrame) -> DataFrame:
+    """(repo, field, value, n): everything a card counts, one row per distinct value; the long companion of the cards."""
+    def field(df: DataFrame, name: str, value: Column) -> DataFrame:
+        return df.select("repo", F.lit(name).alias("field"), value.alias("value"))
 
     version = F.coalesce(F.col("version"), F.lit(""))
-    rank = F.col("rank")
-    deps = top_n(declared_dependencies(manifests), ["repo"], ["depth", "file", "line", "name", "section"], 80)
     parts = [
-        field(language_counts(files, 8), "languages", F.concat_ws(":", "language", F.col("n").cast("string")), rank),
-        field(conclusive_only(technologies), "technologies", F.concat_ws(":", "tech", "provenance"), F.lit(0)),
-        field(deps, "dependencies", F.concat("name", version), rank),
-        field(api_inventory(signals, 80), "endpoints", F.concat_ws(" ", "method", "path"), rank),
-        field(table_inventory(signals, 60), "tables", F.col("value"), rank),
-        field(top_n(env_inventory(signals), ["repo"], ["value"], 60), "env_vars", F.col("value"), rank),
-        field(important_files(files, 25), "key_files", F.col("path"), rank),
+        field(language_counts(files), "languages", F.concat_ws(":", "language", F.col("n").cast("string"))),
+        field(conclusive_only(technologies), "technologies", F.concat_ws(":", "tech", "provenance")),
+        field(declared_dependencies(manifests), "dependencies", F.concat("name", version)),
+        field(api_inventory(signals), "endpoints", F.concat_ws(" ", "method", "path")),
+        field(table_inventory(signals), "tables", F.col("value")),
+        field(env_inventory(signals), "env_vars", F.col("value")),
+        field(important_files(files), "key_files", F.col("path")),
+        field(manifests.where(~F.col("third_party")), "manifests", F.concat_ws(":", "kind", "path")),
     ]
     rows = reduce(lambda a, b: a.unionByName(b), parts)
-    names = ("languages", "technologies", "dependencies", "endpoints", "tables", "env_vars", "key_files")
-
-    def collected(name: str) -> Column:
-        item = F.when(F.col("field") == name, F.struct("n", "value"))
-        return F.transform(F.array_sort(F.collect_list(item)), lambda s: s["value"]).alias(name)
-
-    lists = rows.groupBy("repo").agg(*[collected(n) for n in names])
-    own = manifests.groupBy("repo").agg(F.count_if(~F.col("third_party")).alias("n_manifests"))
-    card = (
-        debt_score(health_facts(files))
-        .join(lists, "repo", "left")
-        .join(own, "repo", "left")
-        .join(repos.select(
-            F.col("name").alias("repo"), "private", "html_url", "description", "default_branch", "pushed_at", "topics"),
-            "repo")
-    )
-    return card.withColumn("n_manifests", F.coalesce("n_manifests", F.lit(0)))
+    return rows.groupBy("repo", "field", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def card_manifests(manifests: DataFrame) -> DataFrame:
-    """(repo, path, kind) of own manifests, the long companion of the cards."""
-    return manifests.where(~F.col("third_party")).select("repo", "path", "kind")
+def repo_card(repos: DataFrame, files: DataFrame, items: DataFrame) -> DataFrame:
+    """One card per analysed repository from its :func:`card_items`.
+
+    Languages and technologies come from fixed dictionaries, so their lists are bounded; all other
+    fields are counts, and the items stay in the companion table.
+    """
+    def listed(name: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("field") == name, F.col("value")))).alias(name)
+
+    counts = [F.coalesce(F.sum(F.when(F.col("field") == n, F.col("n"))), F.lit(0)).alias(f"n_{n}") for n in CARD_COUNTS]
+    lists = items.groupBy("repo").agg(listed("languages"), listed("technologies"), *counts)
+    shown = repos.select(F.col("name").alias("repo"), "private", "html_url", "description", "default_branch", "pushed_at", "topics")
+    return debt_score(health_facts(files)).join(lists, "repo", "left").join(shown, "repo")
 
 
 def public_view(cards: DataFrame) -> DataFrame:
@@ -140,7 +129,7 @@ def inventory_rows(cards: DataFrame) -> DataFrame:
     readme = F.when(size == 0, "vacio").when(F.col("readme_placeholder"), "marcador").otherwise(kilobytes)
     names = F.transform(F.coalesce("technologies", F.array().cast("array<string>")),
                         lambda t: F.substring_index(t, ":", 1))
-    stack = F.substring(F.array_join(F.array_sort(names), ", "), 1, 44)
+    stack = F.array_join(F.array_sort(names), ", ")
     shown = F.concat("repo", F.when(F.col("private"), " (privado)").otherwise(""))
     return cards.select(
         "repo", shown.alias("shown"), "debt", readme.alias("readme"), flag("has_tests"), flag("has_ci"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens import dims
 from fleetlens.functions import paths
 from fleetlens.functions.text import NOT_SPACE, SPACE, lines_of, rstrip, rx, strip
-from fleetlens.operators.ranking import top_n
+from fleetlens.operators.ranking import ranked
 
 # The 40 characters before the address (fewer at the start of the text) are
 # captured by a bounded look-behind that is only tried where an address starts.
@@ -71,7 +71,7 @@ def pii_scan(files: DataFrame, content_hash: str = "content") -> DataFrame:
     text, path = F.col("content"), F.col("path")
     own = files.where(~F.col("third_party"))
     sheet = F.col("ext").isin(*dims.SPREADSHEET_EXTENSIONS)
-    readable = F.col("text") & (F.col("size") <= dims.MAX_PII_BYTES)
+    readable = F.col("text")
     in_test = paths.test_path(path)
 
     counted = own.where(sheet | readable).select(
@@ -105,14 +105,9 @@ def _total() -> Column:
     return counts["rut"] + counts["correo"] + counts["telefono"] + counts["campos_sensibles"]
 
 
-def pii_order(findings: DataFrame, limit: int = dims.MAX_PII_FINDINGS) -> DataFrame:
-    """First ``limit`` findings per repository in path order, then by total counts.
-
-    The cap is the report's own; it is reached map-side, so the second ranking
-    sees at most ``limit`` rows per repository.
-    """
-    capped = top_n(findings, ["repo"], ["path"], limit, "_n").drop("_n")
-    return top_n(capped, ["repo"], [_total().desc(), F.col("path")], limit, "rank")
+def pii_order(findings: DataFrame) -> DataFrame:
+    """Rank of every finding per repository by total counts, then path."""
+    return ranked(findings, ["repo"], [_total().desc(), F.col("path")], "rank")
 
 
 def gitignore_patterns(files: DataFrame) -> DataFrame:

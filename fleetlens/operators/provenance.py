@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens import dims
@@ -70,7 +70,7 @@ def declared_items() -> Column:
 @cache
 def imported_items() -> Column:
     wanted, _, items = signal_items(("py_imports", "js_imports"))
-    scoped = wanted & F.col("text") & (F.col("size") <= dims.MAX_ANALYSIS_BYTES)
+    scoped = wanted & F.col("text")
     shaped = F.transform(items, lambda s: _item(tech_for(s["value"]), "imported", s["line"], s["value"]))
     return _or_empty(F.when(scoped, shaped))
 
@@ -84,7 +84,7 @@ def vendored_items() -> Column:
 
 @cache
 def mentioned_items() -> Column:
-    scoped = F.col("text") & (F.col("size") <= dims.MAX_ANALYSIS_BYTES)
+    scoped = F.col("text")
     shaped = F.transform(mention_items(F.col("content"), F.col("_folded")), lambda m: _item(
         m["tech"], "mentioned", m["line"], m["pattern"]))
     return _or_empty(F.when(scoped, shaped))
@@ -106,38 +106,53 @@ def technology_evidence(files: DataFrame, *provenances: str) -> DataFrame:
     return exploded.select("repo", "i.tech", "i.rank", "file", "depth", "i.line", "i.detail", "third_party")
 
 
-def evidence_top_n(evidence: DataFrame, n: int = dims.MAX_EVIDENCE_ITEMS) -> DataFrame:
-    """First n items per (repo, tech): strongest provenance, root-most manifest, file, line."""
+def evidence_order() -> list[Column]:
     by_depth = F.when(F.col("rank") == RANK["declared"], F.col("depth")).otherwise(F.lit(0))
-    order = [F.col("rank"), by_depth, F.col("file"), F.col("line"), F.col("detail")]
-    return top_n(evidence, ["repo", "tech"], order, n, "n")
+    return [F.col("rank"), by_depth, F.col("file"), F.col("line"), F.col("detail")]
+
+
+def evidence_top_n(evidence: DataFrame, n: int) -> DataFrame:
+    """First n items per (repo, tech): strongest provenance, root-most manifest, file, line."""
+    return top_n(evidence, ["repo", "tech"], evidence_order(), n, "n")
+
+
+def _first_item() -> Column:
+    fields = ["key", "depth_key", "file", "line", "detail"]
+    values = [c.alias(n) for c, n in zip(evidence_order(), fields)]
+    return F.min(F.struct(*values, "depth", "third_party"))
 
 
 def ranked_evidence(evidence: DataFrame) -> DataFrame:
-    """The items that count: mentions only where nothing stronger exists, and one of them."""
-    best = F.min("rank").over(Window.partitionBy("repo", "tech"))
-    limited = evidence_top_n(evidence).withColumn("best", best)
-    presence_extra = F.col("tech").isin(*PRESENCE_TECHS) & (F.col("rank") == RANK["declared"]) & (F.col("n") > 1)
+    """The items that count, all of them.
+
+    A mention counts only where nothing stronger exists, and the presence of a manifest once; of
+    these the first item is taken by a partial aggregate. All other items pass through unshuffled.
+    """
     mention = F.col("rank") == RANK["mentioned"]
-    mention_kept = (F.col("best") == RANK["mentioned"]) & (F.col("n") == 1)
-    return limited.where(~presence_extra & (~mention | mention_kept))
+    presence = F.col("tech").isin(*PRESENCE_TECHS) & (F.col("rank") == RANK["declared"])
+    columns = ["repo", "tech", "rank", "file", "depth", "line", "detail", "third_party"]
+    plain = evidence.where(~mention & ~presence).select(*columns)
+    firsts = evidence.where(mention | presence).groupBy("repo", "tech").agg(_first_item().alias("i"))
+    firsts = firsts.select("repo", "tech", F.col("i.key").alias("rank"), *[F.col(f"i.{c}").alias(c) for c in columns[3:]])
+    stronger = evidence.where(~mention).select("repo", "tech").distinct()
+    lonely = firsts.where(mention).join(stronger, ["repo", "tech"], "left_anti")
+    return plain.unionByName(firsts.where(~mention)).unionByName(lonely.select(*columns))
 
 
 def provenance_rank(evidence: DataFrame) -> DataFrame:
-    """(repo, tech, provenance, confidence, evidence): one row per technology.
+    """(repo, tech, provenance, confidence, n_evidence, file, line, detail): one row per technology.
 
-    The window and the aggregate share the (repo, tech) partitioning, and at
-    most 20 items per technology reach the list.
+    The first item and the number of items; the items themselves are :func:`ranked_evidence`.
     """
-    label = F.element_at(F.array(*[F.lit(p) for p in dims.PROVENANCE_ORDER]), F.col("rank") + 1)
-    item = F.struct("n", label.alias("provenance"), "file", "line", "detail", "third_party")
-    grouped = ranked_evidence(evidence).groupBy("repo", "tech").agg(
-        F.min(F.struct("rank", label.alias("provenance")))["provenance"].alias("provenance"),
-        F.array_sort(F.collect_list(item)).alias("evidence"),
-    )
-    return grouped.select(
+    presence = F.col("tech").isin(*PRESENCE_TECHS) & (F.col("rank") == RANK["declared"])
+    mention = F.col("rank") == RANK["mentioned"]
+    grouped = evidence.groupBy("repo", "tech").agg(
+        _first_item().alias("i"), F.count_if(~presence & ~mention).alias("plain"), F.bool_or(presence).cast("int").alias("present"))
+    label = F.element_at(F.array(*[F.lit(p) for p in dims.PROVENANCE_ORDER]), F.col("i.key") + 1)
+    count = F.when(F.col("i.key") == RANK["mentioned"], 1).otherwise(F.col("plain") + F.col("present")).cast("bigint")
+    return grouped.select("repo", "tech", label.alias("provenance"), count.alias("n_evidence"), "i.file", "i.line", "i.detail").select(
         "repo", "tech", "provenance", lookup(dims.PROVENANCE_CONFIDENCE, F.col("provenance")).alias("confidence"),
-        "evidence",
+        "n_evidence", "file", "line", "detail",
     )
 
 
@@ -159,19 +174,19 @@ def tech_imported(files: DataFrame) -> DataFrame:
 
 def tech_mentioned_only(technologies: DataFrame) -> DataFrame:
     return technologies.where(F.col("provenance") == "mentioned").select(
-        "repo", "tech", F.col("evidence")[0]["file"].alias("file"), F.col("evidence")[0]["line"].alias("line")
-    )
+        "repo", "tech", "file", "line")
 
 
 def tech_mentions(files: DataFrame, patterns=dims.TECHNOLOGY_PATTERNS) -> DataFrame:
-    """(repo, tech, weight, confidence, n, file, line): first 20 mentions with their total weight."""
-    rows = mention_rows(files, patterns)
-    total = rows.groupBy("repo", "tech").agg(F.sum("weight").alias("total"))
-    first = top_n(rows, ["repo", "tech"], ["file", "line", "pattern"], dims.MAX_EVIDENCE_ITEMS, "n")
+    """(repo, tech, total, confidence, n, file, line): all mentions in one aggregate, the first one cited.
+
+    The single mentions are :func:`mention_rows`.
+    """
+    first = F.min(F.struct("file", "line", "pattern"))
+    grouped = mention_rows(files, patterns).groupBy("repo", "tech").agg(
+        F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n"), first.alias("i"))
     confidence = F.when(F.col("total") >= 10, "high").when(F.col("total") >= 3, "medium").otherwise("low")
-    return first.join(total, ["repo", "tech"]).select(
-        "repo", "tech", "total", confidence.alias("confidence"), "n", "file", "line", "weight"
-    )
+    return grouped.select("repo", "tech", "total", confidence.alias("confidence"), "n", "i.file", "i.line")
 
 
 # --- capabilities -----------------------------------------------------------
@@ -183,8 +198,7 @@ def keyword_pattern(words: tuple[str, ...]) -> str:
 def capability_hits(files: DataFrame, keywords=dims.CAPABILITY_KEYWORDS) -> DataFrame:
     """(repo, category, file, line, keyword, third_party): first keyword per file and category."""
     scoped = files.where(
-        F.col("text") & (F.col("size") <= dims.MAX_CAPABILITY_BYTES)
-        & ~F.col("path").rlike(rx(dims.CAPABILITY_EXCLUDED_PATH, "i"))
+        F.col("text") & ~F.col("path").rlike(rx(dims.CAPABILITY_EXCLUDED_PATH, "i"))
     )
     content = F.col("content")
     hits = []
@@ -226,17 +240,16 @@ def capability_corroboration(
 
 
 def capability_signals(hits: DataFrame, corroboration: DataFrame) -> DataFrame:
-    """(repo, category, confidence, own_files, corroborated_by, n, keyword, file, line, third_party).
+    """(repo, category, confidence, own_files, corroborated_by, keyword, file, line, third_party).
 
-    Up to 20 signals per category; only categories with an own file and support.
+    Every hit of the categories with an own file and support.
     """
     own = hits.groupBy("repo", "category").agg(F.count_if(~F.col("third_party")).alias("own_files"))
     confidence = F.when(F.col("own_files") >= 3, "medium").otherwise("low")
     kept = own.where(F.col("own_files") > 0).join(corroboration, ["repo", "category"])
-    first = top_n(hits, ["repo", "category"], ["file"], dims.MAX_EVIDENCE_ITEMS, "n")
-    return first.join(kept, ["repo", "category"]).select(
+    return hits.join(kept, ["repo", "category"]).select(
         "repo", "category", confidence.alias("confidence"), "own_files", "corroborated_by",
-        "n", "keyword", "file", "line", "third_party",
+        "keyword", "file", "line", "third_party",
     )
 
 

@@ -105,7 +105,7 @@ SIGNAL_PARTS: dict[str, list[tuple[str, str, str, str, dict[str, int], str, str]
     ],
 }
 LANGS = {"Python": "('Python')", "JS": names(dims.SCRIPT_LANGUAGES), "SQL": "('SQL')"}
-IN_SCOPE = f"text AND size <= {dims.MAX_ANALYSIS_BYTES}"
+IN_SCOPE = "text"
 
 
 def part_sql(name: str) -> str:
@@ -240,19 +240,19 @@ CTES["ev"] = " UNION ALL ".join(f"SELECT * FROM ev_{p}" for p in dims.PROVENANCE
 EV_ORDER = "rank, CASE WHEN rank = 0 THEN depth ELSE 0 END, file, line, detail"
 CTES["ev_n"] = f"SELECT *, row_number() OVER (PARTITION BY repo, tech ORDER BY {EV_ORDER}) AS n, min(rank) OVER (PARTITION BY repo, tech) AS best FROM ev"
 CTES["ev_kept"] = (
-    "SELECT * FROM ev_n WHERE n <= 20 AND NOT (tech IN ('Node.js', 'Docker') AND rank = 0 AND n > 1) "
+    "SELECT * FROM ev_n WHERE NOT (tech IN ('Node.js', 'Docker') AND rank = 0 AND n > 1) "
     "AND (rank < 3 OR (best = 3 AND n = 1))"
 )
 PROV = "['declared', 'imported', 'vendored', 'mentioned'][best + 1]"
 CONF = "['high', 'high', 'medium', 'low'][best + 1]"
 CTES["techs"] = (
     f"SELECT repo, tech, {PROV} AS provenance, {CONF} AS confidence, count(*) AS n_evidence, "
-    "arg_min(file, n) AS first_file, arg_min(line, n) AS first_line FROM ev_kept GROUP BY repo, tech, best"
+    "arg_min(file, n) AS file, arg_min(line, n) AS line, arg_min(detail, n) AS detail FROM ev_kept GROUP BY repo, tech, best"
 )
 CTES["hits"] = " UNION ALL ".join(
     f"SELECT repo, {q(c)} AS category, path AS file, {first('content', '(?i)' + p)} AS line, "
     f"lower(regexp_extract(content, {q('(?i)' + p)})) AS keyword, third_party FROM files "
-    f"WHERE text AND size <= {dims.MAX_CAPABILITY_BYTES} AND NOT {has('path', dims.CAPABILITY_EXCLUDED_PATH, 'i')} AND {has('content', p, 'i')}"
+    f"WHERE text AND NOT {has('path', dims.CAPABILITY_EXCLUDED_PATH, 'i')} AND {has('content', p, 'i')}"
     for c, p in ((c, "|".join(rf"\b{re.escape(w)}\b" for w in ws)) for c, ws in dims.CAPABILITY_KEYWORDS.items())
 )
 TECH_SUPPORT = ", ".join(f"({q(c)}, {q(t)})" for c, ts in dims.CAPABILITY_SUPPORT_TECH.items() for t in ts)
@@ -266,9 +266,9 @@ CTES["corro"] = (
     ") GROUP BY repo, category"
 )
 CTES["caps"] = (
-    "SELECT h.repo, h.category, CASE WHEN own >= 3 THEN 'medium' ELSE 'low' END AS confidence, own AS own_files, corroborated_by, n, keyword, file, line, third_party "
-    "FROM (SELECT *, row_number() OVER (PARTITION BY repo, category ORDER BY file) AS n, "
-    "count(*) FILTER (NOT third_party) OVER (PARTITION BY repo, category) AS own FROM hits) h JOIN corro c USING (repo, category) WHERE own > 0 AND n <= 20"
+    "SELECT h.repo, h.category, CASE WHEN own >= 3 THEN 'medium' ELSE 'low' END AS confidence, own AS own_files, corroborated_by, keyword, file, line, third_party "
+    "FROM (SELECT *, "
+    "count(*) FILTER (NOT third_party) OVER (PARTITION BY repo, category) AS own FROM hits) h JOIN corro c USING (repo, category) WHERE own > 0"
 )
 
 # --- inventories
@@ -277,23 +277,20 @@ CTES["env"] = (
     "(SELECT * FROM s_py_env_vars UNION ALL SELECT * FROM s_js_env_vars)) WHERE r = 1"
 )
 CTES["api"] = (
-    "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY file, line, method, path) AS rank FROM ("
     "SELECT DISTINCT repo, file, line, method, value AS path, CASE WHEN kind = 'route' THEN 'backend_route' ELSE 'frontend_api_call' END AS type "
-    "FROM (SELECT * FROM s_py_routes UNION ALL SELECT * FROM s_js_api_calls))) WHERE rank <= 150"
+    "FROM (SELECT * FROM s_py_routes UNION ALL SELECT * FROM s_js_api_calls)"
 )
 CTES["tabs"] = (
-    "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY file, line, value) AS rank FROM ("
-    "SELECT DISTINCT repo, file, line, value FROM s_sql_tables)) WHERE rank <= 150"
+    "SELECT DISTINCT repo, file, line, value FROM s_sql_tables"
 )
 SCORE = " + ".join(f"CASE WHEN contains(lower(path), {q(w)}) THEN 1 ELSE 0 END" for w in dims.IMPORTANT_KEYWORDS)
 CTES["important"] = (
-    f"SELECT repo, path, CAST(score AS BIGINT) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, path) AS rank FROM ("
+    f"SELECT repo, path, CAST(score AS BIGINT) AS score FROM ("
     f"SELECT repo, path, {SCORE} + CASE WHEN lower(name) IN {names(dims.CORE_MANIFESTS)} THEN 10 ELSE 0 END + CASE WHEN important THEN 5 ELSE 0 END AS score FROM files) "
-    "WHERE score > 0) WHERE rank <= 80"
+    "WHERE score > 0"
 )
 CTES["langs"] = (
-    "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, language) AS rank FROM ("
-    "SELECT repo, language, count(*) AS n FROM files WHERE language <> 'Other' GROUP BY ALL)) WHERE rank <= 15"
+    "SELECT repo, language, count(*) AS n FROM files WHERE language <> 'Other' GROUP BY ALL"
 )
 
 # --- personal data
@@ -326,7 +323,7 @@ def pii_cte(source: str) -> str:
         f"len(list_distinct(regexp_extract_all(content, {q(dims.PHONE_CL)}))) AS telefono, "
         f"len(list_distinct(list_transform(regexp_extract_all(content, {q('(?i)' + dims.SENSITIVE_FIELD)}), lambda x: lower(x)))) AS campos_sensibles, "
         f"list_sort(list_distinct(list_transform(regexp_extract_all(content, {q('(?i)' + dims.SPECIAL_CATEGORY)}), lambda x: lower(x)))) AS special, "
-        f"{has('path', dims.TEST_PATH, 'i')} AS in_test_path FROM {source} WHERE NOT third_party AND (ext IN {names(dims.SPREADSHEET_EXTENSIONS)} OR (text AND size <= {dims.MAX_PII_BYTES}))) a "
+        f"{has('path', dims.TEST_PATH, 'i')} AS in_test_path FROM {source} WHERE NOT third_party AND (ext IN {names(dims.SPREADSHEET_EXTENSIONS)} OR text)) a "
         f"LEFT JOIN (SELECT repo, path, count(*) AS correo FROM ({emails_sql(source, 'repo, path', 'content')}) GROUP BY ALL) m USING (repo, path) "
         "WHERE sheet OR rut + telefono + coalesce(correo, 0) > 0"
     )
@@ -362,7 +359,7 @@ ENTRY = has("content", "|".join(dims.ENTRY_POINTS), "m")
 
 def unmentioned(source: str) -> str:
     return (
-        f"SELECT s.* FROM ({source}) s WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.repo = s.repo AND f.text AND f.size <= {dims.MAX_MENTION_BYTES} "
+        f"SELECT s.* FROM ({source}) s WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.repo = s.repo AND f.text "
         f"AND f.stem <> s.stem AND contains(f.content, s.stem))"
     ).replace("files f", f"(SELECT *, {STEM} AS stem FROM files) f")
 
@@ -418,7 +415,7 @@ DEBT = (
     "+ CASE WHEN has_tests THEN 0 ELSE 10 END + CASE WHEN has_ci THEN 0 ELSE 5 END + CASE WHEN has_gitignore THEN 0 ELSE 5 END"
 )
 CTES["debts"] = f"SELECT *, CAST({DEBT} AS BIGINT) AS debt FROM health"
-CTES["cards"] = "SELECT d.*, r.private, r.description FROM debts d JOIN repos r ON d.repo = r.name"
+CTES["cards"] = "SELECT d.*, r.private, r.description, r.html_url FROM debts d JOIN repos r ON d.repo = r.name"
 
 # --- claims
 CTES["guides"] = "SELECT repo, content AS text FROM files WHERE ext = '.md'"
@@ -560,13 +557,11 @@ add("scan_corpus", "SELECT * EXCLUDE (content) FROM files")
 add("read_content", "SELECT doc_id, sha256(regexp_replace(replace(text, '�', ''), '\\r\\n?', chr(10), 'g') || chr(10) || 'A' || chr(10) || 'B') AS sha FROM documents")
 add("file_sha256", "SELECT repo, path, sha256(content) AS sha256 FROM tracked")
 add("collect_incremental", "SELECT name FROM repos WHERE name NOT IN (SELECT repo FROM files)")
-add("evidence_sink", "SELECT repo, CAST(1 AS BIGINT) AS parts, repo AS repository, count(*) AS file_count FROM files GROUP BY repo")
-add("card_sink", "SELECT repo, debt FROM cards WHERE NOT private")
 add("path_excluded", f"SELECT repo, path, {EXCLUDED} OR path IN ('docs', 'LICENSE') OR starts_with(path, 'docs/') OR starts_with(path, 'LICENSE/') AS excluded FROM tracked")
 add("path_third_party", f"SELECT repo, path, {THIRD} AS third_party FROM tracked")
 add("language_of", f"SELECT repo, path, {LANGUAGE} AS language FROM tracked")
 add("is_text_file", f"SELECT repo, path, {TEXT} AS text FROM tracked")
-add("analysis_scope", "SELECT repo, path, size FROM files WHERE text AND size <= 150")
+add("analysis_scope", "SELECT repo, path, size FROM files WHERE text")
 add("in_scope_repo", "SELECT repo, starts_with(lower(repo), 'repo_') AS in_scope FROM hooks")
 add("active_repo", "SELECT name FROM repos WHERE NOT archived AND NOT disabled AND NOT fork AND name NOT IN ('repo_1', 'repo_2')")
 add("size_gate", "SELECT name, size, CASE WHEN size > 300000 THEN 'OMITIDO_POR_TAMANO: ' || CAST(round_even(size / 1024, 0) AS BIGINT) || ' MB supera el limite de 293 MB' END AS omitted_reason FROM repos")
@@ -574,7 +569,8 @@ add("test_path", f"SELECT repo, path, {has('path', dims.TEST_PATH, 'i')} AS test
 add("protected_path", f"SELECT repo, path, {PROTECTED} AS protected FROM tracked")
 add("entry_point", f"SELECT repo, path, {ENTRY} AS entry FROM files")
 add("conclusive_only", "SELECT repo, tech, provenance, confidence FROM techs WHERE provenance <> 'mentioned'")
-add("deployment_files", f"SELECT repo, path, rank FROM (SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY path) AS rank FROM files WHERE {' OR '.join(f'contains(lower(path), {q(t)})' for t in dims.DEPLOYMENT_TOKENS)}) WHERE rank <= 50")
+CTES["deployment"] = f"SELECT repo, path FROM files WHERE {' OR '.join(f'contains(lower(path), {q(t)})' for t in dims.DEPLOYMENT_TOKENS)}"
+add("deployment_files", "SELECT * FROM deployment")
 add("gitignore_anchored", f"SELECT repo, path, {COVERED} AS ignored FROM tracked LEFT JOIN ignores USING (repo)")
 for _name in ("py_imports", *SIGNAL_PARTS):
     add(_name, f"SELECT * EXCLUDE (third_party) FROM s_{_name}")
@@ -584,8 +580,8 @@ CTES["crawled"] = "SELECT 'pages' AS repo, 'p' || page_id || '.html' AS path, ht
 WIDE = ASSET.replace("script|link", "script|link|a")
 add("html_assets", "SELECT repo, path AS file, third_party, tech, asset, line FROM assets UNION ALL SELECT repo, path, false, tech, asset, line FROM ("
     + assets_sql("crawled", "true", WIDE, (("the", "The"), ("example", "Example")), "repo, path") + ")")
-add("tech_mentions", "SELECT repo, tech, CAST(total AS BIGINT) AS total, CASE WHEN total >= 10 THEN 'high' WHEN total >= 3 THEN 'medium' ELSE 'low' END AS confidence, n, file, line, CAST(weight AS BIGINT) AS weight FROM ("
-    "SELECT *, sum(weight) OVER (PARTITION BY repo, tech) AS total, row_number() OVER (PARTITION BY repo, tech ORDER BY file, line, pattern) AS n FROM mentions) WHERE n <= 20")
+add("tech_mentions", "SELECT repo, tech, CAST(sum(weight) AS BIGINT) AS total, CASE WHEN sum(weight) >= 10 THEN 'high' WHEN sum(weight) >= 3 THEN 'medium' ELSE 'low' END AS confidence, "
+    "count(*) AS n, arg_min(file, r) AS file, arg_min(line, r) AS line FROM (SELECT *, row_number() OVER (PARTITION BY repo, tech ORDER BY file, line, pattern) AS r FROM mentions) GROUP BY repo, tech")
 add("citation_extract", "SELECT * FROM cites")
 add("split_sections", "SELECT repo, n, document, text FROM sections")
 CTES["replies"] = d.select_sql("customer", d.REPLIES)
@@ -605,9 +601,9 @@ add("root_dependencies", "SELECT repo, file, 'npm' AS ecosystem, name, version,
     f"UNION ALL SELECT repo, path, 'python', {strip('raw')}, NULL, NULL, line FROM lns WHERE path IN ('requirements.txt', 'requirements-dev.txt') AND {strip('raw')} <> '' AND NOT starts_with({strip('raw')}, '#')")
 add("normalize_token", f"SELECT repo, file, line, name, {token_sql('name')} AS token FROM deps")
 add("tech_for", f"SELECT repo, file, line, name, {tech_sql('name')} AS tech FROM deps")
-add("tech_declared", f"SELECT repo, tech, n, file, line, detail FROM (SELECT *, row_number() OVER (PARTITION BY repo, tech ORDER BY {EV_ORDER}) AS n FROM ev_declared) WHERE n <= 20 AND NOT (tech IN ('Node.js', 'Docker') AND n > 1)")
+add("tech_declared", f"SELECT repo, tech, file, line, detail FROM (SELECT *, row_number() OVER (PARTITION BY repo, tech ORDER BY {EV_ORDER}) AS n FROM ev_declared) WHERE NOT (tech IN ('Node.js', 'Docker') AND n > 1)")
 add("tech_imported", "SELECT repo, tech, file, line, detail FROM ev_imported")
-add("tech_mentioned_only", "SELECT repo, tech, first_file AS file, first_line AS line FROM techs WHERE provenance = 'mentioned'")
+add("tech_mentioned_only", "SELECT repo, tech, file, line FROM techs WHERE provenance = 'mentioned'")
 add("capability_corroboration", "SELECT * FROM corro")
 add("pii_ignore_status", f"SELECT repo, path, {PII_MARK} AS mark, {COVERED} AS ignored_anchored FROM pii LEFT JOIN ignores USING (repo)")
 add("orphan_by_import", f"SELECT repo, path, {STEM} AS stem FROM files WHERE (repo, {STEM}) NOT IN (SELECT repo, stem FROM modules)")
@@ -626,11 +622,13 @@ add("prior_rejection", "SELECT DISTINCT repo FROM latest WHERE merged_at IS NULL
 CTES["open_pulls"] = d.select_sql("orders", d.OPEN_PULLS)
 add("residual_prs", "SELECT o.repo, o.url FROM open_pulls o JOIN audit a ON o.repo = a.repo WHERE o.state = 'open' AND a.has_hook AND NOT starts_with(lower(a.repo), 'repo_')")
 add("provenance_rank", "SELECT * FROM techs")
+add("ranked_evidence", "SELECT repo, tech, CAST(rank AS BIGINT) AS rank, file, line, detail, third_party FROM ev_kept")
 add("capability_signals", "SELECT * FROM caps")
 add("env_inventory", "SELECT * FROM env")
 add("api_inventory", "SELECT * FROM api")
 add("table_inventory", "SELECT * FROM tabs")
-add("structure_counts", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, root) AS rank FROM (SELECT repo, string_split(path, '/')[1] AS root, count(*) AS n FROM files GROUP BY ALL)) WHERE rank <= 30")
+CTES["roots"] = "SELECT repo, string_split(path, '/')[1] AS root, count(*) AS n FROM files GROUP BY ALL"
+add("structure_counts", "SELECT * FROM roots")
 add("language_counts", "SELECT * FROM langs")
 add("pii_scan", f"SELECT repo, path, sha256, CASE WHEN sheet THEN 'planilla' ELSE 'patrones de dato personal' END AS reason, CASE WHEN sheet THEN 0 ELSE rut END AS rut, CASE WHEN sheet THEN 0 ELSE correo END AS correo, "
     f"CASE WHEN sheet THEN 0 ELSE telefono END AS telefono, CASE WHEN sheet THEN 0 ELSE campos_sensibles END AS campos_sensibles, in_test_path, CASE WHEN sheet THEN '' ELSE array_to_string(special, '|') END AS special_category, {PII_MARK} AS mark FROM pii_both")
@@ -640,35 +638,32 @@ add("cleanup_summary", "SELECT repo, category, count(*) AS n_files, CAST(sum(siz
     "FROM cands JOIN (SELECT repo, count(*) AS total FROM files GROUP BY repo) USING (repo) GROUP BY GROUPING SETS ((repo, category), (repo))")
 
 
-def json_list(part: str) -> str:
-    return f"'[' || coalesce(string_agg('\"' || replace(replace(entry, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"') || '\"', ',' ORDER BY encode(entry)) FILTER (part = '{part}'), '') || ']'"
-
-
 CTES["parts"] = (
     "SELECT repo, 'api' AS part, method || ' ' || path AS entry FROM api UNION ALL SELECT repo, 'dependencies', file || '::' || name || '@' || coalesce(version, '') FROM deps "
     "UNION ALL SELECT repo, 'env', value FROM env UNION ALL SELECT repo, 'important_files', path FROM important UNION ALL SELECT repo, 'scripts', name || '=' || command FROM scripts "
     "UNION ALL SELECT repo, 'tables', value FROM tabs UNION ALL SELECT repo, 'technologies', tech || ':' || provenance FROM techs WHERE provenance <> 'mentioned' "
     "UNION ALL SELECT DISTINCT repo, NULL, NULL FROM files"
 )
-CANON = " || ',' || ".join(f"'\"{p}\":' || {json_list(p)}" for p in ("api", "dependencies", "env", "important_files", "scripts", "tables", "technologies"))
-add("fingerprint", f"SELECT repo, sha256('{{' || {CANON} || '}}') AS sha, CAST(1 AS BIGINT) AS chunks FROM parts GROUP BY repo")
+CTES["printed"] = "SELECT repo, part || ':' || entry || '*' || count(*) AS l FROM parts WHERE part IS NOT NULL GROUP BY repo, part, entry"
+CTES["prints"] = "SELECT repo, left(md5(l), 4) AS bucket, sha256(string_agg(l, chr(10) ORDER BY encode(l))) AS s FROM printed GROUP BY ALL"
+add("fingerprint", "SELECT repo, sha256(coalesce(string_agg(bucket || s, '' ORDER BY bucket), '')) AS sha, count(bucket) AS buckets FROM (SELECT DISTINCT repo FROM files) LEFT JOIN prints USING (repo) GROUP BY repo")
 add("health_facts", "SELECT * FROM health")
 
 
-def card_list(source: str, value: str, order: str, limit: int, where: str = "true") -> str:
-    return f"LEFT JOIN (SELECT repo, string_agg({value}, '|' ORDER BY rn) AS v FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {order}) AS rn FROM {source} WHERE {where}) WHERE rn <= {limit} GROUP BY repo)"
-
-
-add("repo_card", "SELECT c.repo, c.private, c.debt, coalesce(m.n, 0) AS n_manifests, coalesce(l.v, '') AS languages, coalesce(t.v, '') AS technologies, coalesce(p.v, '') AS dependencies, coalesce(a.v, '') AS endpoints, "
-    "coalesce(b.v, '') AS tables, coalesce(e.v, '') AS env_vars, coalesce(i.v, '') AS key_files FROM cards c "
-    "LEFT JOIN (SELECT repo, count(*) AS n FROM mans WHERE NOT third_party GROUP BY repo) m ON c.repo = m.repo "
-    + card_list("langs", "language || ':' || n", "rank", 8) + " l ON c.repo = l.repo "
-    + card_list("techs", "tech || ':' || provenance", "tech", 99, "provenance <> 'mentioned'") + " t ON c.repo = t.repo "
-    + card_list("deps", "name || coalesce(version, '')", "depth, file, line, name, section", 80) + " p ON c.repo = p.repo "
-    + card_list("api", "method || ' ' || path", "rank", 80) + " a ON c.repo = a.repo "
-    + card_list("tabs", "value", "rank", 60) + " b ON c.repo = b.repo "
-    + card_list("env", "value", "value", 60) + " e ON c.repo = e.repo "
-    + card_list("important", "path", "rank", 25) + " i ON c.repo = i.repo")
+CTES["items0"] = (
+    "SELECT repo, 'languages' AS field, language || ':' || n AS value FROM langs UNION ALL SELECT repo, 'technologies', tech || ':' || provenance FROM techs WHERE provenance <> 'mentioned' "
+    "UNION ALL SELECT repo, 'dependencies', name || coalesce(version, '') FROM deps UNION ALL SELECT repo, 'endpoints', method || ' ' || path FROM api UNION ALL SELECT repo, 'tables', value FROM tabs "
+    "UNION ALL SELECT repo, 'env_vars', value FROM env UNION ALL SELECT repo, 'key_files', path FROM important UNION ALL SELECT repo, 'manifests', kind || ':' || path FROM mans WHERE NOT third_party"
+)
+CTES["items"] = "SELECT repo, field, value, count(*) AS n FROM items0 GROUP BY ALL"
+add("card_items", "SELECT * FROM items")
+COUNTED = ", ".join(f"coalesce(n_{n}, 0) AS n_{n}" for n in ("dependencies", "endpoints", "tables", "env_vars", "key_files", "manifests"))
+CTES["itemised"] = (
+    "SELECT repo, " + ", ".join(f"CAST(sum(n) FILTER (field = '{n}') AS BIGINT) AS n_{n}" for n in ("dependencies", "endpoints", "tables", "env_vars", "key_files", "manifests"))
+    + ", " + ", ".join(f"string_agg(value, '|' ORDER BY encode(value)) FILTER (field = '{n}') AS {n}" for n in ("languages", "technologies")) + " FROM items GROUP BY repo"
+)
+CTES["full_cards"] = f"SELECT c.repo, c.private, c.description, c.html_url, c.debt, {COUNTED}, coalesce(languages, '') AS languages, coalesce(technologies, '') AS technologies FROM cards c LEFT JOIN itemised USING (repo)"
+add("repo_card", "SELECT * EXCLUDE (description, html_url) FROM full_cards")
 add("private_rollup", "SELECT count(*) AS total, count(*) FILTER (readme_bytes = 0) AS no_readme, count(*) FILTER (readme_placeholder) AS placeholder, count(*) FILTER (NOT has_license) AS no_license, "
     "count(*) FILTER (NOT has_tests) AS no_tests, count(*) FILTER (NOT has_ci) AS no_ci FROM cards WHERE private HAVING count(*) > 0")
 add("ref_type_counts", "SELECT coalesce(ref_type, 'no reconocida') AS ref_type, count(*) AS n FROM audit WHERE has_hook GROUP BY ALL")
@@ -705,11 +700,10 @@ CTES["sweep"] = (
     f"LEFT JOIN (SELECT repo, length(text) AS b, {SEL_SHORT} AS ph FROM root_readme) m ON r.name = m.repo "
     "LEFT JOIN (SELECT DISTINCT repo FROM latest WHERE merged_at IS NULL) x ON r.name = x.repo WHERE NOT archived AND NOT disabled AND NOT fork"
 )
-add("sweep_selection", "SELECT *, CASE WHEN rank <= 300 THEN 'selected' ELSE 'waiting' END AS list FROM (SELECT *, row_number() OVER (ORDER BY NOT placeholder, readme_bytes, pushed_at, repo) AS rank FROM sweep WHERE has_hook AND NOT rejected) "
+add("sweep_selection", "SELECT *, 'selected' AS list FROM (SELECT *, row_number() OVER (ORDER BY NOT placeholder, readme_bytes, pushed_at, repo) AS rank FROM sweep WHERE has_hook AND NOT rejected) "
     "UNION ALL SELECT *, NULL, CASE WHEN NOT has_hook AND rejected THEN 'no_hook,rejected' WHEN NOT has_hook THEN 'no_hook' ELSE 'rejected' END FROM sweep WHERE NOT has_hook OR rejected")
 add("candidate_order", "SELECT *, row_number() OVER (PARTITION BY repo ORDER BY CASE confidence WHEN 'alta' THEN 0 ELSE 1 END, size DESC, path) AS rank FROM cands")
-add("pii_order", "SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY CASE WHEN sheet THEN 0 ELSE rut + correo + telefono + campos_sensibles END DESC, path) AS rank FROM ("
-    "SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path) AS c FROM pii) WHERE c <= 400")
+add("pii_order", "SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY CASE WHEN sheet THEN 0 ELSE rut + correo + telefono + campos_sensibles END DESC, path) AS rank FROM pii")
 add("manifest_order", "SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY third_party, depth, path) AS rank FROM mans")
 add("deletion_candidates", "SELECT * FROM cands")
 add("claims_minus_evidence", "SELECT * FROM unsupported")
@@ -754,12 +748,81 @@ add("human_inputs_guard", f"SELECT repo, bool_or(document IN {names(dims.REQUIRE
 HINT = "CASE " + " ".join(f"WHEN contains(upper(value), {q(n)}) THEN {q(h)}" for n, h in dims.ENV_HINTS) + f" ELSE {q(dims.DEFAULT_ENV_HINT)} END"
 add("env_example_rows", f"SELECT repo, value, file, line, {HINT} AS hint FROM env WHERE value NOT IN {names(dims.RUNTIME_ENV)}")
 add("api_doc_rows", "SELECT repo, section, method, path, file, line FROM (SELECT *, CASE WHEN type = 'frontend_api_call' THEN 'consumed' ELSE 'exposed' END AS section, row_number() OVER (PARTITION BY repo, type, method, path ORDER BY file, line) AS r FROM api) WHERE r = 1")
-add("public_view", "SELECT repo, debt FROM cards WHERE NOT private")
+add("public_view", "SELECT * EXCLUDE (private) FROM full_cards WHERE NOT private")
 README_SHOWN = "CASE WHEN readme_bytes = 0 THEN 'vacio' WHEN readme_placeholder THEN 'marcador' ELSE printf('%.1f KB', round_even(readme_bytes / 1024, 1)) END"
 add("inventory_rows", f"SELECT c.repo, c.repo || CASE WHEN private THEN ' (privado)' ELSE '' END AS shown, debt, {README_SHOWN} AS readme, " + ", ".join(f"CASE WHEN {f} THEN 'si' ELSE '-' END AS {f}" for f in ("has_tests", "has_ci", "has_license"))
-    + ", coalesce(left(st, 44), '-') AS stack FROM cards c LEFT JOIN (SELECT repo, string_agg(tech, ', ' ORDER BY tech) AS st FROM techs WHERE provenance <> 'mentioned' GROUP BY repo) t ON c.repo = t.repo")
+    + ", coalesce(st, '-') AS stack FROM cards c LEFT JOIN (SELECT repo, string_agg(tech, ', ' ORDER BY tech) AS st FROM techs WHERE provenance <> 'mentioned' GROUP BY repo) t ON c.repo = t.repo")
 add("hook_audit", "SELECT * FROM audit")
 add("ref_class", f"SELECT repo, {REF_KIND} AS kind FROM audit WHERE ref IS NOT NULL")
 add("hook_drift", f"SELECT name AS repo, CASE WHEN text IS NULL THEN 'sin stub' WHEN {strip('replace(text, chr(13) || chr(10), chr(10))')} = 'uses: {d.WORKFLOW}@v2' || chr(10) || 'engine_ref: v2' THEN 'ya al dia' ELSE 'se actualizaria' END AS state FROM repos LEFT JOIN hooks ON repos.name = hooks.repo")
 add("stream_change_gate", "SELECT CAST(user_id AS VARCHAR) AS repo, event_type AS sha, event_id FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type")
 add("stream_evidence", "SELECT * FROM signals")
+NAMED = ("SELECT DISTINCT p.repo FROM full_cards p JOIN full_cards s ON p.private AND NOT s.private AND "
+         "regexp_matches(s.repo || ' ' || s.description, '(?i)(^|[^A-Za-z0-9_])' || p.repo || '([^A-Za-z0-9_]|$)')")
+CTES["named"] = NAMED
+add("card_sink", "SELECT * EXCLUDE (html_url), repo IN (SELECT repo FROM named) AS named FROM full_cards")
+CTES["records"] = (
+    "SELECT repo, 'files' AS section, language AS name, size || '|' || third_party AS detail, path AS file, CAST(NULL AS BIGINT) AS line FROM files "
+    "UNION ALL SELECT repo, 'structure', root, CAST(n AS VARCHAR), NULL, NULL FROM roots UNION ALL SELECT repo, 'languages', language, CAST(n AS VARCHAR), NULL, NULL FROM langs "
+    "UNION ALL SELECT repo, 'important_files', NULL, CAST(score AS VARCHAR), path, NULL FROM important "
+    "UNION ALL SELECT repo, 'technologies', tech, provenance || '|' || confidence || '|' || n_evidence, file, line FROM techs "
+    "UNION ALL SELECT repo, 'dependencies', name, kind || '|' || coalesce(section, '') || '|' || coalesce(version, ''), file, line FROM deps "
+    "UNION ALL SELECT repo, 'scripts', name, command, file, line FROM scripts "
+    "UNION ALL SELECT m.repo, 'manifests', m.kind, coalesce(m.project_name, '') || '|' || coalesce(a.n, 0) || '|' || coalesce(s.n, 0) || '|' || m.third_party, m.path, NULL FROM mans m "
+    "LEFT JOIN (SELECT repo, file, count(*) AS n FROM deps_all GROUP BY ALL) a ON m.repo = a.repo AND m.path = a.file LEFT JOIN (SELECT repo, file, count(*) AS n FROM scripts GROUP BY ALL) s ON m.repo = s.repo AND m.path = s.file "
+    "UNION ALL SELECT repo, 'env', value, lang, file, line FROM env UNION ALL SELECT repo, 'api', method || ' ' || path, type, file, line FROM api UNION ALL SELECT repo, 'tables', value, NULL, file, line FROM tabs "
+    "UNION ALL SELECT repo, 'capabilities', category, confidence || '|' || own_files || '|' || corroborated_by || '|' || keyword, file, line FROM caps "
+    "UNION ALL SELECT repo, 'signals', value, lang || '|' || kind || '|' || coalesce(method, ''), file, line FROM signals "
+    f"UNION ALL SELECT repo, 'readme', NULL, unnest(s), NULL, unnest(range(1, len(s) + 1)) FROM (SELECT repo, {summary_sql('text')} AS s FROM root_readme)"
+)
+add("evidence_sink", "SELECT * FROM records")
+
+
+def digest_section(number: int, limit: int, source: str, order: str, line: str, where: str = "true") -> str:
+    return (
+        f"SELECT repo, {number} AS section, n, l, {limit} AS lim FROM (SELECT repo, {line} AS l, row_number() OVER (PARTITION BY repo ORDER BY {order + ', ' if order else ''}{line}) AS n "
+        f"FROM {source} WHERE {where}) WHERE n <= {limit + 1}"
+    )
+
+
+def cited(value: str) -> str:
+    return f"{value} || ' [' || file || ':' || line || ']'"
+
+
+CTES["digest_config"] = f"SELECT repo, trim(coalesce(json_extract_string(j, '$.declared'), '')) AS declared FROM conf WHERE repo IN (SELECT repo FROM files)"
+CTES["digest_manifests"] = (
+    "SELECT m.*, m.path || ' (' || m.kind || ', ' || coalesce(a.n, 0) || ')' || CASE WHEN m.third_party THEN ' third party' ELSE '' END AS l FROM mans m "
+    "LEFT JOIN (SELECT repo, file, count(*) AS n FROM deps_all GROUP BY ALL) a ON m.repo = a.repo AND m.path = a.file"
+)
+CTES["modules_shown"] = (
+    "SELECT repo, file, count(*) FILTER (kind = 'class') || ' classes, ' || count(*) FILTER (kind = 'function') || ' functions, ' || count(*) FILTER (kind = 'import') || ' imports' AS outline "
+    "FROM signals WHERE lang = 'python' AND kind IN ('class', 'function', 'import') GROUP BY ALL"
+)
+CTES["components_shown"] = "SELECT repo, file, count(*) || ' components' AS outline FROM signals WHERE kind = 'component' GROUP BY ALL"
+CTES["readme_shown"] = f"SELECT repo, unnest(s) AS value, unnest(range(1, len(s) + 1)) AS i FROM (SELECT repo, {summary_sql('text').replace('[1:35]', '[1:36]')} AS s FROM root_readme)"
+LIMITS = [1, 15, 25, 25, 20, 60, 60, 40, 30, 80, 150, 150, 100, 60, 60, 60, 35, 50]
+DEP_LINE = "name || CASE WHEN kind = 'npm' THEN '@' ELSE '' END || coalesce(version, '')"
+DEP_ORDER = "depth, file, line, name, section NULLS FIRST"
+CTES["digest_rows"] = " UNION ALL ".join(digest_section(i, LIMITS[i], *args) for i, args in enumerate((
+    ("digest_config", "", "'declared by people: ' || declared", "declared <> ''"),
+    ("langs", "n DESC, language", "'language: ' || language"),
+    ("techs", "tech", "'technology: ' || tech || ' ' || provenance || ' ' || file || ':' || line", "provenance <> 'mentioned'"),
+    ("techs", "tech", "'only mentioned: ' || tech", "provenance = 'mentioned'"),
+    ("digest_manifests", "third_party, depth, path", "l"),
+    ("deps", DEP_ORDER, cited(DEP_LINE), "kind = 'npm'"),
+    ("deps", DEP_ORDER, cited(DEP_LINE), "kind = 'python'"),
+    ("scripts", "file, line, name", "name || '=' || command || ' [' || file || ']'"),
+    ("roots", "n DESC, root", "'root: ' || root || ' ' || n"),
+    ("important", "score DESC, path", "'key file: ' || path"),
+    ("api", "file, line, method, path", cited("method || ' ' || path")),
+    ("tabs", "file, line, value", cited("value")),
+    ("env", "value", cited("value")),
+    ("caps", "category, file, line", cited("category || ' ' || confidence || ' ' || keyword")),
+    ("modules_shown", "file", "file || ': ' || outline"),
+    ("components_shown", "file", "file || ': ' || outline"),
+    ("readme_shown", "i", "value"),
+    ("deployment", "path", "'deployment: ' || path"),
+)))
+add("context_digest", f"SELECT repo, left(t, {dims.MAX_CONTEXT_CHARS}) AS text, length(t) > {dims.MAX_CONTEXT_CHARS} AS truncated, coalesce(c, '') AS cut_sections FROM ("
+    "SELECT repo, string_agg(l, chr(10) ORDER BY section, n) FILTER (n <= lim) AS t, (SELECT string_agg(CAST(section AS VARCHAR), ',' ORDER BY section) FROM (SELECT DISTINCT section FROM digest_rows y WHERE y.repo = x.repo AND n > lim)) AS c "
+    "FROM digest_rows x GROUP BY repo)")

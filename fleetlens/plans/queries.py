@@ -58,9 +58,13 @@ class Inputs:
     def dependencies(self) -> DataFrame:
         return manifests.declared_dependencies(self.manifests)
 
+    @cached_property
+    def evidence_rows(self) -> DataFrame:
+        return provenance.technology_evidence(self.files)
+
     @cached_property
     def technologies(self) -> DataFrame:
-        return provenance.technologies(self.files)
+        return provenance.provenance_rank(self.evidence_rows)
 
     @cached_property
     def capabilities(self) -> DataFrame:
@@ -122,7 +126,11 @@ class Inputs:
 
     @cached_property
     def cards(self) -> DataFrame:
-        return fleet.repo_card(self.repos, self.files, self.signals, self.manifests, self.technologies)
+        return fleet.repo_card(self.repos, self.files, self.items)
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return fleet.card_items(self.files, self.signals, self.manifests, self.technologies)
 
     @cached_property
     def commands(self) -> DataFrame:
@@ -181,8 +189,8 @@ class StoredInputs(Inputs):
         return self.evidence.read("manifests")
 
     @cached_property
-    def technologies(self) -> DataFrame:
-        return provenance.provenance_rank(self.evidence.read("technology_evidence"))
+    def evidence_rows(self) -> DataFrame:
+        return self.evidence.read("technology_evidence")
 
     @cached_property
     def capabilities(self) -> DataFrame:
@@ -197,7 +205,7 @@ FROM_STORE = {
     "private_rollup", "run_inventory", "weak_signals", "validation_summary", "context_digest", "candidate_order",
     "manifest_order", "deletion_candidates", "claims_minus_evidence", "claims_env", "claims_endpoints",
     "claims_technologies", "claims_tables", "claims_commands", "known_commands", "env_example_rows", "api_doc_rows",
-    "public_view", "inventory_rows",
+    "public_view", "inventory_rows", "card_items", "ranked_evidence", "capability_signals",
 }
 
 Query = Callable[[Inputs], DataFrame]
@@ -264,18 +272,19 @@ put("collect_incremental", lambda i: corpus.collect_incremental(
 @query("evidence_sink")
 def _evidence_sink(i: Inputs) -> DataFrame:
     folder = i.scratch("evidence")
-    sinks.evidence_sink(sinks.evidence_documents(i.files, i.signals), folder)
-    stored = i.spark.read.parquet(folder)
-    return stored.select(
-        "repo", "parts", F.get_json_object("document", "$.repository").alias("repository"),
-        F.get_json_object("document", "$.file_count").cast("bigint").alias("file_count"))
+    records = sinks.evidence_records(i.files, i.signals, i.manifests, i.technologies, i.capabilities, i.root_readmes)
+    sinks.evidence_sink(records, folder)
+    return i.spark.read.schema(records.schema).parquet(folder)
 
 
 @query("card_sink")
 def _card_sink(i: Inputs) -> DataFrame:
     folder = i.scratch("cards")
-    sinks.card_sink(i.cards.drop("description", "topics"), folder)
-    return i.spark.read.schema("repo string, debt int").json(f"{folder}/public/cards")
+    leaked = sinks.card_sink(i.cards, i.items, folder).select("repo").distinct().withColumn("named", F.lit(True))
+    stored = i.spark.read.schema(i.cards.schema).json(f"{folder}/cards")
+    return stored.join(leaked, "repo", "left").select(
+        "repo", "private", "description", "debt", *[f"n_{n}" for n in fleet.CARD_COUNTS], joined("languages"), joined("technologies"),
+        F.coalesce("named", F.lit(False)).alias("named"))
 
 
 # --- projections and filters ------------------------------------------------
@@ -285,7 +294,7 @@ put("path_third_party", path_flag(lambda: paths.path_third_party(F.col("path")),
 put("language_of", path_flag(lambda: paths.language_of(F.lower(paths.suffix_of(F.col("path")))), "language"))
 put("is_text_file", path_flag(lambda: paths.is_text_file(
     F.lower(paths.suffix_of(F.col("path"))), paths.name_of(F.col("path"))), "text"))
-put("analysis_scope", lambda i: corpus.analysis_scope(i.files, 150).select("repo", "path", "size"))
+put("analysis_scope", lambda i: corpus.analysis_scope(i.files).select("repo", "path", "size"))
 put("in_scope_repo", lambda i: i.hooks.select("repo", paths.in_scope(F.col("repo"), SCOPE).alias("in_scope")))
 put("active_repo", lambda i: corpus.active_repo(i.repos, ("repo_1", "repo_2")).select("name"))
 put("size_gate", lambda i: corpus.size_gate(i.repos).select("name", "size", "omitted_reason"))
@@ -343,7 +352,7 @@ put("normalize_token", lambda i: i.dependencies.select(
     "repo", "file", "line", "name", provenance.normalize_token(F.col("name")).alias("token")))
 put("tech_for", lambda i: i.dependencies.select(
     "repo", "file", "line", "name", provenance.tech_for(F.col("name")).alias("tech")))
-put("tech_declared", lambda i: provenance.tech_declared(i.files).select("repo", "tech", "n", "file", "line", "detail"))
+put("tech_declared", lambda i: provenance.tech_declared(i.files).select("repo", "tech", "file", "line", "detail"))
 put("tech_imported", lambda i: provenance.tech_imported(i.files).select("repo", "tech", "file", "line", "detail"))
 put("tech_mentioned_only", lambda i: provenance.tech_mentioned_only(i.technologies))
 put("capability_corroboration", lambda i: provenance.capability_corroboration(i.technologies, i.dependencies))
@@ -388,8 +397,8 @@ put("residual_prs", lambda i: fleet.residual_prs(i.audit, i.derived("orders", d.
 # --- aggregations -----------------------------------------------------------
 
 put("provenance_rank", lambda i: i.technologies.select(
-    "repo", "tech", "provenance", "confidence", F.size("evidence").alias("n_evidence"),
-    F.col("evidence")[0]["file"].alias("first_file"), F.col("evidence")[0]["line"].alias("first_line")))
+    "repo", "tech", "provenance", "confidence", "n_evidence", "file", "line", "detail"))
+put("ranked_evidence", lambda i: provenance.ranked_evidence(i.evidence_rows).drop("depth"))
 put("capability_signals", lambda i: i.capabilities)
 put("env_inventory", lambda i: i.env)
 put("api_inventory", lambda i: i.api)
@@ -414,8 +423,8 @@ put("cleanup_summary", lambda i: cleanup.cleanup_summary(i.candidates, i.files))
 put("fingerprint", lambda i: i.fingerprints)
 put("health_facts", lambda i: fleet.health_facts(i.files))
 put("repo_card", lambda i: i.cards.select(
-    "repo", "private", "debt", "n_manifests", joined("languages"), joined("technologies"), joined("dependencies"),
-    joined("endpoints"), joined("tables"), joined("env_vars"), joined("key_files")))
+    "repo", "private", "debt", *[f"n_{n}" for n in fleet.CARD_COUNTS], joined("languages"), joined("technologies")))
+put("card_items", lambda i: i.items)
 put("private_rollup", lambda i: fleet.private_rollup(i.cards))
 put("ref_type_counts", lambda i: fleet.ref_type_counts(i.audit))
 put("fleet_audit_summary", lambda i: fleet.fleet_audit_summary(i.audit, SCOPE))
@@ -425,10 +434,10 @@ put("validation_summary", lambda i: claims.validation_summary(
     i.guides.select("repo").distinct(), claims.claims(i.guides),
     claims.claims_minus_evidence(claims.claims(i.guides), i.known).unionByName(claims.claims_structure(i.guides))))
 put("publish_gate", lambda i: publish.publish_gate(i.sections, i.response_files).withColumn("missing", joined("missing")))
-put("context_digest", lambda i: evidence.context_digest(
+put("context_digest", lambda i: evidence.context_digest(evidence.digest_lines(
     i.files, i.signals, i.manifests, i.technologies, i.capabilities, i.root_readmes,
     contract.config_resolve(i.derived("customer", d.CONFIG)).select("repo", "declared").join(
-        i.files.select("repo").distinct(), "repo", "left_semi")))
+        i.files.select("repo").distinct(), "repo", "left_semi"))))
 
 # --- windows ----------------------------------------------------------------
 
@@ -449,7 +458,7 @@ put("debt_ranking", lambda i: fleet.debt_ranking(fleet.debt_score(fleet.health_f
 @query("sweep_selection")
 def _sweep_selection(i: Inputs) -> DataFrame:
     active = corpus.active_repo(i.repos)
-    return fleet.sweep_selection(fleet.sweep_candidates(active, i.hooks, i.root_readmes, i.pulls), 300)
+    return fleet.sweep_selection(fleet.sweep_candidates(active, i.hooks, i.root_readmes, i.pulls))
 
 
 put("candidate_order", lambda i: cleanup.candidate_order(i.candidates))
@@ -524,7 +533,8 @@ put("config_resolve", lambda i: contract.config_resolve(i.derived("customer", d.
 put("human_inputs_guard", lambda i: publish.human_inputs_guard(i.sections))
 put("env_example_rows", lambda i: evidence.env_example_rows(i.env))
 put("api_doc_rows", lambda i: evidence.api_doc_rows(i.api))
-put("public_view", lambda i: fleet.public_view(i.cards).select("repo", "debt"))
+put("public_view", lambda i: fleet.public_view(i.cards).select(
+    "repo", "description", "html_url", "debt", *[f"n_{n}" for n in fleet.CARD_COUNTS], joined("languages"), joined("technologies")))
 put("inventory_rows", lambda i: fleet.inventory_rows(i.cards))
 put("hook_audit", lambda i: i.audit)
 put("ref_class", lambda i: i.audit.where("ref is not null").select("repo", contract.ref_class(F.col("ref")).alias("kind")))

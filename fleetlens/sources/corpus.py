@@ -119,9 +119,10 @@ def scan_corpus(
     )
 
 
-def analysis_scope(files: DataFrame, max_bytes: int = dims.MAX_ANALYSIS_BYTES) -> DataFrame:
-    """Text files small enough for a detector."""
-    return files.where(F.col("text") & (F.col("size") <= max_bytes))
+def analysis_scope(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Text files; with ``max_bytes`` only those small enough for a caller's detector."""
+    text = files.where("text")
+    return text if max_bytes is None else text.where(F.col("size") <= max_bytes)
 
 
 def active_repo(repos: DataFrame, excluded: tuple[str, ...] = ()) -> DataFrame:

@@ -2,49 +2,58 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.operators.evidence import (
+    api_inventory, env_inventory, important_files, language_counts, structure_counts, summary_lines, table_inventory,
+)
+from fleetlens.operators.manifests import declared_dependencies, npm_scripts
 from fleetlens.operators.fleet import leak_check, private_rollup, public_view
 
 
-def evidence_documents(
-    files: DataFrame, signals: DataFrame | None = None, max_items: int = 100_000
+def evidence_records(
+    files: DataFrame, signals: DataFrame, manifests: DataFrame, technologies: DataFrame, capability_rows: DataFrame, readmes: DataFrame
 ) -> DataFrame:
-    """(repo, part, parts, document): JSON evidence of each repository.
+    """(repo, section, name, detail, file, line): the evidence of each repository, one record per item.
 
-    A repository with up to ``max_items`` files and signals is one document.
-    A larger one is several parts of about that size, cut by a hash of the file,
-    so that no document grows without bound. Without ``signals`` this is the
-    trimmed variant with four columns per file.
+    One shape whatever the size of a repository; a document is the records of its repository.
     """
-    path_hash = F.xxhash64("file")
-    item = files.select(
-        "repo", F.col("path").alias("file"), F.lit(0).alias("order"),
-        F.struct("path", "language", "size", "third_party").alias("item"),
-        F.lit(None).cast("struct<file:string,lang:string,kind:string,value:string,method:string,line:int>").alias("signal"),
-    )
-    rows = item
-    if signals is not None:
-        struct = F.struct("file", "lang", "kind", "value", "method", F.col("line").cast("int").alias("line"))
-        null_item = F.lit(None).cast(item.schema["item"].dataType)
-        rows = rows.unionByName(signals.select(
-            "repo", "file", F.lit(1).alias("order"), null_item.alias("item"), struct.alias("signal")))
-    sizes = rows.groupBy("repo").agg(F.greatest(F.ceil(F.count(F.lit(1)) / max_items), F.lit(1)).cast("int").alias("parts"))
-    placed = rows.join(sizes, "repo").withColumn("part", F.pmod(path_hash, F.col("parts")).cast("int"))
-    documents = placed.groupBy("repo", "part", "parts").agg(
-        F.array_sort(F.collect_list("item")).alias("files"),
-        F.array_sort(F.collect_list("signal")).alias("analysis"),
-    )
-    fields: list[Column] = [F.col("repo").alias("repository"), F.size("files").alias("file_count"), F.col("files")]
-    if signals is not None:
-        fields.append(F.col("analysis"))
-    return documents.select("repo", "part", "parts", F.to_json(F.struct(*fields)).alias("document"))
-
-
-def evidence_sink(documents: DataFrame, path: str) -> None:
-    """One row per document; ``repo`` stays a column, so many repositories do not mean many folders."""
-    documents.write.mode("append").parquet(path)
+    def section(name: str, df: DataFrame, item: Column, detail: Column, file: Column | None = None, line: Column | None = None) -> DataFrame:
+        return df.select(
+            "repo", F.lit(name).alias("section"), item.cast("string").alias("name"), detail.cast("string").alias("detail"),
+            (F.lit(None) if file is None else file).cast("string").alias("file"), (F.lit(None) if line is None else line).cast("bigint").alias("line"))
+
+    def bar(*columns: Column | str) -> Column:
+        named = [F.col(c) if isinstance(c, str) else c for c in columns]
+        return F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in named])
+
+    file, line, none = F.col("file"), F.col("line"), F.lit(None)
+    path = F.col("path")
+    parts = [
+        section("files", files, F.col("language"), bar("size", "third_party"), path),
+        section("structure", structure_counts(files), F.col("root"), F.col("n")),
+        section("languages", language_counts(files), F.col("language"), F.col("n")),
+        section("important_files", important_files(files), none, F.col("score"), path),
+        section("technologies", technologies, F.col("tech"), bar("provenance", "confidence", "n_evidence"), file, line),
+        section("dependencies", declared_dependencies(manifests), F.col("name"), bar("kind", "section", "version"), file, line),
+        section("scripts", npm_scripts(manifests), F.col("name"), F.col("command"), file, line),
+        section("manifests", manifests, F.col("kind"), bar("project_name", F.size("dependencies"), F.size("scripts"), "third_party"), path),
+        section("env", env_inventory(signals), F.col("value"), F.col("lang"), file, line),
+        section("api", api_inventory(signals), F.concat_ws(" ", "method", "path"), F.col("type"), file, line),
+        section("tables", table_inventory(signals), F.col("value"), none, file, line),
+        section("capabilities", capability_rows, F.col("category"), bar("confidence", "own_files", "corroborated_by", "keyword"), file, line),
+        section("signals", signals, F.col("value"), bar("lang", "kind", "method"), file, line),
+        section("readme", summary_lines(readmes), none, F.col("value"), None, F.col("rank")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def evidence_sink(records: DataFrame, path: str) -> None:
+    """The records under ``path``, partitioned by section; a rerun replaces what stood there."""
+    records.write.mode("overwrite").partitionBy("section").parquet(path)
 
 
 def card_json(cards: DataFrame) -> DataFrame:
@@ -52,13 +61,17 @@ def card_json(cards: DataFrame) -> DataFrame:
     return cards.select("repo", "private", F.to_json(F.struct(*[F.col(c) for c in cards.columns])).alias("text"))
 
 
-def card_sink(cards: DataFrame, path: str) -> None:
-    """Cards, then the public catalogue, which is written only when nothing leaks."""
+def card_sink(cards: DataFrame, items: DataFrame, path: str) -> DataFrame:
+    """Cards and their items, then the public catalogue, which is written only when nothing leaks.
+
+    Returns the problems; where there are any, nothing public was written.
+    """
     cards.write.mode("overwrite").json(f"{path}/cards")
+    items.write.mode("overwrite").partitionBy("field").parquet(f"{path}/items")
     stored = cards.sparkSession.read.schema(cards.schema).json(f"{path}/cards")
     public = public_view(stored)
-    leaks = leak_check(card_json(public), stored)
-    if not leaks.isEmpty():
-        raise RuntimeError("the public view names private repositories; nothing was published")
-    public.write.mode("overwrite").json(f"{path}/public/cards")
-    private_rollup(stored).write.mode("overwrite").json(f"{path}/public/private_totals")
+    problems = leak_check(card_json(public), stored)
+    if problems.isEmpty():
+        public.write.mode("overwrite").json(f"{path}/public/cards")
+        private_rollup(stored).write.mode("overwrite").json(f"{path}/public/private_totals")
+    return problems

@@ -150,11 +150,11 @@ def test_config(spark):
     assert not got["off"]["enabled"] and got["lang"]["lang"] == "es" and got["text"]["ignore_paths"] == ["a"]
 
 
-def prints(corpus_of, contents, **options):
+def prints(corpus_of, contents):
     files = corpus_of(contents)
     parts = fingerprint.fingerprint_parts(
         files, extract.signals(files), manifests.discover_manifests(files), provenance.technologies(files))
-    return fingerprint.fingerprint(parts, **options).first()
+    return fingerprint.fingerprint(parts).first()
 
 
 BASE = {"requirements.txt": "flask==1\npandas", "app.py": "import flask\n@app.get('/a')\ndef f(): pass"}
@@ -171,20 +171,67 @@ def test_fingerprint_moves_only_with_the_software(corpus_of):
     assert all(prints(corpus_of, c)["sha"] != base for c in moved)
 
 
-def test_large_fingerprints_are_chunked(corpus_of):
-    whole, cut = prints(corpus_of, BASE), prints(corpus_of, BASE, max_entries=2)
-    again = prints(corpus_of, dict(reversed(BASE.items())), max_entries=2)
-    changed = prints(corpus_of, BASE | {"q.sql": "create table t (a int)"}, max_entries=2)
-    assert whole["chunks"] == 1 and cut["chunks"] > 1
-    assert cut["sha"] == again["sha"] != changed["sha"]
+def test_fingerprint_has_one_rule(corpus_of):
+    """Also the 151st endpoint and table move it, and the order of files does not."""
+    many = BASE | {"r.py": "\n".join(f"@app.get('/p{n}')" for n in range(160)), "t.sql": "\n".join(f"create table t{n} (a int);" for n in range(160))}
+    one, again = prints(corpus_of, many), prints(corpus_of, dict(reversed(many.items())))
+    assert one == again and one["buckets"] > 300
+    for more in ({"r2.py": "@app.get('/p160')"}, {"z.sql": "create table t160 (a int);"}):
+        assert prints(corpus_of, many | more)["sha"] != one["sha"]
+    assert prints(corpus_of, {"n.md": "x"})["buckets"] == 0
 
 
-def test_evidence_documents_split_large_repositories(corpus_of):
-    files = corpus_of({f"f{n}.md": "x" for n in range(40)})
-    one = sinks.evidence_documents(files).collect()
-    many = sinks.evidence_documents(files, max_items=10)
-    counts = many.select(F.get_json_object("document", "$.file_count").cast("int")).collect()
-    assert len(one) == 1 and len(counts) > 1 and sum(c[0] for c in counts) == 40
+def evidence_of(files):
+    signals, found, evidence_rows = extract.signals(files), manifests.discover_manifests(files), provenance.technology_evidence(files)
+    techs = provenance.provenance_rank(evidence_rows)
+    return signals, found, techs, provenance.capabilities(files, techs, manifests.declared_dependencies(found))
+
+
+def test_evidence_sink_replaces(spark, corpus_of, tmp_path):
+    files = corpus_of(BASE | {"README.md": "# r\nhola", "many.py": "\n".join(f"@app.get('/p{n}')" for n in range(160))})
+    signals, found, techs, caps = evidence_of(files)
+    records = sinks.evidence_records(files, signals, found, techs, caps, evidence.existing_readme(files))
+    for _ in range(2):
+        sinks.evidence_sink(records, str(tmp_path))
+    stored = spark.read.parquet(str(tmp_path))
+    assert stored.count() == records.count()
+    sections = {r["section"]: r["n"] for r in stored.groupBy("section").agg(F.count("*").alias("n")).collect()}
+    assert sections["files"] == 4 and sections["api"] == 161 and sections["readme"] == 2
+
+
+def test_nothing_is_cut_by_size(corpus_of):
+    big = "x" * 3_000_000
+    files = corpus_of({"d.txt": big + " 12.345.678-5 ana@gob.example.cl", "a.py": "import flask\n#" + "y" * 6_000_000 + "\n@app.get('/z')\n"})
+    assert listed(pii.pii_scan(files), "path") == [("d.txt",)]
+    assert listed(extract.signals(files, "py_routes"), "value", "line") == [("/z", 3)]
+
+
+def test_claims_know_every_endpoint(spark, corpus_of):
+    files = corpus_of({"r.py": "\n".join(f"@app.get('/p{n}')" for n in range(160))})
+    readmes = spark.createDataFrame([("r", "GET /p155")], "repo string, text string")
+    signals, found, techs, _ = evidence_of(files)
+    known = claims.known_evidence(
+        evidence.env_inventory(signals), evidence.api_inventory(signals), techs, evidence.table_inventory(signals),
+        claims.known_commands(manifests.npm_scripts(found), found))
+    assert claims.claims_minus_evidence(claims.claims(readmes, "endpoint"), known).count() == 0
+
+
+def test_mentions_in_large_files_count(corpus_of):
+    got = candidates(corpus_of, {"lonely.js": "a", "notas.txt": "z" * 2_000_000 + " lonely "})
+    assert "lonely.js" not in got
+
+
+def test_cards_stop_at_leaks(spark, tmp_path):
+    rows = [("uno", False, "sucesor de DOS", 5), ("dos", True, "x", 0)]
+    cards = spark.createDataFrame(rows, "repo string, private boolean, description string, readme_bytes int")
+    for flag in ("readme_placeholder", "has_license", "has_tests", "has_ci"):
+        cards = cards.withColumn(flag, F.lit(False))
+    items = spark.createDataFrame([("uno", "tables", "t", 1)], "repo string, field string, value string, n bigint")
+    assert listed(sinks.card_sink(cards, items, str(tmp_path / "a")), "repo") == [("dos",)]
+    assert not (tmp_path / "a/public").exists()
+    quiet = cards.withColumn("description", F.lit("nada"))
+    assert sinks.card_sink(quiet, items, str(tmp_path / "b")).isEmpty()
+    assert listed(spark.read.json(str(tmp_path / "b/public/cards")), "repo") == [("uno",)]
 
 
 def test_claims(spark, corpus_of):
@@ -249,16 +296,16 @@ def test_changes_over_batches(spark):
 
 def test_digest_sections(spark, corpus_of):
     files = corpus_of(BASE | {"README.md": "# r\n![b](x)\nhola", "Dockerfile": "FROM python"})
-    signals, found = extract.signals(files), manifests.discover_manifests(files)
-    techs = provenance.technologies(files)
-    caps = provenance.capabilities(files, techs, manifests.declared_dependencies(found))
+    signals, found, techs, caps = evidence_of(files)
     declared = spark.createDataFrame([("r", " testimonio ")], "repo string, declared string")
     args = (files, signals, found, techs, caps, evidence.existing_readme(files), declared)
-    row = evidence.context_digest(*args).first()
+    row = evidence.context_digest(evidence.digest_lines(*args)).first()
     lines = row["text"].split("\n")
-    assert lines[0] == "HUMAN_DECLARED testimonio" and not row["truncated"]
-    for line in ("GET /a [app.py:2]", "flask==1 [requirements.txt:1]", "KEY_FILE=requirements.txt", "app.py|F=f|I=flask",
-                 "DEPLOYMENT=Dockerfile", "hola", "TECH=Flask[declared:requirements.txt:1]"):
+    assert lines[0] == "declared by people: testimonio" and not row["truncated"] and row["cut_sections"] == ""
+    for line in ("GET /a [app.py:2]", "flask==1 [requirements.txt:1]", "key file: requirements.txt", "app.py: 0 classes, 1 functions, 1 imports",
+                 "deployment: Dockerfile", "hola", "technology: Flask declared requirements.txt:1"):
         assert line in lines
-    cut = evidence.context_digest(*args, max_chars=40).first()
+    cut = evidence.context_digest(evidence.digest_lines(*args), max_chars=40).first()
     assert cut["text"] == row["text"][:40] and cut["truncated"]
+    short = evidence.context_digest(evidence.digest_lines(*args, limits={"python": 1})).first()
+    assert short["cut_sections"] == "6"
