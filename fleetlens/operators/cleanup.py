@@ -84,14 +84,17 @@ def mention_vocabulary(files: DataFrame, units: list[str]) -> DataFrame:
     )
 
 
+SLICE, SALTS = 256, 16
+
+
 def orphan_by_mention(suspects: DataFrame, files: DataFrame) -> DataFrame:
     """Suspects (repo, stem, ...) whose stem occurs in no file with another stem.
 
-    Substring semantics without a nested loop: the windows of the lengths that
-    suspects really have are cut from the distinct units, and the test is an
-    equi anti join on (repo, window). Work is linear in the vocabulary, no pair
-    of files or names is ever formed, and hot repositories spread by window.
-    The suspects are checkpointed because they are read three times.
+    Substring semantics without a nested loop: windows of the lengths that suspects have are cut from
+    the distinct units, and the test is an equi join on (repo, window). A unit is first cut into slices that
+    overlap by a window, so no row holds more than ``SLICE`` windows however long a unit is; windows
+    that are no suspect's stem go in a semi join before anything is aggregated. The lengths of a
+    repository are repeated under ``SALTS`` salts, so a hot one spreads. Suspects are checkpointed: they are read three times.
     """
     suspects = cut_lineage(suspects)
     tagged = suspects.select("repo", unit_of(F.col("stem")).alias("unit"), F.length("stem").alias("n"))
@@ -99,13 +102,20 @@ def orphan_by_mention(suspects: DataFrame, files: DataFrame) -> DataFrame:
     present = {row["unit"] for row in tagged.select("unit").distinct().collect()}
     if not present:
         return suspects
-    lengths = tagged.groupBy("repo", "unit").agg(F.collect_set("n").alias("lengths"))
-    windows = F.flatten(F.transform(F.col("lengths"), lambda n: F.regexp_extract_all(
-        F.col("value"), F.concat(F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))")), F.lit(1))))
-    mentioned = (
+    lengths = tagged.where("n > 0").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    value, n = F.col("value"), F.col("n")
+    slices = (
         mention_vocabulary(files, [u for u in UNITS if u in present])
-        .join(lengths, ["repo", "unit"])
-        .select("repo", "low_stem", "high_stem", F.explode(F.array_distinct(windows)).alias("stem"))
+        .withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int"))
+        .join(lengths, ["repo", "unit", "salt"]).where(F.length(value) >= n)
+        .select("repo", "low_stem", "high_stem", "n", value, F.explode(F.sequence(F.lit(1), F.length(value) - n + 1, F.lit(SLICE))).alias("at"))
+        .select("repo", "low_stem", "high_stem", "n", F.substr(value, F.col("at"), n + (SLICE - 1)).alias("piece"))
+    )
+    places = F.sequence(F.lit(1), F.length("piece") - n + 1)
+    windows = slices.select("repo", "low_stem", "high_stem", F.explode(F.array_distinct(
+        F.transform(places, lambda i: F.substr(F.col("piece"), i, n)))).alias("stem"))
+    mentioned = (
+        windows.join(suspects.select("repo", "stem").distinct(), ["repo", "stem"], "left_semi")
         .groupBy("repo", "stem")
         .agg(F.min("low_stem").alias("low_stem"), F.max("high_stem").alias("high_stem"))
         .where((F.col("low_stem") != F.col("stem")) | (F.col("high_stem") != F.col("stem")))
@@ -113,6 +123,19 @@ def orphan_by_mention(suspects: DataFrame, files: DataFrame) -> DataFrame:
     return suspects.join(mentioned, ["repo", "stem"], "left_anti")
 
 
+def orphan_suspects(files: DataFrame, signals: DataFrame) -> DataFrame:
+    """(repo, path, size, stem): own code nobody imports that is neither protected, an entry point nor a variant."""
+    path = F.col("path")
+    kept = ~paths.protected_path(path) & ~is_artefact(path) & ~is_build_residue(path)
+    code = files.where(
+        kept & ~F.col("third_party") & F.col("text")
+        & ~F.col("ext").isin(*dims.NON_CODE_EXTENSIONS)
+        & ~F.coalesce(paths.entry_point(F.col("content")), F.lit(False))
+    ).select("repo", "path", "size")
+    unimported = orphan_by_import(code, signals).where(~F.col("stem").isin(*dims.CONVENTIONAL_STEMS))
+    return unimported.join(variant_of(files).select("repo", "path"), ["repo", "path"], "left_anti").select("repo", "path", "size", "stem")
+
+
 def _candidate(df: DataFrame, category: Column, confidence: str) -> DataFrame:
     return df.select("repo", "path", "size", category.alias("category"), F.lit(confidence).alias("confidence"))
 
@@ -131,22 +154,14 @@ def deletion_candidates(tracked: DataFrame, files: DataFrame, signals: DataFrame
         tracked.where(artefact | (residue & ~protected)).select("repo", "path", "size"), category, "alta"
     )
 
-    living = files.where(~protected & ~artefact & ~residue)
     # The base may be any scanned file, protected ones included.
     all_variants = variant_of(files)
     variants = _candidate(
         all_variants.where(~protected & ~artefact & ~residue), F.lit(dims.CATEGORY_VARIANT), "media"
     )
 
-    code = living.where(
-        ~F.col("third_party") & F.col("text")
-        & ~F.col("ext").isin(*dims.NON_CODE_EXTENSIONS)
-        & ~F.coalesce(paths.entry_point(F.col("content")), F.lit(False))
-    ).select("repo", "path", "size")
-    unimported = orphan_by_import(code, signals).where(~F.col("stem").isin(*dims.CONVENTIONAL_STEMS))
-    suspects = unimported.join(all_variants.select("repo", "path"), ["repo", "path"], "left_anti")
     orphans = _candidate(
-        orphan_by_mention(suspects, files), F.lit(dims.CATEGORY_ORPHAN), "media"
+        orphan_by_mention(orphan_suspects(files, signals), files), F.lit(dims.CATEGORY_ORPHAN), "media"
     )
     return by_path.unionByName(variants).unionByName(orphans)
 

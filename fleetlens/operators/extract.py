@@ -284,14 +284,17 @@ def citation_extract(documents: DataFrame) -> DataFrame:
 
 
 def split_sections(responses: DataFrame) -> DataFrame:
-    """(repo, n, document, text): sections of a response; the preamble is dropped."""
+    """(repo, n, document, text): sections of a response; of a repeated name the last one counts, the preamble is dropped."""
     text, mark = F.col("text"), rx(dims.SECTION_MARK, "m")
     names = F.regexp_extract_all(text, F.lit(mark), F.lit(1))
     bodies = F.split(text, mark, -1)
     bodies = F.slice(bodies, F.lit(2), F.size(bodies))
     zipped = F.arrays_zip(names.alias("document"), bodies.alias("body"))
-    return responses.select("repo", F.posexplode(zipped).alias("n", "s")).select(
-        "repo", "n", "s.document", strip(F.col("s.body")).alias("text")
+    numbered = F.transform(zipped, lambda s, i: F.struct(i.alias("n"), s["document"].alias("document"), s["body"].alias("body")))
+    last = F.filter(numbered, lambda s: s["n"] == F.size(names) - F.array_position(F.reverse(names), s["document"]))
+    kept = [c for c in responses.columns if c not in ("text", "n", "document")]
+    return responses.select(*kept, F.explode(last).alias("s")).select(
+        *kept, F.col("s.n").alias("n"), F.col("s.document").alias("document"), strip(F.col("s.body")).alias("text")
     )
 
 

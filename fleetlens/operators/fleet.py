@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens import dims
-from fleetlens.functions.text import rx, strip
+from fleetlens.functions.paths import in_scope
+from fleetlens.functions.text import strip
 from fleetlens.operators.contract import placeholder_readme
 from fleetlens.operators.evidence import (
     api_inventory, env_inventory, important_files, language_counts, summary_items, table_inventory,
@@ -139,58 +140,104 @@ def inventory_rows(cards: DataFrame) -> DataFrame:
 
 RUN = "[A-Za-z0-9_]+"
 GAP = "[^A-Za-z0-9_]+"
+EDGE = 64  # code points of a gap that are kept beside a window; longer edges of a name are compared up to there
+
+
+def _windows(text: Column, counts: list[int], lengths: list[int]) -> Column:
+    """array<struct<window, before, after, first, last>> of one text in lower case.
+
+    A window is as many word runs as some name has, with the gaps between them; ``before`` and ``after``
+    are the gaps beside it. For names without a word character the windows are cut from the gaps.
+    """
+    lowered = F.lower(text)
+    # One struct binds the split text, so that it is not split anew for each window.
+    split = F.struct(F.regexp_extract_all(lowered, F.lit(RUN), F.lit(0)).alias("runs"), F.split(lowered, RUN, -1).alias("gaps"))
+
+    def window(s: Column, i: Column, n: int) -> Column:
+        inner = F.concat_ws("", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.array(
+            F.get(s["runs"], i + k), F.when(k < n - 1, F.get(s["gaps"], i + k + 1)).otherwise("")))))
+        before, after = F.get(s["gaps"], i), F.get(s["gaps"], i + n)
+        return F.struct(
+            inner.alias("window"), F.right(before, F.lit(EDGE + 1)).alias("before"), F.left(after, F.lit(EDGE + 1)).alias("after"),
+            (i == 0).alias("first"), (i + n == F.size(s["runs"])).alias("last"))
+
+    def of_runs(s: Column, n: int) -> Column:
+        last = F.size(s["runs"]) - n
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: window(s, i, n))).otherwise(F.array())
+
+    def of_gaps(s: Column, n: int) -> Column:
+        def inside(gap: Column, i: Column) -> Column:
+            """What no word run touches: the character next to a run is left out."""
+            start = F.when(i == 0, 1).otherwise(2)
+            length = F.length(gap) - F.when(i == 0, 0).otherwise(1) - F.when(i == F.size(s["gaps"]) - 1, 0).otherwise(1)
+            return F.substr(gap, start, F.greatest(length, F.lit(0)))
+
+        def cut(free: Column) -> Column:
+            places = F.sequence(F.lit(1), F.greatest(F.length(free) - n + 1, F.lit(1)))
+            return F.when(F.length(free) >= n, F.transform(places, lambda k: F.struct(
+                F.substr(free, k, F.lit(n)).alias("window"), F.lit("").alias("before"), F.lit("").alias("after"),
+                F.lit(True).alias("first"), F.lit(True).alias("last")))).otherwise(F.array())
+
+        return F.flatten(F.transform(F.transform(s["gaps"], inside), cut))
+
+    kinds = [lambda s, n=n: of_runs(s, n) for n in counts] + [lambda s, n=n: of_gaps(s, n) for n in lengths]
+    return F.flatten(F.transform(F.array(split), lambda s: F.array_distinct(F.concat(*[k(s) for k in kinds]))))
 
 
 def leak_check(published: DataFrame, cards: DataFrame) -> DataFrame:
     """(problem, repo): private names in the published text, and private cards published.
 
-    ``published`` has a ``text`` column (the JSON of a card) and ``private``. A
-    whole-word occurrence of a name covers complete word runs, so the text is
-    cut into windows of as many runs as names have and joined on equality: no
-    name meets a text it is not in. Only matched pairs are verified. The one
-    driver value is the set of run counts, one small number per distinct count.
+    ``published`` has a ``text`` column (the JSON of a card) and ``private``. A whole-word occurrence of
+    a name covers complete word runs, so the text is cut once into windows of as many runs as names
+    have, and joined on equality. A window carries the gaps beside it, and what a name has beyond
+    its word runs is compared with those: no text and no pair of text and name is shuffled. The
+    driver sees the distinct run counts of names, and the lengths of names without word characters.
     """
     name = F.lower("repo")
-    core = F.regexp_replace(name, rf"\A{GAP}|{GAP}\z", "")
-    private = cards.where(F.col("private")).select(
-        "repo", core.alias("window"), F.size(F.split(core, GAP, -1)).alias("runs")).where("window <> ''").distinct()
-    counts = sorted(r["runs"] for r in private.select("runs").distinct().collect())
-    shown = cards.sparkSession.createDataFrame([], "problem string, repo string")
-    for runs in counts:
-        pattern = rx(rf"(?<![A-Za-z0-9_])(?=({RUN}+(?:[^A-Za-z0-9_]++{RUN}+){{{runs - 1}}}))")
-        texts = published.select("text", F.explode(F.array_distinct(
-            F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(1)))).alias("window"))
-        exact = F.concat(F.lit(r"(?Udi)(?<![A-Za-z0-9_])\Q"), F.col("repo"), F.lit(r"\E(?![A-Za-z0-9_])"))
-        hits = texts.join(private.where(F.col("runs") == runs), "window").where(F.regexp("text", exact))
-        shown = shown.unionByName(hits.select(F.lit("nombre de repositorio privado").alias("problem"), "repo"))
-    flagged = published.where(F.col("private")).select(F.lit("ficha privada publicada").alias("problem"), "repo")
-    return shown.unionByName(flagged).distinct()
+    parts = cards.where("private").select("repo", F.regexp_extract(name, rf"\A((?:{GAP})?)", 1).alias("pre"), name.alias("name")).distinct()
+    core = F.regexp_replace("name", rf"\A{GAP}|{GAP}\z", "")
+    private = parts.select(
+        "repo", F.when(core == "", F.col("name")).otherwise(core).alias("window"), F.when(core == "", "").otherwise(F.col("pre")).alias("pre"),
+        F.when(core == "", "").otherwise(F.regexp_extract("name", rf"((?:{GAP})?)\z", 1)).alias("post"),
+        F.when(core == "", 0).otherwise(F.size(F.split(core, GAP, -1))).alias("runs"))
+    shapes = private.where("window <> ''").groupBy("runs", F.when(F.col("runs") == 0, F.length("window")).alias("n")).count().collect()
+    counts, lengths = sorted({r["runs"] for r in shapes if r["runs"]}), sorted(r["n"] for r in shapes if not r["runs"])
+    flagged = published.where("private").select(F.lit("private card published").alias("problem"), "repo")
+    if not shapes:
+        return flagged.distinct()
+    texts = published.select(F.inline(_windows(F.col("text"), counts, lengths)))
+    pre, post = F.right("pre", F.lit(EDGE)), F.left("post", F.lit(EDGE))
+    left = F.endswith("before", pre) & ((pre == "") | F.col("first") | (F.length("before") > F.length(pre)))
+    right = F.startswith("after", post) & ((post == "") | F.col("last") | (F.length("after") > F.length(post)))
+    hits = texts.join(private, "window").where(left & right)
+    return hits.select(F.lit("private name published").alias("problem"), "repo").unionByName(flagged).distinct()
 
 
 # --- selection and audit ----------------------------------------------------
 
-def latest_pulls(pulls: DataFrame, n: int = 10) -> DataFrame:
-    """The n latest closed pull requests per repository."""
-    closed = pulls.where(F.col("state") == "closed")
+def latest_pulls(pulls: DataFrame, bot_branch: str, n: int = 10) -> DataFrame:
+    """The n latest closed pull requests of the bot's branch per repository."""
+    closed = pulls.where((F.col("state") == "closed") & (F.col("branch") == bot_branch))
     return top_n(closed, ["repo"], [F.col("closed_at").desc(), F.col("number").desc()], n)
 
 
-def prior_rejection(pulls: DataFrame) -> DataFrame:
-    """Repositories with an unmerged one among their latest closed pull requests."""
-    return latest_pulls(pulls).where(F.col("merged_at").isNull()).select("repo").distinct()
+def prior_rejection(pulls: DataFrame, bot_branch: str) -> DataFrame:
+    """Repositories with an unmerged one among the bot's latest closed pull requests; what people closed does not count."""
+    return latest_pulls(pulls, bot_branch).where(F.col("merged_at").isNull()).select("repo").distinct()
 
 
 def sweep_candidates(
-    repos: DataFrame, hooks: DataFrame, readmes: DataFrame, pulls: DataFrame, include_rejected: bool = False
+    repos: DataFrame, hooks: DataFrame, readmes: DataFrame, pulls: DataFrame, bot_branch: str, prefix: str,
+    include_rejected: bool = False,
 ) -> DataFrame:
-    """(repo, has_hook, readme_bytes, placeholder, pushed_at, rejected) per active repository."""
+    """(repo, has_hook, readme_bytes, placeholder, pushed_at, rejected) per active repository in scope."""
     text = F.col("text")
     readme = readmes.select(
         "repo", F.length(text).alias("readme_bytes"),
         placeholder_readme(text, F.col("repo"), "selection").alias("placeholder"))
     hooked = hooks.where(text.isNotNull()).select("repo", F.lit(True).alias("hook")).distinct()
-    rejected = prior_rejection(pulls).withColumn("rejected", F.lit(not include_rejected))
-    base = repos.select(F.col("name").alias("repo"), "pushed_at")
+    rejected = prior_rejection(pulls, bot_branch).withColumn("rejected", F.lit(not include_rejected))
+    base = repos.where(in_scope(F.col("name"), prefix)).select(F.col("name").alias("repo"), "pushed_at")
     joined = base.join(hooked, "repo", "left").join(readme, "repo", "left").join(rejected, "repo", "left")
     return joined.select(
         "repo", F.coalesce("hook", F.lit(False)).alias("has_hook"),
@@ -221,10 +268,10 @@ def sweep_selection(candidates: DataFrame, limit: int | None = None) -> DataFram
     return chosen.withColumn("list", state).unionByName(rest.withColumn("list", why))
 
 
-def residual_prs(audit: DataFrame, open_pulls: DataFrame, prefix: str) -> DataFrame:
-    """(repo, url): open pull requests where the hook is installed but the repository is out of scope."""
+def residual_prs(audit: DataFrame, open_pulls: DataFrame, prefix: str, bot_branch: str) -> DataFrame:
+    """(repo, url): open pull requests of the bot where the hook is installed but the repository is out of scope."""
     outside = audit.where(F.col("has_hook") & ~F.startswith(F.lower("repo"), F.lit(prefix))).select("repo")
-    return open_pulls.where(F.col("state") == "open").join(outside, "repo").select("repo", "url")
+    return open_pulls.where((F.col("state") == "open") & (F.col("branch") == bot_branch)).join(outside, "repo").select("repo", "url")
 
 
 def ref_type_counts(audit: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens import dims
@@ -17,44 +17,53 @@ def normalize_citation(cited: Column) -> Column:
     return F.regexp_replace(unix, r"\A(?:\./)*/*", "")
 
 
+def _with_corpus(documents: DataFrame) -> DataFrame:
+    """Documents name in ``corpus_repo`` whose files they talk about; without the column it is their own repository."""
+    return documents if "corpus_repo" in documents.columns else documents.withColumn("corpus_repo", F.col("repo"))
+
+
 def citation_check(documents: DataFrame, files: DataFrame) -> DataFrame:
     """(repo, cited, valid): distinct cited files and whether they exist.
 
-    A bare base name that exists anywhere in the repository is accepted. Paths
-    and base names are one key space, so existence is one equi join.
+    A bare base name that exists anywhere in the repository is accepted. Paths and base names are
+    one key space, so existence is one semi join: files are shuffled once and never copied per document.
     """
-    body = documents.where(F.col("document") != dims.REPORT_SECTION)
+    body = _with_corpus(documents).where(F.col("document") != dims.REPORT_SECTION)
+    linked = body.select("repo", "corpus_repo").distinct()
     cited = citation_extract(body).select("repo", normalize_citation(F.col("cited")).alias("cited")).distinct()
     base = F.substring_index(F.col("path"), "/", -1)
-    known = files.select("repo", F.explode(F.array(
-        F.concat(F.lit("p:"), F.col("path")), F.concat(F.lit("b:"), base))).alias("key")).distinct()
+    known = files.select(F.col("repo").alias("corpus_repo"), F.explode(F.array(
+        F.concat(F.lit("p:"), F.col("path")), F.concat(F.lit("b:"), base))).alias("key"))
     cited_base = F.substring_index(F.col("cited"), "/", -1)
-    probes = cited.select("repo", "cited", F.explode(F.array(
+    probes = cited.join(linked, "repo").select("repo", "corpus_repo", "cited", F.explode(F.array(
         F.concat(F.lit("p:"), F.col("cited")), F.concat(F.lit("b:"), cited_base))).alias("key"))
-    hit = known.withColumn("hit", F.lit(True))
-    joined = probes.join(hit, ["repo", "key"], "left")
-    return joined.groupBy("repo", "cited").agg(F.coalesce(F.bool_or("hit"), F.lit(False)).alias("valid"))
+    hit = probes.join(known, ["corpus_repo", "key"], "left_semi").select("repo", "cited").distinct().withColumn("hit", F.lit(True))
+    return cited.join(hit, ["repo", "cited"], "left").select("repo", "cited", F.coalesce("hit", F.lit(False)).alias("valid"))
 
 
-def carry_path(documents: DataFrame) -> DataFrame:
-    """(repo, document, line, value, path): each line with the last ``ruta:`` seen so far.
+def carried_lines(text: Column) -> Column:
+    """array<struct<value, path>>: each line with the last ``ruta:`` seen so far, inside the row."""
+    def step(acc: Column, value: Column) -> Column:
+        raw = F.regexp_extract(value, rx(r"\A\s*-?\s*ruta:\s*(.+?)\s*\z"), 1)
+        path = F.when(raw != "", F.regexp_replace(F.trim(raw), r"\A[\"']+|[\"']+\z", "")).otherwise(acc["path"])
+        return F.struct(path.alias("path"), F.concat(acc["lines"], F.array(F.struct(value.alias("value"), path.alias("path")))).alias("lines"))
 
-    The window is per document, so it is bounded by one text.
-    """
-    lines = documents.select("repo", "document", F.posexplode(lines_of(F.col("text"))).alias("n", "value"))
-    raw = F.regexp_extract(F.col("value"), rx(r"\A\s*-?\s*ruta:\s*(.+?)\s*\z"), 1)
-    unquoted = F.regexp_replace(F.trim(raw), r"\A[\"']+|[\"']+\z", "")
-    declared = F.when(raw != "", unquoted)
-    upto = Window.partitionBy("repo", "document").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.select("repo", "document", (F.col("n") + 1).alias("line"), "value", declared.alias("_p")).withColumn(
-        "path", F.last("_p", ignorenulls=True).over(upto.orderBy("line"))
-    ).drop("_p")
+    start = F.struct(F.lit(None).cast("string").alias("path"), F.array().cast("array<struct<value:string,path:string>>").alias("lines"))
+    return F.aggregate(lines_of(text), start, step, lambda acc: acc["lines"])
+
+
+def carry_path(documents: DataFrame) -> DataFrame:
+    """(repo, document, line, value, path): each line with the last ``ruta:`` seen so far; no shuffle."""
+    kept = [c for c in ("repo", "corpus_repo", "document") if c in documents.columns]
+    lines = documents.select(*kept, F.posexplode(carried_lines(F.col("text"))).alias("n", "l"))
+    return lines.select(*kept, (F.col("n") + 1).alias("line"), F.col("l.value").alias("value"), F.col("l.path").alias("path"))
 
 
 def manifest_seal(documents: DataFrame, hashes: DataFrame) -> DataFrame:
     """(repo, document, text): every ``sha256:`` line after a path gets the real hash or a pending mark."""
-    lines = carry_path(documents)
-    joined = lines.join(hashes.select("repo", "path", "sha256"), ["repo", "path"], "left")
+    lines = carry_path(_with_corpus(documents))
+    known = hashes.select(F.col("repo").alias("corpus_repo"), "path", "sha256")
+    joined = lines.join(known, ["corpus_repo", "path"], "left")
     value = F.col("value")
     indent = F.regexp_extract(value, r"\A(\s*)", 1)
     sealed = F.concat(indent, F.lit('sha256: "'), F.coalesce(F.col("sha256"), F.lit(dims.PENDING_SHA)), F.lit('"'))
@@ -78,7 +87,7 @@ def human_inputs_guard(documents: DataFrame, required=dims.REQUIRED_DOCUMENTS) -
 
 
 def publish_gate(documents: DataFrame, files: DataFrame, required=dims.REQUIRED_DOCUMENTS) -> DataFrame:
-    """(repo, missing, citations, invented, personal_documents, publishable)."""
+    """(repo, missing, citations, invented, invented_share, personal_documents, publishable)."""
     checked = citation_check(documents, files).groupBy("repo").agg(
         F.count(F.lit(1)).alias("citations"), F.count_if(~F.col("valid")).alias("invented"))
     personal = documents.groupBy("repo").agg(
@@ -88,6 +97,7 @@ def publish_gate(documents: DataFrame, files: DataFrame, required=dims.REQUIRED_
     invented = F.coalesce(F.col("invented"), F.lit(0))
     publishable = (F.size("missing") == 0) & (invented == 0) & (citations > 0) & (F.col("personal_documents") == 0)
     return joined.select(
-        "repo", "missing", citations.alias("citations"), invented.alias("invented"), "personal_documents",
+        "repo", "missing", citations.alias("citations"), invented.alias("invented"),
+        F.when(citations > 0, invented / citations).otherwise(F.lit(0.0)).alias("invented_share"), "personal_documents",
         publishable.alias("publishable"),
     )

@@ -57,7 +57,7 @@ FILES = {
     0: (cat("'app/mod_'", K, "'.py'"), text(
         "'import pandas, os as sistema'", "'from flask import Flask'", "'class Modelo:'", "'    pass'",
         "'@app.get('", cat("'  \"/o/'", mod(50, "o_custkey"), "'\")'"), cat("'async def f_'", K, "'():'"),
-        cat("'    x = os.getenv(\"KEY_'", mod(30), "'\")'"), cat("'mail = \"u'", mod(40), "'@conaf.cl\"'"))),
+        cat("'    x = os.getenv(\"KEY_'", mod(30), "'\")'"), cat("'mail = \"u'", mod(40), "'@forest.example.cl\"'"))),
     1: (cat("'web/src/View'", K, "'.jsx'"), text(
         "'import {'", "'  useState'", "'} from \"react\"'", "'const L = require(\"leaflet\")'",
         cat("'export default function View'", K, "'() {'"), cat("'  fetch(\"/api/'", mod(20, "o_custkey"), "'\")'"),
@@ -99,7 +99,7 @@ FILES = {
         cat("'python app/mod_'", key(14), "'.py'"), "'## Rutas'",
         cat("'GET /o/'", mod(50, "o_custkey"), "' y `POST /nada`'"),
         "'<!-- AI:BEGIN id=uso sha=aaaaaaaaaaaa -->'", "'texto'", "'<!-- AI:END id=uso -->'") + " END"),
-    15: (f"CASE WHEN {ROOT} AND {BLOCK} % 4 <> 1 THEN 'LICENSE' ELSE {cat(q('NOTICE_'), K, q('.txt'))} END", text("'MIT'", cat("'no-reply@github.com soporte@x.cl jefe'", mod(5), "'@minagri.gob.cl'"))),
+    15: (f"CASE WHEN {ROOT} AND {BLOCK} % 4 <> 1 THEN 'LICENSE' ELSE {cat(q('NOTICE_'), K, q('.txt'))} END", text("'MIT'", cat("'no-reply@github.com soporte@x.cl jefe'", mod(5), "'@fields.example.cl'"))),
     16: (f"CASE WHEN {ROOT} AND {BLOCK} % 5 <> 2 THEN '.github/workflows/ci.yml' ELSE {cat(q('web/src/util_'), K, q('.ts'))} END", text(
         "'import axios from \"axios\"'", "'export function ayuda() {}'", "'axios.get(`/otra`)'", "'route = \"/r\"'")),
     17: (f"CASE WHEN {ROOT} THEN 'package.json' ELSE {cat(q('web/lib_'), K, q('/package.json'))} END", text(
@@ -171,8 +171,10 @@ HOOKS = {
               "CASE WHEN c_custkey % 9 = 0 THEN 'secrets: inherit' ELSE '' END") + " END"
     ),
 }
+BOT_BRANCH = "bot/docs"
 PULLS = {
     "repo": "concat('repo_', cast(o_custkey % 997 as string))",
+    "branch": f"CASE WHEN o_orderkey % 3 = 0 THEN 'feature' ELSE '{BOT_BRANCH}' END",
     "number": "o_orderkey",
     "state": "CASE WHEN o_orderkey % 5 = 0 THEN 'open' ELSE 'closed' END",
     "closed_at": "cast(o_orderdate as string)",
@@ -180,6 +182,7 @@ PULLS = {
 }
 OPEN_PULLS = {
     "repo": "concat('otro_', cast(o_custkey as string))",
+    "branch": PULLS["branch"],
     "state": PULLS["state"],
     "url": f"concat('https://host/pr/', {K})",
 }
@@ -206,10 +209,12 @@ RESPONSE_TEXT = cat(
     "CASE WHEN c_custkey % 3 = 0 THEN '<!-- DERIVADO DEL CODIGO -->' ELSE '' END", NL,
     "'Usa [package.json] y [./requirements.txt:2] [INFERIDO]'", NL,
     "CASE WHEN c_custkey % 4 = 1 THEN 'Ver [auth.py:15] y [docs/no.md]' ELSE 'Ver [README.md:3]' END", NL,
-    "CASE WHEN c_custkey % 5 = 2 THEN 'RUT 12.345.678-5 correo jefa@minagri.gob.cl' ELSE '' END", NL,
+    "CASE WHEN c_custkey % 5 = 2 THEN 'RUT 12.345.678-5 correo jefa@fields.example.cl' ELSE '' END", NL,
     "CASE WHEN c_custkey % 6 = 5 THEN '' ELSE " + cat("'=====  01-SOLUCION.md ====='", NL, "'derivado del codigo [.gitignore]'", NL) + " END",
     "'===== MANIFIESTO.yaml ====='", NL, "'archivos:'", NL, "'  - ruta: \"requirements.txt\"'", NL, "'    sha256: \"x\"'", NL,
     "'  - ruta: no/existe.csv'", NL, "'    nota: y'", NL, "'    sha256: PENDIENTE'", NL,
+    "'  - ruta: docs/GUIA.md'", NL, "'    sha256: z'", NL,
+    "CASE WHEN c_custkey % 7 = 3 THEN " + cat("'===== MANIFIESTO.yaml ====='", NL, "'    sha256: sin ruta'", NL, "'  - ruta: \"README.md\"'", NL, "'    sha256: x'", NL) + " ELSE '' END",
 )
 RESPONSES = {"repo": f"concat('resp_', {CUST})", "corpus_repo": CREPO, "text": RESPONSE_TEXT}
 

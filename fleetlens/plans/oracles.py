@@ -392,7 +392,7 @@ CTES["audit"] = (
     "CASE WHEN has_hook THEN coalesce(engine_ref = ref, false) END AS coherent FROM audit0"
 )
 CTES["latest"] = (
-    "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY closed_at DESC, number DESC) AS rank FROM pulls WHERE state = 'closed') WHERE rank <= 10"
+    "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY closed_at DESC, number DESC) AS rank FROM pulls WHERE state = 'closed' AND branch = 'bot/docs') WHERE rank <= 10"
 )
 
 
@@ -462,11 +462,12 @@ CTES["responses"] = d.select_sql("customer", d.RESPONSES)
 SECTION = q("(?m)" + dims.SECTION_MARK)
 CTES["sections"] = (
     f"SELECT repo, i_ - 1 AS n, names_[i_] AS document, {strip('parts_[i_ + 1]')} AS text FROM (SELECT *, unnest(range(1, len(names_) + 1)) AS i_ FROM ("
-    f"SELECT repo, regexp_extract_all(text, {SECTION}, 1) AS names_, regexp_split_to_array(text, {SECTION}) AS parts_ FROM responses))"
+    f"SELECT repo, regexp_extract_all(text, {SECTION}, 1) AS names_, regexp_split_to_array(text, {SECTION}) AS parts_ FROM responses)) "
+    "QUALIFY i_ = max(i_) OVER (PARTITION BY repo, names_[i_])"
 )
 CITES = found("sections", "true", dims.CITATION, {"cited": 1, "cl": 2}, "repo, document", "text")
 CTES["cites"] = f"SELECT repo, document, cited, TRY_CAST(nullif(cl, '') AS BIGINT) AS cited_line, line FROM ({CITES}) WHERE cited NOT IN {names(dims.NOT_A_CITATION)}"
-CTES["response_files"] = "SELECT r.repo, f.path, f.content FROM files f JOIN responses r ON f.repo = r.corpus_repo WHERE NOT contains(f.path, '/')"
+CTES["response_files"] = "SELECT r.repo, f.path, f.content FROM files f JOIN responses r ON f.repo = r.corpus_repo"
 CTES["checked"] = (
     "SELECT repo, cited, EXISTS (SELECT 1 FROM response_files f WHERE f.repo = c.repo AND (f.path = c.cited OR regexp_extract(f.path, '[^/]*$') = regexp_extract(c.cited, '[^/]*$'))) AS valid "
     "FROM (SELECT DISTINCT repo, regexp_replace(replace(cited, chr(92), '/'), '^(\\./)*/*', '') AS cited FROM cites WHERE document <> 'INFORME') c"
@@ -607,7 +608,7 @@ add("tech_mentioned_only", "SELECT repo, tech, file, line FROM techs WHERE prove
 add("capability_corroboration", "SELECT * FROM corro")
 add("pii_ignore_status", f"SELECT repo, path, {PII_MARK} AS mark, {COVERED} AS ignored_anchored FROM pii LEFT JOIN ignores USING (repo)")
 add("orphan_by_import", f"SELECT repo, path, {STEM} AS stem FROM files WHERE (repo, {STEM}) NOT IN (SELECT repo, stem FROM modules)")
-add("orphan_by_mention", "SELECT repo, path, stem FROM (" + unmentioned(f"SELECT repo, path, {STEM} AS stem FROM files WHERE language IN ('Python', 'TypeScript', 'React')") + ")")
+add("orphan_by_mention", "SELECT repo, path, stem FROM (" + unmentioned("SELECT * FROM suspects") + ")")
 add("variant_of", "SELECT repo, path, size, base FROM variants")
 add("verdict_join", "SELECT repo, path, size, category, confidence, CASE WHEN v = 'borrar' THEN 'borrar' ELSE 'revisar' END AS verdict, CASE WHEN v IS NULL THEN "
     "'El revisor no se pronuncio sobre este archivo. El detector lo marco como ' || category || '.' ELSE 'leido' END AS reason FROM cands "
@@ -616,11 +617,11 @@ add("citation_check", "SELECT repo, cited, valid FROM checked")
 add("manifest_seal", "SELECT repo, document, string_agg(CASE WHEN regexp_matches(value, '^\\s*sha256:') AND c.path IS NOT NULL THEN regexp_extract(value, '^\\s*') || 'sha256: \"' || coalesce(sha256(content), '[PENDIENTE] sin calcular') || '\"' ELSE value END, chr(10) ORDER BY line) || chr(10) AS text "
     "FROM carried c LEFT JOIN response_files f USING (repo, path) WHERE document = 'MANIFIESTO.yaml' GROUP BY repo, document")
 CTES["shown"] = "SELECT name AS repo, private, description FROM repos WHERE NOT private OR ends_with(name, '13')"
-add("leak_check", "SELECT DISTINCT 'nombre de repositorio privado' AS problem, p.name AS repo FROM repos p JOIN shown s ON p.private AND contains(lower(s.repo || ' ' || s.description), p.name) AND regexp_matches(s.repo || ' ' || s.description, '(?i)(^|[^A-Za-z0-9_])' || p.name || '([^A-Za-z0-9_]|$)') "
-    "UNION SELECT 'ficha privada publicada', repo FROM shown WHERE private")
+add("leak_check", "SELECT DISTINCT 'private name published' AS problem, p.name AS repo FROM repos p JOIN shown s ON p.private AND contains(lower(s.repo || ' ' || s.description), p.name) AND regexp_matches(s.repo || ' ' || s.description, '(?i)(^|[^A-Za-z0-9_])' || p.name || '([^A-Za-z0-9_]|$)') "
+    "UNION SELECT 'private card published', repo FROM shown WHERE private")
 add("prior_rejection", "SELECT DISTINCT repo FROM latest WHERE merged_at IS NULL")
 CTES["open_pulls"] = d.select_sql("orders", d.OPEN_PULLS)
-add("residual_prs", "SELECT o.repo, o.url FROM open_pulls o JOIN audit a ON o.repo = a.repo WHERE o.state = 'open' AND a.has_hook AND NOT starts_with(lower(a.repo), 'repo_')")
+add("residual_prs", "SELECT o.repo, o.url FROM open_pulls o JOIN audit a ON o.repo = a.repo WHERE o.state = 'open' AND o.branch = 'bot/docs' AND a.has_hook AND NOT starts_with(lower(a.repo), 'repo_')")
 add("provenance_rank", "SELECT * FROM techs")
 add("ranked_evidence", "SELECT repo, tech, CAST(rank AS BIGINT) AS rank, file, line, detail, third_party FROM ev_kept")
 add("capability_signals", "SELECT * FROM caps")
@@ -682,7 +683,7 @@ add("validation_summary", "SELECT g.repo, coalesce(e, 0) = 0 AS valid, coalesce(
     "LEFT JOIN (SELECT repo, count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS w, count(*) FILTER (kind = 'technology') AS u FROM problems GROUP BY repo) p ON g.repo = p.repo "
     "LEFT JOIN (SELECT repo, count(*) FILTER (kind = 'env') AS c1, count(*) FILTER (kind = 'endpoint') AS c2, count(*) FILTER (kind = 'table') AS c3, count(*) FILTER (kind = 'command') AS c4 FROM claimed GROUP BY repo) c ON g.repo = c.repo")
 CTES["persons"] = f"SELECT repo, document, count(*) AS n FROM ({emails_sql('sections', 'repo, document', 'text')}) GROUP BY ALL"
-add("publish_gate", "SELECT m.repo, missing, coalesce(c, 0) AS citations, coalesce(i, 0) AS invented, pd AS personal_documents, missing = '' AND coalesce(i, 0) = 0 AND coalesce(c, 0) > 0 AND pd = 0 AS publishable FROM missing m "
+add("publish_gate", "SELECT m.repo, missing, coalesce(c, 0) AS citations, coalesce(i, 0) AS invented, CASE WHEN coalesce(c, 0) > 0 THEN coalesce(i, 0) / c ELSE 0.0 END AS invented_share, pd AS personal_documents, missing = '' AND coalesce(i, 0) = 0 AND coalesce(c, 0) > 0 AND pd = 0 AS publishable FROM missing m "
     "LEFT JOIN (SELECT repo, count(*) AS c, count(*) FILTER (NOT valid) AS i FROM checked GROUP BY repo) k ON m.repo = k.repo "
     f"JOIN (SELECT repo, count(*) FILTER (regexp_matches(text, {q(dims.RUT)}) OR persons.n > 0) AS pd FROM sections LEFT JOIN persons USING (repo, document) GROUP BY repo) p ON m.repo = p.repo")
 add("evidence_top_n", "SELECT repo, tech, CAST(rank AS BIGINT) AS rank, n, file, line, detail FROM ev_n WHERE n <= 5")
@@ -698,7 +699,7 @@ CTES["sweep"] = (
     "SELECT r.name AS repo, h.repo IS NOT NULL AS has_hook, coalesce(b, 0) AS readme_bytes, coalesce(ph, true) AS placeholder, r.pushed_at, x.repo IS NOT NULL AS rejected FROM repos r "
     "LEFT JOIN (SELECT repo FROM hooks WHERE text IS NOT NULL) h ON r.name = h.repo "
     f"LEFT JOIN (SELECT repo, length(text) AS b, {SEL_SHORT} AS ph FROM root_readme) m ON r.name = m.repo "
-    "LEFT JOIN (SELECT DISTINCT repo FROM latest WHERE merged_at IS NULL) x ON r.name = x.repo WHERE NOT archived AND NOT disabled AND NOT fork"
+    "LEFT JOIN (SELECT DISTINCT repo FROM latest WHERE merged_at IS NULL) x ON r.name = x.repo WHERE starts_with(lower(r.name), 'repo_1') AND NOT archived AND NOT disabled AND NOT fork"
 )
 add("sweep_selection", "SELECT *, 'selected' AS list FROM (SELECT *, row_number() OVER (ORDER BY NOT placeholder, readme_bytes, pushed_at, repo) AS rank FROM sweep WHERE has_hook AND NOT rejected) "
     "UNION ALL SELECT *, NULL, CASE WHEN NOT has_hook AND rejected THEN 'no_hook,rejected' WHEN NOT has_hook THEN 'no_hook' ELSE 'rejected' END FROM sweep WHERE NOT has_hook OR rejected")

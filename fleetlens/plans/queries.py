@@ -143,15 +143,7 @@ class Inputs:
     @cached_property
     def sections(self) -> DataFrame:
         """Derived documents cut out of responses, each under the corpus repository it talks about."""
-        sections = extract.split_sections(self.derived("customer", d.RESPONSES)).select("repo", "document", "text")
-        return sections
-
-    @cached_property
-    def response_files(self) -> DataFrame:
-        """Files under the name of each response, so that citations can be checked."""
-        link = self.derived("customer", d.RESPONSES).select(F.col("repo").alias("response"), F.col("corpus_repo").alias("repo"))
-        roots = self.files.where(~F.col("path").contains("/"))
-        return roots.join(link, "repo").select(F.col("response").alias("repo"), "path", "content")
+        return extract.split_sections(self.derived("customer", d.RESPONSES)).select("repo", "corpus_repo", "document", "text")
 
     @cached_property
     def change_arrivals(self) -> DataFrame:
@@ -327,7 +319,7 @@ def _html_assets(i: Inputs) -> DataFrame:
 
 put("tech_mentions", lambda i: provenance.tech_mentions(i.files))
 put("citation_extract", lambda i: extract.citation_extract(i.sections))
-put("split_sections", lambda i: extract.split_sections(i.derived("customer", d.RESPONSES)))
+put("split_sections", lambda i: extract.split_sections(i.derived("customer", d.RESPONSES)).drop("corpus_repo"))
 put("parse_verdict", lambda i: extract.parse_verdict(i.derived("customer", d.REPLIES)))
 put("strip_fence", lambda i: i.table("documents").select("doc_id", F.sha2(T.strip_fence(
     F.concat(F.lit("  ```markdown\n"), F.col("text"), F.lit("\n```\n"))), 256).alias("sha")))
@@ -361,8 +353,7 @@ put("pii_ignore_status", lambda i: pii.pii_ignore_status(
 put("orphan_by_import", lambda i: cleanup.orphan_by_import(
     i.files, i.only("py_imports", "js_imports")).select("repo", "path", "stem"))
 put("orphan_by_mention", lambda i: cleanup.orphan_by_mention(
-    i.files.where(F.col("language").isin("Python", "TypeScript", "React")).select(
-        "repo", "path", paths.stem_of(F.col("path")).alias("stem")), i.files).select("repo", "path", "stem"))
+    cleanup.orphan_suspects(i.files, i.only("py_imports", "js_imports")), i.files).select("repo", "path", "stem"))
 put("variant_of", lambda i: cleanup.variant_of(i.files))
 
 
@@ -378,9 +369,9 @@ def _verdict_join(i: Inputs) -> DataFrame:
     return cleanup.verdict_join(candidates, verdicts.unionByName(invented))
 
 
-put("citation_check", lambda i: publish.citation_check(i.sections, i.response_files))
+put("citation_check", lambda i: publish.citation_check(i.sections, i.files))
 put("manifest_seal", lambda i: publish.manifest_seal(
-    i.sections.where("document = 'MANIFIESTO.yaml'"), corpus.file_sha256(i.response_files, "content")))
+    i.sections.where("document = 'MANIFIESTO.yaml'"), corpus.file_sha256(i.files, "content")))
 
 
 @query("leak_check")
@@ -391,8 +382,8 @@ def _leak_check(i: Inputs) -> DataFrame:
     return fleet.leak_check(sinks.card_json(leaked), described)
 
 
-put("prior_rejection", lambda i: fleet.prior_rejection(i.pulls))
-put("residual_prs", lambda i: fleet.residual_prs(i.audit, i.derived("orders", d.OPEN_PULLS), SCOPE))
+put("prior_rejection", lambda i: fleet.prior_rejection(i.pulls, d.BOT_BRANCH))
+put("residual_prs", lambda i: fleet.residual_prs(i.audit, i.derived("orders", d.OPEN_PULLS), SCOPE, d.BOT_BRANCH))
 
 # --- aggregations -----------------------------------------------------------
 
@@ -433,7 +424,7 @@ put("weak_signals", lambda i: provenance.weak_signals(i.capabilities).select("re
 put("validation_summary", lambda i: claims.validation_summary(
     i.guides.select("repo").distinct(), claims.claims(i.guides),
     claims.claims_minus_evidence(claims.claims(i.guides), i.known).unionByName(claims.claims_structure(i.guides))))
-put("publish_gate", lambda i: publish.publish_gate(i.sections, i.response_files).withColumn("missing", joined("missing")))
+put("publish_gate", lambda i: publish.publish_gate(i.sections, i.files).withColumn("missing", joined("missing")))
 put("context_digest", lambda i: evidence.context_digest(evidence.digest_lines(
     i.files, i.signals, i.manifests, i.technologies, i.capabilities, i.root_readmes,
     contract.config_resolve(i.derived("customer", d.CONFIG)).select("repo", "declared").join(
@@ -443,9 +434,9 @@ put("context_digest", lambda i: evidence.context_digest(evidence.digest_lines(
 
 put("evidence_top_n", lambda i: provenance.evidence_top_n(provenance.technology_evidence(i.files), 5).select(
     "repo", "tech", "rank", "n", "file", "line", "detail"))
-put("carry_path", lambda i: publish.carry_path(i.sections))
+put("carry_path", lambda i: publish.carry_path(i.sections).drop("corpus_repo"))
 put("block_pairing", lambda i: contract.block_pairing(i.contract_readmes))
-put("latest_pulls", lambda i: fleet.latest_pulls(i.pulls).select("repo", "rank", "number", "closed_at", "merged_at"))
+put("latest_pulls", lambda i: fleet.latest_pulls(i.pulls, d.BOT_BRANCH).select("repo", "rank", "number", "closed_at", "merged_at"))
 put("summary_lines", lambda i: evidence.summary_lines(i.contract_readmes))
 
 # --- sorts and top-k --------------------------------------------------------
@@ -458,7 +449,7 @@ put("debt_ranking", lambda i: fleet.debt_ranking(fleet.debt_score(fleet.health_f
 @query("sweep_selection")
 def _sweep_selection(i: Inputs) -> DataFrame:
     active = corpus.active_repo(i.repos)
-    return fleet.sweep_selection(fleet.sweep_candidates(active, i.hooks, i.root_readmes, i.pulls))
+    return fleet.sweep_selection(fleet.sweep_candidates(active, i.hooks, i.root_readmes, i.pulls, d.BOT_BRANCH, "repo_1"))
 
 
 put("candidate_order", lambda i: cleanup.candidate_order(i.candidates))

@@ -257,8 +257,9 @@ def test_citations(spark, corpus_of):
 
 
 def test_leaks_like_brute_force(spark):
-    names = ["repo", "my-repo", "repo-x", "a.b", ".hid", "archivo_log", "archivo", "end-"]
-    texts = ["usa REPO y my-repo", "COIN_ARCHIVO_LOG", "a.b.c", "x.hid", "xrepo repos", "repo-xy end-.", "archivo"]
+    names = ["repo", "my-repo", "repo-x", "a.b", ".hid", "archivo_log", "archivo", "end-", "ñ", "--", "-..hid", "a--b"]
+    texts = ["usa REPO y my-repo", "COIN_ARCHIVO_LOG", "a.b.c", "x.hid", "xrepo repos", "repo-xy end-.", "archivo", "añb ñ", "ñ", "a--b", "x -- y",
+             "--", "x-..hid", " -..hid", ".-..hid.", "end-", "end-x", "end--", ""]
     cards = spark.createDataFrame([(n, True) for n in names], "repo string, private boolean")
     for text in texts:
         published = spark.createDataFrame([("pub", text, False)], "repo string, text string, private boolean")
@@ -309,3 +310,30 @@ def test_digest_sections(spark, corpus_of):
     assert cut["text"] == row["text"][:40] and cut["truncated"]
     short = evidence.context_digest(evidence.digest_lines(*args, limits={"python": 1})).first()
     assert short["cut_sections"] == "6"
+
+
+def test_mentions_in_one_long_line(spark, corpus_of):
+    """A line of a megabyte and thirty lengths: rows stay small, and the middle of the line is searched."""
+    random.seed(2)
+    line = "".join(random.choice("abcdefgh") for _ in range(500_000))
+    inside = [line[k * 9000 : k * 9000 + 8 + k] for k in range(30)]
+    missing = ["z" + s for s in inside]
+    files = corpus_of({"big.js": line + line})
+    suspects = spark.createDataFrame([("r", f"{s}.py", s) for s in inside + missing], "repo string, path string, stem string")
+    assert [r[0] for r in listed(cleanup.orphan_by_mention(suspects, files), "stem")] == sorted(missing)
+
+
+def test_only_the_bot_rejects(spark):
+    rows = [("a", "feature", None), ("b", "bot/docs", None), ("c", "bot/docs", "2024"), ("c", "feature", None)]
+    pulls = spark.createDataFrame(
+        [(r, b, "closed", str(n), m, n) for n, (r, b, m) in enumerate(rows)], "repo string, branch string, state string, closed_at string, merged_at string, number int")
+    assert listed(fleet.prior_rejection(pulls, "bot/docs"), "repo") == [("b",)]
+
+
+def test_last_section_counts(spark):
+    text = "===== M.yaml =====\n- ruta: a.py\n  sha256: x\n===== N.md =====\nuno\n===== M.yaml =====\n  sha256: sola\n- ruta: b.py\n  sha256: y\n"
+    sections = extract.split_sections(spark.createDataFrame([("r", text)], "repo string, text string"))
+    assert listed(sections, "n", "document") == [(1, "N.md"), (2, "M.yaml")]
+    hashes = spark.createDataFrame([("r", "b.py", "ff"), ("r", "a.py", "00")], "repo string, path string, sha256 string")
+    sealed = publish.manifest_seal(sections.where("document = 'M.yaml'"), hashes).first()["text"]
+    assert sealed == 'sha256: sola\n- ruta: b.py\n  sha256: "ff"\n'
