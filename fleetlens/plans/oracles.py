@@ -631,8 +631,10 @@ add("table_inventory", "SELECT * FROM tabs")
 CTES["roots"] = "SELECT repo, string_split(path, '/')[1] AS root, count(*) AS n FROM files GROUP BY ALL"
 add("structure_counts", "SELECT * FROM roots")
 add("language_counts", "SELECT * FROM langs")
-add("pii_scan", f"SELECT repo, path, sha256, CASE WHEN sheet THEN 'planilla' ELSE 'patrones de dato personal' END AS reason, CASE WHEN sheet THEN 0 ELSE rut END AS rut, CASE WHEN sheet THEN 0 ELSE correo END AS correo, "
-    f"CASE WHEN sheet THEN 0 ELSE telefono END AS telefono, CASE WHEN sheet THEN 0 ELSE campos_sensibles END AS campos_sensibles, in_test_path, CASE WHEN sheet THEN '' ELSE array_to_string(special, '|') END AS special_category, {PII_MARK} AS mark FROM pii_both")
+PII_ROWS = (f"SELECT repo, path, sha256, CASE WHEN sheet THEN 'planilla' ELSE 'patrones de dato personal' END AS reason, CASE WHEN sheet THEN 0 ELSE rut END AS rut, CASE WHEN sheet THEN 0 ELSE correo END AS correo, "
+    f"CASE WHEN sheet THEN 0 ELSE telefono END AS telefono, CASE WHEN sheet THEN 0 ELSE campos_sensibles END AS campos_sensibles, in_test_path, CASE WHEN sheet THEN '' ELSE array_to_string(special, '|') END AS special_category, {PII_MARK} AS mark FROM ")
+add("pii_scan", PII_ROWS + "pii_both")
+add("stream_pii", PII_ROWS + "pii")
 CTES["docs"] = d.select_sql("documents", d.DOCUMENT)
 add("personal_emails", f"SELECT repo, document, count(*) AS emails FROM ({emails_sql('docs', 'repo, document', 'text')}) GROUP BY ALL")
 add("cleanup_summary", "SELECT repo, category, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes, CASE WHEN category IS NULL THEN round_even(100.0 * count(*) / any_value(total), 1) END AS pct_files "

@@ -145,13 +145,6 @@ class Inputs:
         """Derived documents cut out of responses, each under the corpus repository it talks about."""
         return extract.split_sections(self.derived("customer", d.RESPONSES)).select("repo", "corpus_repo", "document", "text")
 
-    @cached_property
-    def change_arrivals(self) -> DataFrame:
-        stamp = F.col("ts").cast("timestamp")
-        return self.table("events").select(
-            F.col("user_id").cast("string").alias("repo"), F.col("event_type").alias("sha"),
-            gate.sequence(stamp, F.col("event_id")).alias("seq"))
-
     def scratch(self, name: str) -> str:
         return f"{checkpoint_dir(self.spark)}/fleetlens/{name}-{uuid.uuid4().hex}"
 
@@ -537,25 +530,32 @@ put("hook_drift", lambda i: contract.hook_drift(
 
 @query("stream_change_gate")
 def _stream_change_gate(i: Inputs) -> DataFrame:
-    folder = i.scratch("gate")
-    events = i.spark.readStream.schema(i.table("events").schema).option("pathGlobFilter", "events.parquet").parquet(i.sf_dir)
-    arrivals = events.select(
-        F.col("user_id").cast("string").alias("repo"), F.col("event_type").alias("sha"),
-        gate.sequence(F.col("ts").cast("timestamp"), F.col("event_id")).alias("seq"))
-    run = gate.stream_change_gate(arrivals, f"{folder}/out", f"{folder}/checkpoint")
-    run.awaitTermination()
-    changed = gate.read_changes(i.spark, f"{folder}/out", "struct<ts:timestamp,tie:bigint>")
-    return changed.select("repo", "sha", F.col("seq.tie").alias("event_id"))
-
-
-@query("stream_evidence")
-def _stream_evidence(i: Inputs) -> DataFrame:
+    """The events arrive in four parts; the stream is started anew for each and goes on from its state."""
+    folder, events = i.scratch("gate"), i.table("events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    bounds = events.agg(F.percentile_approx(micros, [0.25, 0.5, 0.75], 1000)).first()[0] or []
+    edges = [None, *sorted(set(bounds)), None]
+    for low, high in zip(edges, edges[1:]):
+        part = events if low is None else events.where(micros >= low)
+        (part if high is None else part.where(micros < high)).write.mode("append").parquet(f"{folder}/in")
+        arriving = i.spark.readStream.schema(events.schema).parquet(f"{folder}/in").select(
+            F.col("user_id").cast("string").alias("repo"), F.col("event_type").alias("sha"),
+            gate.sequence(F.col("ts").cast("timestamp"), F.col("event_id")).alias("seq"))
+        gate.stream_change_gate(arriving, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return gate.read_changes(i.spark, f"{folder}/out").select("repo", "sha", F.col("tie").alias("event_id"))
+
+
+def _streamed(i: Inputs, kind: str, like: DataFrame) -> DataFrame:
     folder = i.scratch("stream")
     orders = i.spark.readStream.schema(i.table("orders").schema).option("pathGlobFilter", "orders.parquet").parquet(i.sf_dir)
     arriving = d.select(orders, d.CORPUS).selectExpr("repo", "path", "cast(length(content) as bigint) AS size", "content")
-    gate.stream_evidence(arriving, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    stored = i.spark.read.schema(i.signals.schema).parquet(f"{folder}/out")
-    return stored
+    gate.stream_evidence(arriving, f"{folder}/out", f"{folder}/checkpoint", kind).awaitTermination()
+    return i.spark.read.schema(like.schema).parquet(f"{folder}/out")
+
+
+put("stream_evidence", lambda i: _streamed(i, "signals", i.signals))
+put("stream_pii", lambda i: _streamed(i, "pii", pii.pii_scan(i.files)).select(
+    "repo", "path", "sha256", "reason", "counts.*", "in_test_path", joined("special_category"), "mark"))
 
 
 def _widen(df: DataFrame) -> DataFrame:

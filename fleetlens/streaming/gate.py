@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fleetlens.operators.extract import signals
 from fleetlens.operators.pii import pii_scan
@@ -36,39 +40,36 @@ def changes(arrivals: DataFrame, previous: DataFrame | None = None, bucket_secon
     return joined.where(seen.isNull() | (seen != F.col("sha"))).select("repo", "sha", "seq")
 
 
-def _state(spark: SparkSession, folder: str, batch: int) -> DataFrame | None:
-    if batch < 0:
-        return None
-    return spark.read.schema("repo string, sha string").parquet(f"{folder}/state/batch={batch}")
+CHANGES = "repo string, sha string, ts timestamp, tie bigint"
+
+
+def _changed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The arrivals of one repository in one micro-batch against its last value."""
+    rows = pd.concat(batches).sort_values(["ts", "tie"], kind="stable")
+    before = rows["sha"].shift()
+    before.iloc[0] = state.get[0] if state.exists else None
+    state.update((rows["sha"].iloc[-1],))
+    yield rows[before.isna() | (before != rows["sha"])]
 
 
-def stream_change_gate(
-    arrivals: DataFrame, output: str, checkpoint: str, **trigger
-) -> StreamingQuery:
+def stream_change_gate(arrivals: DataFrame, output: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Emit a repository only when its fingerprint differs from the last one seen.
 
-    ``arrivals`` streams (repo, sha, seq). Each micro-batch reads the state of
-    the batch before and overwrites its own output and state, so a batch that
-    is run again after a failure gives the same files. ``output`` must be in
-    shared storage.
+    ``arrivals`` streams (repo, sha, seq); arrivals without a sha say nothing. The state store holds
+    one value per repository, so a batch costs what it brings and the state grows with the
+    repositories only; a task holds the three small columns of one repository's arrivals in one
+    micro-batch. ``output`` must be in shared storage.
     """
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        previous = _state(spark, output, number - 1)
-        changes(batch, previous).write.mode("overwrite").parquet(f"{output}/changes/batch={number}")
-        latest = batch.groupBy("repo").agg(F.max_by("sha", "seq").alias("sha"))
-        if previous is not None:
-            latest = latest.unionByName(previous.join(latest, "repo", "left_anti"))
-        latest.write.mode("overwrite").parquet(f"{output}/state/batch={number}")
-
+    flat = arrivals.where("sha is not null").select("repo", "sha", "seq.ts", F.col("seq.tie").cast("bigint").alias("tie"))
+    found = flat.groupBy("repo").applyInPandasWithState(_changed, CHANGES, "sha string", "append", GroupStateTimeout.NoTimeout)
     return (
-        arrivals.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True})).start()
+        found.writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint)
+        .outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
-def read_changes(spark: SparkSession, output: str, seq: str) -> DataFrame:
-    return spark.read.schema(f"repo string, sha string, seq {seq}, batch int").parquet(f"{output}/changes")
+def read_changes(spark: SparkSession, output: str) -> DataFrame:
+    return spark.read.schema(CHANGES).parquet(output)
 
 
 def stream_corpus(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:

@@ -337,3 +337,20 @@ def test_last_section_counts(spark):
     hashes = spark.createDataFrame([("r", "b.py", "ff"), ("r", "a.py", "00")], "repo string, path string, sha256 string")
     sealed = publish.manifest_seal(sections.where("document = 'M.yaml'"), hashes).first()["text"]
     assert sealed == 'sha256: sola\n- ruta: b.py\n  sha256: "ff"\n'
+
+
+def test_gate_over_restarts(spark, tmp_path):
+    random.seed(6)
+    rows = [("hot" if n % 2 else f"c{n % 7}", random.choice("ab"), n * 600, n) for n in range(300)]
+    last, expected = {}, []
+    for repo, sha, _, n in rows:
+        if last.get(repo) != sha:
+            expected.append(n)
+        last[repo] = sha
+    for at in range(0, 300, 100):
+        part = spark.createDataFrame(rows[at : at + 100], "repo string, sha string, sec long, id long")
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        arriving = spark.readStream.schema(part.schema).parquet(str(tmp_path / "in")).select(
+            "repo", "sha", gate.sequence(F.timestamp_seconds("sec"), F.col("id")).alias("seq"))
+        gate.stream_change_gate(arriving, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert [r[0] for r in listed(gate.read_changes(spark, str(tmp_path / "out")), "tie")] == expected
