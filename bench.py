@@ -29,7 +29,7 @@ def main() -> None:
     derived.tracked(spark, folder).count()
     timings["land_corpus"] = round(time.perf_counter() - start, 3)
     start = time.perf_counter()
-    StoredInputs(spark, folder).evidence.read("signals").count()
+    StoredInputs(spark, folder).evidence.signals().count()
     timings["land_evidence"] = round(time.perf_counter() - start, 3)
     for name in HEADLINE:
         start = time.perf_counter()

@@ -116,13 +116,19 @@ def discover_manifests(files: DataFrame) -> DataFrame:
     (repo, path, kind, third_party, depth, project_name, dependencies, scripts);
     kinds without a reader keep empty lists. ``manifest_order`` gives the order.
     """
-    name, path, content = F.col("name"), F.col("path"), F.col("content")
-    found = files.where(is_manifest(name, path))
+    item = manifest_item()
+    return files.where(is_manifest(F.col("name"), F.col("path"))).select(
+        "repo", "path", "third_party", paths.depth_of(F.col("path")).alias("depth"), item.alias("m")
+    ).select("repo", "path", "m.kind", "third_party", "depth", "m.project_name", "m.dependencies", "m.scripts")
+
+
+def manifest_item() -> Column:
+    """struct<kind, project_name, dependencies, scripts> of one manifest."""
+    name, content = F.col("name"), F.col("content")
     parsed = F.when(name == "package.json", F.from_json(content, NPM_SCHEMA))
     scripts = F.coalesce(npm_script_items(content, parsed), F.array().cast(SCRIPTS))
-    return found.select(
-        "repo", "path", lookup(dims.MANIFEST_KIND, name).alias("kind"), "third_party",
-        paths.depth_of(path).alias("depth"), parsed["name"].alias("project_name"),
+    return F.struct(
+        lookup(dims.MANIFEST_KIND, name).alias("kind"), parsed["name"].alias("project_name"),
         dependency_items(name, content).alias("dependencies"), scripts.alias("scripts"),
     )
 

@@ -90,18 +90,22 @@ def mentioned_items() -> Column:
     return _or_empty(F.when(scoped, shaped))
 
 
-def technology_evidence(files: DataFrame, *provenances: str) -> DataFrame:
-    """(repo, tech, rank, file, depth, line, detail, third_party): one scan, one explode."""
+def technology_items(*provenances: str) -> Column:
+    """array<struct<tech, rank, line, detail>> of one file; needs ``_folded``, the content without case."""
     makers = {
         "declared": declared_items, "imported": imported_items,
         "vendored": vendored_items, "mentioned": mentioned_items,
     }
     arrays = [makers[p]() for p in (provenances or dims.PROVENANCE_ORDER)]
     joined = F.concat(*arrays) if len(arrays) > 1 else arrays[0]
-    known = F.filter(joined, lambda i: i["tech"].isNotNull())
+    return F.filter(joined, lambda i: i["tech"].isNotNull())
+
+
+def technology_evidence(files: DataFrame, *provenances: str) -> DataFrame:
+    """(repo, tech, rank, file, depth, line, detail, third_party): one scan, one explode."""
     exploded = files.withColumn("_folded", fold(F.col("content"))).select(
         "repo", F.col("path").alias("file"), paths.depth_of(F.col("path")).alias("depth"), "third_party",
-        F.explode(known).alias("i"),
+        F.explode(technology_items(*provenances)).alias("i"),
     )
     return exploded.select("repo", "i.tech", "i.rank", "file", "depth", "i.line", "i.detail", "third_party")
 
@@ -195,11 +199,12 @@ def keyword_pattern(words: tuple[str, ...]) -> str:
     return rx("|".join(rf"\b\Q{w}\E\b" for w in words), "i")
 
 
-def capability_hits(files: DataFrame, keywords=dims.CAPABILITY_KEYWORDS) -> DataFrame:
-    """(repo, category, file, line, keyword, third_party): first keyword per file and category."""
-    scoped = files.where(
-        F.col("text") & ~F.col("path").rlike(rx(dims.CAPABILITY_EXCLUDED_PATH, "i"))
-    )
+def capability_scope() -> Column:
+    return F.col("text") & ~F.col("path").rlike(rx(dims.CAPABILITY_EXCLUDED_PATH, "i"))
+
+
+def capability_items(keywords=dims.CAPABILITY_KEYWORDS) -> Column:
+    """array<struct<category, line, keyword>> of one file; needs ``_folded``."""
     content = F.col("content")
     hits = []
     for category, words in keywords.items():
@@ -208,10 +213,13 @@ def capability_hits(files: DataFrame, keywords=dims.CAPABILITY_KEYWORDS) -> Data
         hits.append(F.when(possible & content.rlike(pattern), F.struct(
             F.lit(category).alias("category"), first_line(content, pattern).alias("line"),
             F.lower(F.regexp_extract(content, pattern, 0)).alias("keyword"))))
-    exploded = scoped.withColumn("_folded", fold(content)).select(
-        "repo", F.col("path").alias("file"), "third_party", F.inline(F.array(*hits))
-    )
-    return exploded.where("category is not null")
+    return F.array_compact(F.array(*hits))
+
+
+def capability_hits(files: DataFrame, keywords=dims.CAPABILITY_KEYWORDS) -> DataFrame:
+    """(repo, file, third_party, category, line, keyword): first keyword per file and category."""
+    return files.where(capability_scope()).withColumn("_folded", fold(F.col("content"))).select(
+        "repo", F.col("path").alias("file"), "third_party", F.inline(capability_items(keywords)))
 
 
 def _categories(value: Column, support: dict[str, tuple[str, ...]]) -> Column:

@@ -15,8 +15,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetlens.session import checkpoint_dir
+from fleetlens.sources.corpus import land_corpus
 
-CORPUS_SCHEMA = "repo string, path string, size bigint, content string"
+CORPUS_SCHEMA = "repo string, path string, size bigint, content string, name string, ext string, language string"
 
 NL = "chr(10)"
 K = "cast(o_orderkey as string)"
@@ -244,8 +245,7 @@ def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
     landed = (spark.sparkContext.applicationId, sf_dir)
     if landed not in _LANDED:
         folder = f"{checkpoint_dir(spark)}/fleetlens/corpus-{uuid.uuid4().hex}"
-        select(table(spark, sf_dir, "orders"), CORPUS).selectExpr(
-            "repo", "path", "cast(length(content) as bigint) AS size", "content").write.option(
-            "maxRecordsPerFile", 2000).parquet(folder)
+        land_corpus(select(table(spark, sf_dir, "orders"), CORPUS).selectExpr(
+            "repo", "path", "cast(length(content) as bigint) AS size", "content"), folder)
         _LANDED[landed] = folder
     return spark.read.schema(CORPUS_SCHEMA).parquet(_LANDED[landed])

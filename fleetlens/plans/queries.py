@@ -171,16 +171,16 @@ class StoredInputs(Inputs):
 
     @cached_property
     def manifests(self) -> DataFrame:
-        return self.evidence.read("manifests")
+        return self.evidence.manifests()
 
     @cached_property
     def evidence_rows(self) -> DataFrame:
-        return self.evidence.read("technology_evidence")
+        return self.evidence.technology_evidence()
 
     @cached_property
     def capabilities(self) -> DataFrame:
         support = provenance.capability_corroboration(self.technologies, self.dependencies)
-        return provenance.capability_signals(self.evidence.read("capability_hits"), support)
+        return provenance.capability_signals(self.evidence.capability_hits(), support)
 
 
 # Queries over extracted evidence; all others start from file contents.

@@ -93,13 +93,17 @@ def scan_corpus(
     """Inventory of a corpus table (repo, path, size[, content]).
 
     Only projections and filters on ``path``: the scan of a columnar corpus
-    never touches ``content`` unless the caller selects it. A fleet that keeps
+    never touches ``content`` unless the caller selects it. A corpus landed with
+    ``name``, ``ext`` and ``language`` (a partition column, see :func:`land_corpus`)
+    keeps them, so a filter on the language skips whole folders. A fleet that keeps
     its own settings file in the repositories adds its name to ``ignored_files``.
     """
     path = F.col("path")
-    name = paths.name_of(path)
-    ext = F.lower(paths.suffix_of(path))
-    rest = [c for c in tracked.columns if c not in ("repo", "path", "size")]
+    stored = {"name": paths.name_of(path), "ext": F.lower(paths.suffix_of(path))}
+    stored = {c: F.col(c) if c in tracked.columns else v for c, v in stored.items()}
+    name, ext = stored["name"], stored["ext"]
+    language = F.col("language") if "language" in tracked.columns else paths.language_of(ext)
+    rest = [c for c in tracked.columns if c not in ("repo", "path", "size", "name", "ext", "language")]
     kept = tracked.where(
         ~paths.in_ignored_folder(path)
         & ~name.isin(*ignored_files)
@@ -110,7 +114,7 @@ def scan_corpus(
         "path",
         name.alias("name"),
         ext.alias("ext"),
-        paths.language_of(ext).alias("language"),
+        language.alias("language"),
         "size",
         paths.is_text_file(ext, name).alias("text"),
         name.isin(*dims.IMPORTANT_FILES).alias("important"),
@@ -119,6 +123,19 @@ def scan_corpus(
     )
 
 
+def land_corpus(tracked: DataFrame, folder: str, files_per_language: int | None = None) -> None:
+    """Write a corpus table (repo, path, size, content) with ``name`` and ``ext``, partitioned by language.
+
+    Rows are dealt by (language, hash of the path), so a language with most of the files spreads over
+    all tasks and each folder gets few, large files.
+    """
+    path = F.col("path")
+    ext = F.lower(paths.suffix_of(path))
+    named = tracked.select("repo", "path", "size", "content", paths.name_of(path).alias("name"), ext.alias("ext"), paths.language_of(ext).alias("language"))
+    spread = F.pmod(F.xxhash64("repo", "path"), F.lit(files_per_language or 8))
+    named.repartition("language", spread).sortWithinPartitions("language", "repo", "path").write.partitionBy("language").parquet(folder)
+
+
 def analysis_scope(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Text files; with ``max_bytes`` only those small enough for a caller's detector."""
     text = files.where("text")

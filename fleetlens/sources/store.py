@@ -11,48 +11,66 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetlens.operators.extract import EXTRACTORS, signals
-from fleetlens.operators.manifests import discover_manifests
-from fleetlens.operators.provenance import capability_hits, technology_evidence
+from fleetlens.functions import paths
+from fleetlens.functions.text import fold
+from fleetlens.operators.extract import EXTRACTORS, LANGUAGES_OF, signal_items
+from fleetlens.operators.manifests import is_manifest, manifest_item
+from fleetlens.operators.provenance import capability_items, capability_scope, technology_items
 
 KIND_OF = {
     "py_imports": "import", "py_functions": "function", "py_classes": "class", "py_routes": "route",
     "py_env_vars": "env_var", "js_imports": "import", "js_exports": "export", "js_components": "component",
     "js_api_calls": "api_call", "js_routes": "js_route", "js_env_vars": "env_var", "sql_tables": "table",
 }
-MAKERS = {
-    "signals": signals,
-    "manifests": discover_manifests,
-    "technology_evidence": technology_evidence,
-    "capability_hits": capability_hits,
-}
 
 
 @dataclass(frozen=True)
 class EvidenceStore:
+    """One row per file with its evidence in nested columns, partitioned by language; readers prune both."""
+
     spark: SparkSession
     folder: str
-    schemas: dict[str, object]
+    schema: object
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.folder}/{name}")
+    @property
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.folder)
 
     def signals(self, *names: str) -> DataFrame:
-        """Stored signals of the chosen extractors; the filter reaches the Parquet scan."""
-        rows = self.read("signals")
-        if not names:
-            return rows
-        kinds = sorted({KIND_OF[n] for n in names})
-        langs = sorted({EXTRACTORS[n].lang for n in names})
-        return rows.where(rows["kind"].isin(*kinds) & rows["lang"].isin(*langs))
+        """Stored signals of the chosen extractors; only the folders of their languages are read."""
+        rows = self.rows.where("signals is not null")
+        if names:
+            langs = {EXTRACTORS[n].lang for n in names}
+            rows = rows.where(F.col("language").isin(sorted({x for lang in langs for x in LANGUAGES_OF[lang]})))
+        found = rows.select("repo", F.col("path").alias("file"), "lang", "third_party", F.explode("signals").alias("s")).select(
+            "repo", "file", "lang", "s.kind", "s.value", "s.method", "s.line", "third_party")
+        return found.where(F.col("kind").isin(sorted({KIND_OF[n] for n in names}))) if names else found
+
+    def manifests(self) -> DataFrame:
+        m = F.col("manifest")
+        return self.rows.where(m.isNotNull()).select(
+            "repo", "path", m["kind"].alias("kind"), "third_party", "depth", m["project_name"].alias("project_name"),
+            m["dependencies"].alias("dependencies"), m["scripts"].alias("scripts"))
+
+    def technology_evidence(self) -> DataFrame:
+        found = self.rows.select("repo", F.col("path").alias("file"), "depth", "third_party", F.explode("technologies").alias("i"))
+        return found.select("repo", "i.tech", "i.rank", "file", "depth", "i.line", "i.detail", "third_party")
+
+    def capability_hits(self) -> DataFrame:
+        return self.rows.where("hits is not null").select("repo", F.col("path").alias("file"), "third_party", F.inline("hits"))
 
 
 def land(files: DataFrame, folder: str) -> EvidenceStore:
-    """Extract every kind of evidence of a corpus into ``folder``."""
-    schemas = {}
-    for name, make in MAKERS.items():
-        rows = make(files)
-        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
-        schemas[name] = rows.schema
-    return EvidenceStore(files.sparkSession, folder, schemas)
+    """Extract every kind of evidence of a corpus into ``folder``: one scan of the contents, one write."""
+    wanted, label, items = signal_items(tuple(EXTRACTORS))
+    path = F.col("path")
+    rows = files.withColumn("_folded", fold(F.col("content"))).select(
+        "repo", "path", "third_party", paths.depth_of(path).alias("depth"), label.alias("lang"),
+        F.when(wanted & F.col("text"), items).alias("signals"),
+        F.when(is_manifest(F.col("name"), path), manifest_item()).alias("manifest"),
+        technology_items().alias("technologies"), F.when(capability_scope(), capability_items()).alias("hits"), "language",
+    )
+    rows.write.mode("overwrite").partitionBy("language").parquet(folder)
+    return EvidenceStore(files.sparkSession, folder, rows.schema)
