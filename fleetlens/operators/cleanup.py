@@ -191,10 +191,7 @@ def verdict_join(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
     delete = F.max(F.when(F.col("verdict") == "borrar", 1).otherwise(0)).alias("delete")
     judged = verdicts.groupBy("repo", "path").agg(delete, F.max("reason").alias("reason"))
     joined = candidates.join(judged, ["repo", "path"], "left")
-    silent = F.concat(
-        F.lit("El revisor no se pronuncio sobre este archivo. El detector lo marco como "),
-        F.col("category"), F.lit("."),
-    )
+    silent = F.concat(F.lit("no_verdict:"), F.col("category"))
     return joined.select(
         "repo", "path", "size", "category", "confidence",
         F.when(F.col("delete") == 1, "borrar").otherwise("revisar").alias("verdict"),

@@ -210,11 +210,11 @@ def config_resolve(config: DataFrame) -> DataFrame:
     cleaned = F.filter(F.transform(as_list, strip), lambda p: p.isNotNull() & (p != ""))
     unknown = config_unknown_keys(m)
     warnings = F.array_compact(F.array(
-        F.when(present & m.isNull(), F.lit("la configuracion no contiene un mapa de claves. Se ignora.")),
+        F.when(present & m.isNull(), F.lit("not_a_map")),
         F.when(m.isNotNull() & ~known, F.concat(
-            F.lit("lang='"), lang, F.lit("' no reconocido. Se usa 'es'. Valores validos: en, es."))),
+            F.lit("unknown_lang:"), lang)),
         F.when(F.size(unknown) > 0, F.concat(
-            F.lit("Claves no reconocidas, se ignoran: "), F.array_join(unknown, ", "))),
+            F.lit("unknown_keys:"), F.array_join(unknown, ", "))),
     ))
     return parsed.select(
         "repo", present.alias("present"), flag("enabled", True).alias("enabled"),
@@ -259,8 +259,8 @@ def hook_drift(repos: DataFrame, hooks: DataFrame, desired: str, create_missing:
     joined = repos.select("repo").join(hooks.select("repo", "text"), "repo", "left")
     same = normalize_newlines(F.col("text")) == normalize_newlines(F.lit(desired))
     state = (
-        F.when(F.col("text").isNull(), "se instalaria" if create_missing else "sin stub")
-        .when(same, "ya al dia")
-        .otherwise("se actualizaria")
+        F.when(F.col("text").isNull(), "would_install" if create_missing else "missing")
+        .when(same, "current")
+        .otherwise("differs")
     )
     return joined.select("repo", state.alias("state"))

@@ -63,11 +63,13 @@ def personal_values(text: Column) -> Column:
     return F.size(distinct_hits(text, rx(dims.RUT))) + F.size(email_items(text))
 
 
-def pii_scan(files: DataFrame, content_hash: str = "content") -> DataFrame:
+def pii_scan(files: DataFrame) -> DataFrame:
     """One row per own file that holds a value with the shape of personal data.
 
-    A field name alone is not data. Spreadsheets are always reported.
+    A field name alone is not data. Spreadsheets are always reported. The sha256 is that of the raw
+    bytes: a stored ``sha256`` column or ``bytes`` where the corpus has one, else of the text as it came.
     """
+    raw = F.col("sha256") if "sha256" in files.columns else F.sha2(F.col("bytes" if "bytes" in files.columns else "content").cast("binary"), 256)
     text, path = F.col("content"), F.col("path")
     own = files.where(~F.col("third_party"))
     sheet = F.col("ext").isin(*dims.SPREADSHEET_EXTENSIONS)
@@ -79,7 +81,7 @@ def pii_scan(files: DataFrame, content_hash: str = "content") -> DataFrame:
         F.when(sheet, 0).otherwise(F.size(distinct_hits(text, rx(dims.RUT)))).alias("rut"),
         F.when(sheet, 0).otherwise(F.size(email_items(text))).alias("correo"),
         F.when(sheet, 0).otherwise(F.size(distinct_hits(text, rx(dims.PHONE_CL)))).alias("telefono"),
-        F.sha2(F.col(content_hash).cast("binary"), 256).alias("sha256"),
+        raw.alias("sha256"),
     )
     found = counted.where(F.col("sheet") | (F.col("rut") + F.col("correo") + F.col("telefono") > 0))
     empty = F.array().cast("array<string>")

@@ -451,7 +451,7 @@ CTES["unsupported"] = (
 
 
 def structure_sql(source: str) -> str:
-    parts = [f"SELECT repo, 'length' AS kind, 'README demasiado corto.' AS value, 'error' AS severity FROM {source} WHERE length({strip('text')}) < 300"]
+    parts = [f"SELECT repo, 'length' AS kind, 'too_short' AS value, 'error' AS severity FROM {source} WHERE length({strip('text')}) < 300"]
     parts += [f"SELECT repo, 'concept', {q(c)}, 'warning' FROM {source} WHERE NOT contains(lower(text), {q(c)})" for c in dims.REQUIRED_CONCEPTS]
     parts += [f"SELECT repo, 'uncertain', {q(c)}, 'warning' FROM {source} WHERE contains(lower(text), {q(c)})" for c in dims.UNCERTAIN_PHRASES]
     return "SELECT DISTINCT * FROM (" + " UNION ALL ".join(parts) + ")"
@@ -565,7 +565,7 @@ add("is_text_file", f"SELECT repo, path, {TEXT} AS text FROM tracked")
 add("analysis_scope", "SELECT repo, path, size FROM files WHERE text")
 add("in_scope_repo", "SELECT repo, starts_with(lower(repo), 'repo_') AS in_scope FROM hooks")
 add("active_repo", "SELECT name FROM repos WHERE NOT archived AND NOT disabled AND NOT fork AND name NOT IN ('repo_1', 'repo_2')")
-add("size_gate", "SELECT name, size, CASE WHEN size > 300000 THEN 'OMITIDO_POR_TAMANO: ' || CAST(round_even(size / 1024, 0) AS BIGINT) || ' MB supera el limite de 293 MB' END AS omitted_reason FROM repos")
+add("size_gate", "SELECT name, size, CASE WHEN size > 300000 THEN 'over_limit:' || CAST(round_even(size / 1024, 0) AS BIGINT) || ' of 293 MB' END AS omitted_reason FROM repos")
 add("test_path", f"SELECT repo, path, {has('path', dims.TEST_PATH, 'i')} AS test FROM tracked")
 add("protected_path", f"SELECT repo, path, {PROTECTED} AS protected FROM tracked")
 add("entry_point", f"SELECT repo, path, {ENTRY} AS entry FROM files")
@@ -611,7 +611,7 @@ add("orphan_by_import", f"SELECT repo, path, {STEM} AS stem FROM files WHERE (re
 add("orphan_by_mention", "SELECT repo, path, stem FROM (" + unmentioned("SELECT * FROM suspects") + ")")
 add("variant_of", "SELECT repo, path, size, base FROM variants")
 add("verdict_join", "SELECT repo, path, size, category, confidence, CASE WHEN v = 'borrar' THEN 'borrar' ELSE 'revisar' END AS verdict, CASE WHEN v IS NULL THEN "
-    "'El revisor no se pronuncio sobre este archivo. El detector lo marco como ' || category || '.' ELSE 'leido' END AS reason FROM cands "
+    "'no_verdict:' || category ELSE 'leido' END AS reason FROM cands "
     "LEFT JOIN (SELECT repo, path, CASE WHEN contains(path, '7') THEN 'borrar' ELSE 'revisar' END AS v FROM tracked WHERE ends_with(path, '_old.py')) USING (repo, path)")
 add("citation_check", "SELECT repo, cited, valid FROM checked")
 add("manifest_seal", "SELECT repo, document, string_agg(CASE WHEN regexp_matches(value, '^\\s*sha256:') AND c.path IS NOT NULL THEN regexp_extract(value, '^\\s*') || 'sha256: \"' || coalesce(sha256(content), '[PENDIENTE] sin calcular') || '\"' ELSE value END, chr(10) ORDER BY line) || chr(10) AS text "
@@ -744,9 +744,9 @@ add("config_resolve", "SELECT repo, raw IS NOT NULL AS present, coalesce(json_ex
     f"CASE WHEN {LANG} IN ('es', 'en') THEN {LANG} ELSE 'es' END AS lang, array_to_string(list_filter(list_transform({IGNORE}, lambda x: trim(x)), lambda x: x <> ''), '|') AS ignore_paths, "
     "trim(coalesce(json_extract_string(j, '$.declared'), '')) AS declared, coalesce(json_extract_string(j, '$.artifacts') = 'true', false) AS artifacts, coalesce(json_extract_string(j, '$.cleanup') <> 'false', true) AS cleanup, "
     "coalesce(json_extract_string(j, '$.insumos') = 'true', false) AS insumos, "
-    "concat_ws('|', CASE WHEN raw IS NOT NULL AND j IS NULL THEN 'la configuracion no contiene un mapa de claves. Se ignora.' END, "
-    f"CASE WHEN {LANG} NOT IN ('es', 'en') THEN 'lang=''' || {LANG} || ''' no reconocido. Se usa ''es''. Valores validos: en, es.' END, "
-    f"CASE WHEN {UNKNOWN.format(', ')} <> '' THEN 'Claves no reconocidas, se ignoran: ' || {UNKNOWN.format(', ')} END) AS warnings FROM conf")
+    "concat_ws('|', CASE WHEN raw IS NOT NULL AND j IS NULL THEN 'not_a_map' END, "
+    f"CASE WHEN {LANG} NOT IN ('es', 'en') THEN 'unknown_lang:' || {LANG} END, "
+    f"CASE WHEN {UNKNOWN.format(', ')} <> '' THEN 'unknown_keys:' || {UNKNOWN.format(', ')} END) AS warnings FROM conf")
 add("human_inputs_guard", f"SELECT repo, bool_or(document IN {names(dims.REQUIRED_DOCUMENTS)} AND NOT contains(upper(text), 'DERIVADO DEL CODIGO')) AS human FROM sections GROUP BY repo")
 HINT = "CASE " + " ".join(f"WHEN contains(upper(value), {q(n)}) THEN {q(h)}" for n, h in dims.ENV_HINTS) + f" ELSE {q(dims.DEFAULT_ENV_HINT)} END"
 add("env_example_rows", f"SELECT repo, value, file, line, {HINT} AS hint FROM env WHERE value NOT IN {names(dims.RUNTIME_ENV)}")
@@ -757,7 +757,7 @@ add("inventory_rows", f"SELECT c.repo, c.repo || CASE WHEN private THEN ' (priva
     + ", coalesce(st, '-') AS stack FROM cards c LEFT JOIN (SELECT repo, string_agg(tech, ', ' ORDER BY tech) AS st FROM techs WHERE provenance <> 'mentioned' GROUP BY repo) t ON c.repo = t.repo")
 add("hook_audit", "SELECT * FROM audit")
 add("ref_class", f"SELECT repo, {REF_KIND} AS kind FROM audit WHERE ref IS NOT NULL")
-add("hook_drift", f"SELECT name AS repo, CASE WHEN text IS NULL THEN 'sin stub' WHEN {strip('replace(text, chr(13) || chr(10), chr(10))')} = 'uses: {d.WORKFLOW}@v2' || chr(10) || 'engine_ref: v2' THEN 'ya al dia' ELSE 'se actualizaria' END AS state FROM repos LEFT JOIN hooks ON repos.name = hooks.repo")
+add("hook_drift", f"SELECT name AS repo, CASE WHEN text IS NULL THEN 'missing' WHEN {strip('replace(text, chr(13) || chr(10), chr(10))')} = 'uses: {d.WORKFLOW}@v2' || chr(10) || 'engine_ref: v2' THEN 'current' ELSE 'differs' END AS state FROM repos LEFT JOIN hooks ON repos.name = hooks.repo")
 add("stream_change_gate", "SELECT CAST(user_id AS VARCHAR) AS repo, event_type AS sha, event_id FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type")
 add("stream_evidence", "SELECT * FROM signals")
 NAMED = ("SELECT DISTINCT p.repo FROM full_cards p JOIN full_cards s ON p.private AND NOT s.private AND "

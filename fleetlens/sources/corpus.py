@@ -76,9 +76,9 @@ def read_paths(tracked_paths: DataFrame, root: str) -> DataFrame:
 
 
 def read_content(tracked: DataFrame) -> DataFrame:
-    """Replace the ``bytes`` column by decoded ``content``."""
-    kept = [c for c in tracked.columns if c != "bytes"]
-    return tracked.select(*kept, decode_text(F.col("bytes")).alias("content"))
+    """Replace the ``bytes`` column by decoded ``content`` and the ``sha256`` of the raw bytes."""
+    kept = [c for c in tracked.columns if c not in ("bytes", "sha256")]
+    return tracked.select(*kept, decode_text(F.col("bytes")).alias("content"), F.sha2("bytes", 256).alias("sha256"))
 
 
 def file_sha256(files: DataFrame, column: str = "bytes") -> DataFrame:
@@ -151,8 +151,8 @@ def size_gate(repos: DataFrame, max_kb: int = dims.MAX_CENSUS_KB) -> DataFrame:
     """Adds ``omitted_reason``: null for the census, a reason otherwise; no row is lost."""
     megabytes = F.bround(F.col("size") / 1024).cast("bigint").cast("string")
     reason = F.concat(
-        F.lit("OMITIDO_POR_TAMANO: "), megabytes,
-        F.lit(f" MB supera el limite de {max_kb / 1024:.0f} MB"),
+        F.lit("over_limit:"), megabytes,
+        F.lit(f" of {max_kb / 1024:.0f} MB"),
     )
     return repos.withColumn("omitted_reason", F.when(F.col("size") > max_kb, reason))
 
