@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import in_batches, landed, text_rows, words_of
 
 UNITS, SUFFIXES, KNOWN, LONGEST = 400, 110, 150_000, 64
-WIDTH, NOISE, BATCH, RATE, SQUARES = 24, 64, 1024, 0.1, 1e-4  # SQUARES: what AdaGrad starts from
+WIDTH, NOISE, BATCH, RATE, SQUARES = 24, 32, 1024, 0.1, 1e-4  # SQUARES: what AdaGrad starts from
 END = b"\n"  # no word holds a blank
 SMOOTH = 0.1
 WARM_UP = 10  # one document in so many trains the common start
@@ -178,7 +178,8 @@ def train_on(model: Model, units: np.ndarray, starts: np.ndarray, noise: np.ndar
     grad = Model(k, np.zeros_like(model.flat))
 
     def scatter(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-        return np.stack([np.bincount(at, values[:, j], n) for j in range(values.shape[1])], 1)
+        d = values.shape[1]
+        return np.bincount((at[:, None] * d + np.arange(d)).ravel(), values.ravel(), n * d).reshape(n, d)
 
     for a in range(0, len(units), BATCH):
         t, n1, n2 = units[a : a + BATCH], near[a : a + BATCH], far[a : a + BATCH]
