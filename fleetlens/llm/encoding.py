@@ -16,9 +16,10 @@ import numpy as np
 
 MEMORY = 800_000
 MARK = "\x00"  # stands between pieces that are encoded together
-# A blank next to another white-space character: the cheap cut does not hold there.
-_RUNS = re.compile(rb"\x20[\s\x1c-\x1f\x80-\xff]|[\s\x1c-\x1f\x80-\xff]\x20")
-_WIDE = re.compile(r"\x20\s|\s\x20")
+BARE = b"\xff"  # opens the key of a piece without a blank before it; the byte occurs in no UTF-8 text
+# White space other than blank and newline (the last three begin such characters): the cheap cut does not look at them.
+_OTHER = (b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
+_ADJACENT = (b"  ", b" \n", b"\n ")
 _LONE = re.compile(r"(?<=\S) (?=\S)")
 # A letter, then a stop or comma at the end: two pieces for either vocabulary.
 _STOP = re.compile(rb"[A-Za-z][.,]\Z")
@@ -39,14 +40,19 @@ class Encoder:
         self.mark = self._ids(MARK)[0]
 
     def pieces(self, text: str) -> list[bytes]:
+        """Keys of the pieces: the piece itself, or with ``leading`` what follows its blank."""
         raw = text.encode("utf-8", "replace")
         if not self.leading:
             return raw.lower().split()
-        if not _RUNS.search(raw) or not _WIDE.search(text):
-            parts = raw.split(b" ")
-        else:
+        if any(x in raw for x in _ADJACENT) or any(x in raw for x in _OTHER):
             parts = [p.encode("utf-8", "replace") for p in _LONE.split(text)]
-        return [parts[0], *[b" " + p for p in parts[1:]]]
+        else:
+            parts = raw.split(b" ")
+        parts[0] = BARE + parts[0]
+        return parts
+
+    def _text(self, key: bytes) -> str:
+        return (key if not self.leading else key[1:] if key[:1] == BARE else b" " + key).decode()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self.pieces(t or "") for t in texts]
@@ -60,7 +66,8 @@ class Encoder:
         if len(self.known) + len(fresh) > MEMORY:
             # The pieces met first are the frequent ones; the later half goes.
             self.known = dict(islice(self.known.items(), MEMORY // 2))
-        self.known.update(islice(fresh.items(), MEMORY // 2))
+        # Pieces that span a line's end hardly ever come again.
+        self.known.update(islice(((k, v) for k, v in fresh.items() if b"\n" not in k or len(k) < 3), MEMORY // 2))
         return [np.frombuffer(b"".join(row), self.kind) for row in ids]
 
     def _fresh(self, wanted: set[bytes]) -> dict[bytes, bytes]:
@@ -77,18 +84,19 @@ class Encoder:
                 found[p] = b"".join([found[q] if q in found else known[q] for q in qs])
         return found
 
-    def _parts(self, piece: bytes) -> list[bytes]:
-        if b"\n" in piece and piece.count(b"\n") == 1 and _LINE.search(piece):
-            first, _, last = piece.partition(b"\n")
-            return [*self._parts(first), b"\n", *self._parts(last)]
-        return [piece[:-1], piece[-1:]] if _STOP.search(piece) else [piece]
+    def _parts(self, key: bytes) -> list[bytes]:
+        bare = BARE if self.leading else b""
+        if b"\n" in key and key.count(b"\n") == 1 and _LINE.search(key):
+            first, _, last = key.partition(b"\n")
+            return [*self._parts(first), bare + b"\n", *self._parts(bare + last)]
+        return [key[:-1], bare + key[-1:]] if _STOP.search(key) else [key]
 
-    def _together(self, pieces: list[bytes]) -> list[bytes]:
+    def _together(self, keys: list[bytes]) -> list[bytes]:
         """One call over all pieces with a mark between each two; one by one where the mark's own id occurs in a piece."""
-        texts = [p.decode() for p in pieces]
+        texts = [self._text(k) for k in keys]
         flat = np.array(self._ids((MARK if self.leading else f" {MARK} ").join(texts)), self.kind)
         ends = np.flatnonzero(flat == self.mark)
-        if len(ends) == len(pieces) - 1 and not any(MARK in t for t in texts):
+        if len(ends) == len(keys) - 1 and not any(MARK in t for t in texts):
             raw, width = flat.tobytes(), flat.itemsize
             starts, stops = [0, *(width * (ends + 1)).tolist()], [*(width * ends).tolist(), len(raw)]
             return [raw[a:b] for a, b in zip(starts, stops, strict=True)]
