@@ -31,6 +31,7 @@ LIMIT = 3
 UNIT = 20  # rates are whole numbers of 2 ** -20
 FINE = 1 << 10  # and sums of words whole numbers of 2 ** -10
 STEPS = 60
+FEW_SOURCES = 100_000  # up to so many rows of a few numbers, tables of one row per source are broadcast; beyond, joined by shuffle
 
 
 def sizes_of(docs: DataFrame) -> DataFrame:
@@ -62,8 +63,12 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int =
     return placed.withColumn("target", F.least(F.lit(level) * F.col("weight"), full.cast("double")))
 
 
-def duals(counts: DataFrame, sources: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """place, dual for every source, from counts (place, size, n) of documents."""
+def _few(per_source: DataFrame, n_sources: int) -> DataFrame:
+    return F.broadcast(per_source) if n_sources <= FEW_SOURCES else per_source
+
+
+def duals(counts: DataFrame, sources: DataFrame, n_sources: int, limit: int = LIMIT) -> DataFrame:
+    """place, dual for every source, from counts (place, size, k) of documents."""
     scale = F.col("source_size") / F.greatest(F.col("n"), F.lit(1))
     least = F.col("least") / scale
     low = F.when((F.col("target") > 0) & (F.col("target") < F.col("source_size")), F.log(F.col("target") / F.col("source_size")) / least).otherwise(0.0)
@@ -77,7 +82,7 @@ def duals(counts: DataFrame, sources: DataFrame, limit: int = LIMIT) -> DataFram
         words = F.col("k") * F.col("size") * rate
         slope = F.when(rate < limit, words * x).otherwise(0.0)
         whole = lambda c: F.sum(F.round(c * FINE).cast("decimal(38,0)")).cast("double") / FINE
-        reached = counts.join(state.where(~F.col("done")), "place").groupBy("place").agg(whole(words).alias("words"), whole(slope).alias("slope"))
+        reached = counts.join(_few(state.where(~F.col("done")), n_sources), "place").groupBy("place").agg(whole(words).alias("words"), whole(slope).alias("slope"))
         gap = F.col("words") - F.col("target")
         low, high = F.when(gap < 0, F.col("dual")).otherwise(F.col("low")), F.when(gap >= 0, F.col("dual")).otherwise(F.col("high"))
         newton = F.col("dual") - gap / F.col("slope")
@@ -97,12 +102,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = LIMI
     """Per row of ``docs``: doc_id, source, text_hash, size, source_size, target, rate, copies, taken (words)."""
     sized = sizes_of(docs)
     sources = landed(targets(sized, weights, limit), "targets")
-    known = sized.join(sources.select(F.col("source").alias("_source"), "place"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    n_sources = sources.count()
+    known = sized.join(_few(sources.select(F.col("source").alias("_source"), "place"), n_sources), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     counts = landed(known.groupBy("place", "size").agg(F.count("*").alias("k")), "size-counts")
-    solved = duals(counts, sources, limit)
+    solved = duals(counts, sources, n_sources, limit)
     bound = sources.select("place", "source_size", "target").join(solved, "place", "left")
     rate = F.when(F.col("size") == 0, 1.0).otherwise(F.least(F.exp(F.least(F.col("dual") * F.col("size") / F.col("scale"), F.lit(700.0))), F.lit(float(limit))))
-    rated = known.join(bound, "place").select(
+    rated = known.join(_few(bound, n_sources), "place").select(
         "doc_id", "source", "text_hash", "place", "size", "source_size", "target", F.round(rate * (1 << UNIT)).cast("bigint").alias("share"), F.xxhash64("doc_id", "text_hash").alias("spread")
     )
     order = ["size", "spread", "doc_id"]
@@ -120,18 +126,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = LIMI
         (F.shiftright(end, UNIT) - F.shiftright(end - F.col("share"), UNIT)).alias("copies"),
     )
     for _ in range(2):
-        rounded = _nearer(landed(rounded, "copies"), limit)
+        rounded = _nearer(landed(rounded, "copies"), n_sources, limit)
     return rounded.select("doc_id", "source", "text_hash", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def _nearer(rounded: DataFrame, limit: int) -> DataFrame:
+def _nearer(rounded: DataFrame, n_sources: int, limit: int) -> DataFrame:
     """One copy more or less of the one document per source that brings the source nearest to its target."""
     gaps = rounded.groupBy("place").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
     able = F.when(F.col("gap") > 0, F.col("copies") < limit).otherwise(F.col("copies") > 0) & (F.col("size") > 0)
     left = F.abs(F.abs(F.col("gap")) - F.col("size"))
     picks = (
-        rounded.join(gaps, "place").where(able & (left < F.abs(F.col("gap")))).groupBy("place")
+        rounded.join(_few(gaps, n_sources), "place").where(able & (left < F.abs(F.col("gap")))).groupBy("place")
         .agg(F.min(F.struct(left.alias("left"), F.col("seq"), F.signum("gap").cast("bigint").alias("sign"))).alias("p"))
         .select("place", "p.seq", "p.sign")
     )
-    return rounded.join(picks, ["place", "seq"], "left").withColumn("copies", F.col("copies") + F.coalesce("sign", F.lit(0))).drop("sign")
+    return rounded.join(_few(picks, n_sources), ["place", "seq"], "left").withColumn("copies", F.col("copies") + F.coalesce("sign", F.lit(0))).drop("sign")
