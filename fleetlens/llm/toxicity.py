@@ -155,7 +155,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     if len(sizes) < 2:
         return Lexicon({}, exceptions, (40.0 if 1 in sizes else -40.0, 0.0, 0.0))
     # Near copies would make any of their words look telling: one text per signature and class counts.
-    single = found.dropDuplicates(["toxic", "sign"])
+    single = found.groupBy("toxic", "sign").agg(F.min("text").alias("text"))
     kinds = {r.toxic: r.n for r in single.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic = _counted(single.where("toxic = 1"), None).where(F.col("n") >= min(LEAST_SUPPORT, max(1, kinds[1] // 4)))
     often = {r.term: r.n for r in toxic.orderBy(F.col("n").desc(), "term").limit(CANDIDATES).collect()}
