@@ -345,10 +345,11 @@ def test_bm25_matches_formula():
 
 
 def test_like_pieces_meet():
-    a, b = np.arange(0, 1000, dtype=np.uint32), np.arange(5000, 6000, dtype=np.uint32)
-    pieces = [packing.Piece(i, 0, 1000, (a if i % 2 else b)) for i in range(8)]
+    """Four kinds of three pieces each (a term in half of a shard's pieces would weigh nothing in BM25)."""
+    pieces = [packing.Piece(i, 0, 1000, np.arange(5000 * (i % 4), 5000 * (i % 4) + 1000, dtype=np.uint32)) for i in range(12)]
     full, left = packing.pack_shard(pieces, 2048)
-    assert {p.doc_id % 2 for p in full[0][:2]} == {0} and sum(len(p.ids) for s in full for p in s) + sum(len(p.ids) for p in left) == 8000
+    assert {p.doc_id % 4 for p in full[0][:2]} == {0} and len({p.doc_id for p in full[0][:2]}) == 2
+    assert sum(len(p.ids) for s in full for p in s) + sum(len(p.ids) for p in left) == 12_000
 
 
 # ---------------------------------------------------------------- secrets
