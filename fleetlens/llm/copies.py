@@ -1,0 +1,135 @@
+"""Near copies by the true similarity of word shingles.
+
+Two texts are linked if the Jaccard similarity of their sets of ``width``-word
+shingles is at least ``similarity``. Candidates share the minimum hashes of one
+band; every link is verified on the whole sets. The number of bands follows from
+the similarity, so that a pair just at it is missed with a probability below
+``MISSED``. Equal shingle sets are one node.
+
+Every band first compares its members with the smallest of them; after that, members of
+a band that are still in different components are compared with each other, so a
+group of copies costs a comparison per member and band and no link is skipped.
+
+Defined cases: null texts are empty; a text of fewer words than a shingle has the one shingle
+of the whole; texts without a word are one node; rows without doc_id take part;
+an empty table gives an empty result. Only doc_id and text are read.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fleetlens.llm.common import in_batches, landed, text_or_empty, text_rows, words_of
+from fleetlens.llm.golay import components
+
+WIDTH, SIMILARITY = 5, 0.8
+ROWS = 5  # minimum hashes of a band
+MISSED = 1e-5
+MIX = np.uint64(0xBF58476D1CE4E5B9)
+CHUNK = 4096  # shingles whose minimum hashes are taken at once
+
+
+def bands_of(similarity: float) -> int:
+    """The least number of bands that miss a pair at ``similarity`` with a probability below MISSED."""
+    return math.ceil(math.log(MISSED) / math.log1p(-(similarity**ROWS))) if similarity < 1 else 1
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles, ascending."""
+    from xxhash import xxh64_intdigest
+
+    words = np.array([xxh64_intdigest(w, 42) for w in words_of(text)], np.uint64)
+    if not len(words):
+        return words
+    n = max(1, len(words) - width + 1)
+    out = np.full(n, min(width, len(words)), np.uint64)
+    for i in range(min(width, len(words))):
+        out = (out ^ words[i : i + n]) * MIX
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def band_keys(hashes: np.ndarray, bands: int) -> np.ndarray:
+    """One key per band; a text without shingles has none."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    factors = np.random.default_rng(17).integers(0, 1 << 63, bands * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(bands * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), CHUNK):
+        np.minimum(least, (hashes[None, at : at + CHUNK] * factors[:, None]).min(1), out=least)
+    keys = np.arange(bands, dtype=np.uint64)
+    for column in least.reshape(bands, ROWS).T:
+        keys = (keys ^ column) * MIX
+        keys ^= keys >> np.uint64(31)
+    return keys.view(np.int64)
+
+
+def signed(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, text_hash, node (hash of the shingle set), size (of the set), keys for every row."""
+    bands = bands_of(similarity)
+    out = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        def rows() -> Iterator[tuple]:
+            for doc_id, text_hash, text in text_rows(batches, "doc_id", "text_hash", "text"):
+                hashes = shingles(text, width)
+                yield doc_id, text_hash, (xxh64_intdigest(hashes.tobytes()) ^ 1 << 63) - (1 << 63), len(hashes), band_keys(hashes, bands)
+
+        yield from in_batches(rows(), out, 2000)
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, size long, keys array<long>")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """node, hashes: the shingle sets of the nodes in ``wanted`` (doc_id, text_hash, node)."""
+    out = pa.schema([("node", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((node, shingles(text, width).view(np.int64)) for node, text in text_rows(batches, "node", "text"))
+        yield from in_batches(rows, out, 2000, lambda r: 8 * len(r[1]))
+
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64(text_or_empty()).alias("_hash"), "text")
+    found = texts.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))).select("node", "text")
+    return found.mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"])
+
+
+def near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """Per row of ``docs``: doc_id, text_hash, component (a long that linked rows share)."""
+    rows = landed(signed(docs, width, similarity), "signed")
+    nodes = rows.where("size > 0").groupBy("node").agg(F.min("size").alias("size"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("keys").alias("keys"))
+    keyed = nodes.select("node", "size", "row", F.explode("keys").alias("key"))
+    least = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("head"), F.min_by("size", "node").alias("head_size")).where("members > 1")
+    crowded = landed(keyed.join(least.drop("members"), "key"), "bands")
+    wanted = crowded.groupBy("node").agg(F.min("row").alias("row")).select("row.doc_id", "row.text_hash", "node")
+    sets = landed(_sets(docs, wanted, width), "shingles")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are similar; sizes that differ too much never are."""
+        fit = pairs.where(F.least("a_size", "b_size") / F.greatest("a_size", "b_size") >= similarity).select("a", "b").distinct()
+        both = fit.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+        common = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("common"))
+        return common.where(F.col("common") / (F.col("n") - F.col("common")) >= similarity).select("a", "b")
+
+    heads = crowded.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"), F.col("head_size").alias("a_size"), F.col("size").alias("b_size"))
+    edges = landed(verified(heads), "links")
+    roots = components(edges)
+    members = crowded.where("node <> head").select("key", "node", "size").join(roots.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"), "left")
+    members = members.select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    apart = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    left = landed(members.join(apart, "key"), "apart")
+    other = left.select("key", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"))
+    more = left.join(other, "key").where("node < b and root <> b_root").select(F.col("node").alias("a"), "b", F.col("size").alias("a_size"), "b_size")
+    again = landed(verified(more), "links")
+    if not again.isEmpty():
+        roots = components(edges.union(again))
+    named = rows.join(roots.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"), "left")
+    return named.select("doc_id", "text_hash", F.coalesce("root", "node").alias("component"))

@@ -16,7 +16,7 @@ from conftest import SF
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from fleetlens.llm import golay, lines, mixing, neural, packing, queries, secrets, toxicity, voronoi, wavelet, winnow
+from fleetlens.llm import copies, golay, lines, mixing, neural, packing, queries, secrets, toxicity, voronoi, wavelet, winnow
 from fleetlens.llm.encoding import Encoder
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, batch int, hash string, part int, size int, key string"
@@ -473,6 +473,58 @@ def test_op10(spark, documents, odd, empty):
     assert winnow.compare_edited(empty).count() == 0
 
 
+# ---------------------------------------------------------------- near copies
+def shingle_set(text, k=5):
+    w = words(text)
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def similar(a, b):
+    return a == b or len(a & b) >= 0.8 * len(a | b)
+
+
+def brute_copies(pairs):
+    """The smallest doc_id that a chain of similar texts reaches."""
+    sets, least = [shingle_set(t) for _, t in pairs], [i for i, _ in pairs]
+    linked, changed = [(a, b) for a in range(len(pairs)) for b in range(a) if similar(sets[a], sets[b])], True
+    while changed:
+        before = [*least]
+        for a, b in linked:
+            least[a] = least[b] = min(least[a], least[b])
+        changed = before != least
+    return least
+
+
+def grouped(rows, pairs):
+    least = {}
+    for r in rows:
+        least[r.component] = min(r.doc_id, least.get(r.component, r.doc_id))
+    found = {r.doc_id: least[r.component] for r in rows}
+    return [found[i] for i, _ in pairs]
+
+
+def test_near_copies_by_similarity(spark, documents, odd, empty):
+    """Beyond four bits of a SimHash, chains, and members of a band that its first member is not like."""
+    assert grouped(copies.near_copies(spark.read.parquet(f"{SF}/documents.parquet")).collect(), documents) == brute_copies(documents)
+    rng = random.Random(6)
+    pairs = []
+    for _ in range(15):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        for n in (0, 2, 4, 6, 9):
+            changed = [*base]
+            for at in rng.sample(range(200), n):
+                changed[at] = f"x{rng.randrange(5000)}"
+            pairs.append((len(pairs), " ".join(changed)))
+    assert any(brute_print(a).__xor__(brute_print(b)).bit_count() > 4 and similar(shingle_set(a), shingle_set(b)) for (_, a), (_, b) in zip(pairs, pairs[1:]))
+    assert grouped(copies.near_copies(frame(spark, pairs)).collect(), pairs) == brute_copies(pairs)
+    assert copies.near_copies(odd).count() == len(ODD) and copies.near_copies(empty).count() == 0
+
+
+def test_pipeline_drops_similar_texts(spark, documents):
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(brute_copies(documents)))
+
+
 # ---------------------------------------------------------------- pipeline
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
