@@ -9,7 +9,8 @@ curve fitted on the same sample.
 
 Bounds: at most ``SAMPLE`` labelled rows per class are learned from (the first in hash order of
 doc_id), and at most ``TERMS`` terms are kept, so the model and its training rows
-are bounded; every document is scored whole.
+are bounded; every document is scored whole. Of near copies in a class (``copies``:
+five-word shingles, similarity 0.8, verified) one text counts, and every other text of the sample counts once.
 
 Defined cases: null and empty texts have no match and get the curve's value
 there; labels that are null are left out and a doc_id labelled twice takes the larger; without
@@ -30,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import in_batches, landed, text_rows
+from fleetlens.llm.common import in_batches, landed, text_or_empty, text_rows
+from fleetlens.llm.copies import near_copies
 
 SAMPLE, TERMS, CANDIDATES = 10_000, 20_000, 200_000
 LEAST_SUPPORT, LEAST_WEIGHT = 5, 2.5
@@ -109,25 +111,26 @@ def bucket(doc_id: Column, n: int) -> Column:
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """Texts of at most ``sample`` labelled rows per class, with a signature that near copies share."""
+    """toxic, doc_id, text, text_hash of at most ``sample`` labelled rows per class."""
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(
         (F.max("toxic") > 0).cast("int").alias("toxic")
     )
     picked = [marked.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     chosen = F.broadcast(picked[0].union(picked[1]))  # at most 2 * sample rows of two numbers
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("toxic", pa.int32()), ("sign", pa.int64()), ("text", pa.string())])
-        def rows() -> Iterator[tuple]:
-            from xxhash import xxh64_intdigest
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(chosen, "doc_id")
+    return landed(texts.select("toxic", "doc_id", "text", F.xxhash64(text_or_empty()).alias("text_hash")), "toxicity-sample")
 
-            for toxic, text in text_rows(batches, "toxic", "text"):
-                yield toxic, min((xxh64_intdigest(w) >> 1 for w in {*_WORD.findall(fold(text or ""))} if len(w) > 5), default=0), text
 
-        yield from in_batches(rows(), out, 1000, lambda r: len(r[2] or ""))
+def _distinct(found: DataFrame) -> DataFrame:
+    """toxic, text: of the near copies in each class one text, every other text as it is."""
+    def of(toxic: int) -> DataFrame:
+        own = found.where(F.col("toxic") == toxic)
+        near = near_copies(own).distinct()
+        one = own.join(near, ["doc_id", "text_hash"]).groupBy("component").agg(F.min("text").alias("text"))
+        return one.select(F.lit(toxic).alias("toxic"), "text")
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(chosen, "doc_id").select("toxic", "text")
-    return landed(texts.mapInArrow(sign, "toxic int, sign long, text string"), "toxicity-sample")
+    return landed(of(1).unionByName(of(0)), "toxicity-distinct")
 
 
 def _counted(texts: DataFrame, known: set[str] | None) -> DataFrame:
@@ -154,8 +157,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     sizes = {r.toxic: r.n for r in found.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Lexicon({}, exceptions, (40.0 if 1 in sizes else -40.0, 0.0, 0.0))
-    # Near copies would make any of their words look telling: one text per signature and class counts.
-    single = found.groupBy("toxic", "sign").agg(F.min("text").alias("text"))
+    # Near copies would make any of their words look telling: one text per group of copies and class counts.
+    single = _distinct(found)
     kinds = {r.toxic: r.n for r in single.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic = _counted(single.where("toxic = 1"), None).where(F.col("n") >= min(LEAST_SUPPORT, max(1, kinds[1] // 4)))
     often = {r.term: r.n for r in toxic.orderBy(F.col("n").desc(), "term").limit(CANDIDATES).collect()}

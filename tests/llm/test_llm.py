@@ -259,6 +259,18 @@ def test_op5(spark, odd, empty):
     assert toxicity.scored(empty, labels).count() == 0 and toxicity.scored(odd, labels.limit(0)).count() == len(ODD)
 
 
+def test_only_near_copies_are_dropped_from_the_sample(spark):
+    """Texts with one common long word, or without any, are no copies."""
+    rng = random.Random(8)
+    texts = ["commonword " + " ".join(f"longword{rng.randrange(10**6)}" for _ in range(12)) for _ in range(20)]
+    texts += [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 5) for _ in range(12)) for _ in range(20)]
+    texts += [texts[0], texts[1] + " more"]
+    found = spark.createDataFrame([(n % 2, n, t, n) for n, t in enumerate(texts)], "toxic int, doc_id bigint, text string, text_hash bigint")
+    found = found.withColumn("text_hash", toxicity.F.xxhash64("text"))
+    kept = collections.Counter(r.toxic for r in toxicity._distinct(found).collect())
+    assert kept == {0: 20, 1: 20}
+
+
 # ---------------------------------------------------------------- language model
 def check_scores(rows, pairs):
     trains = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 != 0
