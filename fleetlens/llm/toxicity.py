@@ -8,7 +8,7 @@ exception phrase covers it. The sum of weights and its rate per word go into a l
 curve fitted on the same sample.
 
 Bounds: at most ``SAMPLE`` labelled rows per class are learned from (the first in hash order of
-doc_id), and at most ``TERMS`` terms are kept, so the model and its training rows
+doc_id), and the ``TERMS`` terms of the largest weight are kept, so the model and its training rows
 are bounded; every document is scored whole. Of near copies in a class (``copies``:
 five-word shingles, similarity 0.8, verified) one text counts, and every other text of the sample counts once.
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import in_batches, landed, text_or_empty, text_rows
 from fleetlens.llm.copies import near_copies
 
-SAMPLE, TERMS, CANDIDATES = 10_000, 20_000, 200_000
+SAMPLE, TERMS = 10_000, 20_000
 LEAST_SUPPORT, LEAST_WEIGHT = 5, 2.5
 SHORTEST, LONGEST = 4, 8  # of word beginnings
 THRESHOLD = 0.7
@@ -133,16 +133,14 @@ def _distinct(found: DataFrame) -> DataFrame:
     return landed(of(1).unionByName(of(0)), "toxicity-distinct")
 
 
-def _counted(texts: DataFrame, known: set[str] | None) -> DataFrame:
-    """Term -> number of texts; of ``known`` terms only, if given."""
-    shared = texts.sparkSession.sparkContext.broadcast(known)
+def _counted(texts: DataFrame) -> DataFrame:
+    """Term -> number of texts."""
     out = pa.schema([("term", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for (text,) in text_rows(batches, "text"):
-            terms = {t for w in {*_WORD.findall(fold(text or ""))} if len(w) > 2 for t in terms_of(w)}
-            counts.update(terms & shared.value if shared.value is not None else terms)
+            counts.update({t for w in {*_WORD.findall(fold(text or ""))} if len(w) > 2 for t in terms_of(w)})
             if len(counts) > 500_000:
                 yield from in_batches(iter(counts.items()), out, 50_000)
                 counts.clear()
@@ -160,12 +158,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     # Near copies would make any of their words look telling: one text per group of copies and class counts.
     single = _distinct(found)
     kinds = {r.toxic: r.n for r in single.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    toxic = _counted(single.where("toxic = 1"), None).where(F.col("n") >= min(LEAST_SUPPORT, max(1, kinds[1] // 4)))
-    often = {r.term: r.n for r in toxic.orderBy(F.col("n").desc(), "term").limit(CANDIDATES).collect()}
-    clean = {r.term: r.n for r in _counted(single.where("toxic = 0"), set(often)).collect()}
-    weights = {t: math.log((n + 0.5) / (kinds[1] + 1)) - math.log((clean.get(t, 0) + 0.5) / (kinds[0] + 1)) for t, n in often.items()}
-    kept = sorted((t for t, w in weights.items() if w >= LEAST_WEIGHT), key=lambda t: (-weights[t], t))[:terms]
-    lexicon = Lexicon({t: round(weights[t], 6) for t in kept}, exceptions)
+    toxic = _counted(single.where("toxic = 1")).where(F.col("n") >= min(LEAST_SUPPORT, max(1, kinds[1] // 4)))
+    clean = _counted(single.where("toxic = 0")).select("term", F.col("n").alias("m"))
+    log_odds = F.log((F.col("n") + 0.5) / (kinds[1] + 1)) - F.log((F.coalesce("m", F.lit(0)) + 0.5) / (kinds[0] + 1))
+    weighed = toxic.join(clean, "term", "left").select("term", log_odds.alias("weight")).where(F.col("weight") >= LEAST_WEIGHT)
+    kept = weighed.orderBy(F.col("weight").desc(), "term").limit(terms).collect()
+    lexicon = Lexicon({r.term: round(r.weight, 6) for r in kept}, exceptions)
     rows = totals(found.select(F.col("toxic").cast("bigint").alias("doc_id"), "text"), lexicon).collect()  # the sample: bounded
     lexicon.curve = _curve(np.array([[r.total, r.words, r.doc_id] for r in rows], float))
     return lexicon

@@ -271,6 +271,16 @@ def test_only_near_copies_are_dropped_from_the_sample(spark):
     assert kept == {0: 20, 1: 20}
 
 
+def test_rare_telling_terms_stand_behind_no_frequent_ones(spark, monkeypatch):
+    """Terms are cut by weight and never by their count."""
+    monkeypatch.setattr(toxicity, "CANDIDATES", 5, raising=False)
+    rng = random.Random(9)
+    filler = lambda: " ".join(rng.sample(["house", "table", "garden", "window", "river", "mountain"], 5)) + "".join(f" n{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}o" for _ in range(9))
+    rows = [(i, filler() + (" vileterm" if i < 40 and i % 4 == 0 else "")) for i in range(140)]
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(140)], "doc_id bigint, toxic int")
+    assert "vileterm " in toxicity.learn(frame(spark, rows), labels).terms
+
+
 # ---------------------------------------------------------------- language model
 def check_scores(rows, pairs):
     trains = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 != 0
