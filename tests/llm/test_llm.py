@@ -566,6 +566,12 @@ def test_pipeline_stages(spark):
     check_packed(corpus_pipeline.pack_sequences(spark, tables[4], SF).collect(), mixed)
 
 
+def test_near_dedup_keeps_different_texts_of_one_id(spark):
+    rows = [(1, "a text of its own"), (1, "quite another text here"), (1, "a text of its own"), (None, "no id on this one"), (None, "no id on this one"), (None, "nor here"), (2, "nor here")]
+    kept = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), SF).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted({(1, "a text of its own"), (1, "quite another text here"), (None, "no id on this one"), (2, "nor here")}, key=str)
+
+
 def test_pipeline_odd_rows(spark, odd, empty):
     for docs in (odd, empty):
         for _, stage in corpus_pipeline.STAGES:
