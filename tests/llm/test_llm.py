@@ -314,6 +314,20 @@ def test_model_is_normalised():
     assert p.sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_a_batch_meets_64_noise_words():
+    drawn = []
+
+    class Recorded(np.random.Generator):
+        def choice(self, *args, **kwargs):
+            drawn.append(super().choice(*args, **kwargs))
+            return drawn[-1]
+
+    noise = np.full(8, 1 / 8)
+    model = neural.Model.start(noise)
+    neural.train_on(model, np.arange(1000) % 8, np.array([0]), noise, np.full_like(model.flat, neural.SQUARES), Recorded(np.random.PCG64(1)))
+    assert [len(d) for d in drawn] == [64]
+
+
 def test_training_learns_a_pattern():
     units = np.array([0, 1, 2, 1, 3] * 4000)
     noise = neural.noise_of(np.bincount(units).astype(float))
