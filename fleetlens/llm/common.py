@@ -10,6 +10,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,3 +75,14 @@ def in_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000, weigh
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def summed_vectors(parts: DataFrame, fan: int = 256) -> DataFrame:
+    """key, vector: sums of ``parts`` (key, part, vector as int64 bytes) in two levels, ``fan`` tasks' vectors at a time."""
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(v, np.int64) for v in rows["vector"])
+        return pd.DataFrame({"key": [rows["key"].iloc[0]], "part": [int(rows["part"].iloc[0]) // fan], "vector": [total.tobytes()]})
+
+    schema = "key string, part long, vector binary"
+    once = parts.groupBy("key", F.expr(f"part div {fan}").alias("_level")).applyInPandas(add, schema)
+    return once.groupBy("key").applyInPandas(add, schema).select("key", "vector")

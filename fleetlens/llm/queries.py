@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import golay, lines, mixing, neural, packing, secrets, toxicity, voronoi, wavelet, winnow
+from fleetlens.llm import golay, hyperdim, lines, mixing, negatives, neural, packing, secrets, toxicity, trie, voronoi, wavelet, winnow
 from fleetlens.llm.common import table
 
 
@@ -60,6 +60,18 @@ def op10_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return winnow.compare_edited(table(spark, folder, "documents"))
 
 
+def op11_hilbert_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.mine(table(spark, folder, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+def op13_hyperdimensional_language(spark: SparkSession, folder: str) -> DataFrame:
+    return hyperdim.identified(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_shards": op1_wavelet_shards,
     "op2_entropy_mixing": op2_entropy_mixing,
@@ -71,9 +83,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_credential_links": op8_credential_links,
     "op9_voronoi_top_k": op9_voronoi_top_k,
     "op10_winnowing": op10_winnowing,
+    "op11_hilbert_negatives": op11_hilbert_negatives,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_hyperdimensional_language": op13_hyperdimensional_language,
 }
 
 ORACLES: dict[str, str] = {
     "op3_line_runs": lines.ORACLE,
     "op9_voronoi_top_k": voronoi.ORACLE,
+    "op11_hilbert_negatives": negatives.ORACLE,
+    "op12_prefix_trie": trie.ORACLE,
 }
