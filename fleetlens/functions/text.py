@@ -20,11 +20,8 @@ LINE_SPACE = r"[\s\x1c-\x1f&&[^\n]]"
 # Separators of Python's str.splitlines().
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
-# Private-use marker put in front of each match while its line is counted. A
-# marker already in the text is swapped for its neighbour first, which no
-# pattern can tell apart.
-MARK = "\ue000"
-MARK_NEIGHBOUR = "\ue001"
+# Items folded at once by ``scanned``: appending to a short array is cheap.
+SCAN_BLOCK = 128
 
 
 def rx(pattern: str, flags: str = "") -> str:
@@ -67,32 +64,56 @@ def find_line(text: Column, needle: Column) -> Column:
     return F.when(position > 0, newline_count(F.substr(text, F.lit(1), position - 1)) + 1)
 
 
-def match_lines(text: Column, pattern: str) -> Column:
-    """Line of each match start, in match order; linear in the text."""
-    marked = F.regexp_replace(F.translate(text, MARK, MARK_NEIGHBOUR), pattern, MARK + "$0")
-    numbered = F.transform(
-        F.split(marked, "\n", -1),
-        lambda line, i: F.struct(
-            (i + 1).alias("line"),
-            (F.length(line) - F.length(F.replace(line, F.lit(MARK), F.lit("")))).alias("hits"),
-        ),
+def column_name(value: str | Column) -> str:
+    """The name of a column given by its name or as ``F.col`` of it."""
+    return value if isinstance(value, str) else repr(value)[len("Column<'"):-len("'>")]
+
+
+def literal(value: str) -> str:
+    """A string as a SQL literal."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+    return f"'{escaped}'"
+
+
+def scanned(items: str, zero: str, step: str, kind: str) -> str:
+    """SQL for the states (of type ``kind``) after each item of a left fold, in order; ``step`` names the state before ``s.last`` and the item ``x``.
+
+    Appending to an array copies it, so items are folded in blocks and the blocks joined: n items cost about n * SCAN_BLOCK / 2 + (n / SCAN_BLOCK)^2 / 2 copies.
+    One string is parsed at once; built from columns, an expression of this size costs the driver a quarter of a second.
+    """
+    one = f"transform(array(CAST({step} AS {kind})), z -> named_struct('last', z, 'out', concat(s.out, array(z))))[0]"
+    block = (
+        f"aggregate(part, named_struct('last', acc.last, 'out', CAST(array() AS array<{kind}>)), (s, x) -> {one}, "
+        "s -> named_struct('last', s.last, 'out', concat(acc.out, array(s.out))))"
     )
-    hit = F.filter(numbered, lambda s: s["hits"] > 0)
-    return F.flatten(F.transform(hit, lambda s: F.array_repeat(s["line"], s["hits"])))
+    cut = f"transform(sequence(1, greatest(size(every), 1), {SCAN_BLOCK}), at -> slice(every, at, {SCAN_BLOCK}))"
+    first = f"named_struct('last', CAST({zero} AS {kind}), 'out', CAST(array() AS array<array<{kind}>>))"
+    return f"transform(array({items}), every -> aggregate({cut}, {first}, (acc, part) -> {block}, acc -> flatten(acc.out)))[0]"
+
+
+def newlines(value: str) -> str:
+    return f"(length({value}) - length(replace({value}, '\\n', '')))"
 
 
-def matches(text: Column, pattern: str, groups: dict[str, int]) -> Column:
-    """All matches as array<struct<line, *groups>>.
+def matches(text: str | Column, pattern: str, groups: dict[str, int]) -> Column:
+    """All matches in the column ``text`` (its name, or ``F.col`` of it) as array<struct<line, *groups>>, null where there are none.
 
-    Both scans walk the text leftmost and without overlap, so the arrays align.
-    Unmatched optional groups are the empty string.
+    Two passes whatever the number of groups: the gaps between matches and the whole matches, which give the
+    places, and each group is taken from its short match. Both passes walk the text leftmost and without overlap, so they align;
+    no pattern may look beyond its match for more than a word boundary. Unmatched optional groups are the empty string.
     """
-    columns = [match_lines(text, pattern).alias("line")]
-    columns += [
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(number)).alias(name)
-        for name, number in groups.items()
-    ]
-    return F.when(text.rlike(pattern), F.arrays_zip(*columns))
+    return F.expr(match_sql(column_name(text), pattern, groups))
+
+
+def match_sql(text: str, pattern: str, groups: dict[str, int]) -> str:
+    """SQL of :func:`matches`; ``text`` may be any SQL that is cheap to name twice."""
+    p = literal(pattern)
+    found = f"arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0))"
+    lines = f"transform(m, v -> named_struct('before', {newlines('v.`0`')}, 'inside', coalesce({newlines('v.`1`')}, 0)))"
+    placed = scanned(lines, "named_struct('line', 1, 'next', 1)", "named_struct('line', s.last.next + x.before, 'next', s.last.next + x.before + x.inside)", "struct<line:int,next:int>")
+    fields = ", ".join(f"'{name}', " + ("w.`1`" if number == 0 else f"regexp_extract(w.`1`, {p}, {number})") for name, number in groups.items())
+    shaped = f"zip_with(slice(m, 1, size(m) - 1), slice({placed}, 1, size(m) - 1), (w, at) -> named_struct('line', at.line{', ' + fields if fields else ''}))"
+    return f"CASE WHEN {text} rlike {p} THEN transform(array({found}), m -> {shaped})[0] END"
 
 
 def first_match(text: Column, pattern: str, group: int = 0) -> Column:
@@ -131,7 +152,7 @@ def may_match(folded: Column, patterns: tuple[str, ...]) -> Column:
 def match_all(df: DataFrame, text: str, pattern: str, groups: dict[str, int]) -> DataFrame:
     """Explode :func:`matches` into rows: ``n`` (0-based), ``line`` and the groups."""
     kept = [c for c in df.columns if c != text]
-    exploded = df.select(*kept, F.posexplode(matches(F.col(text), pattern, groups)).alias("n", "m"))
+    exploded = df.select(*kept, F.posexplode(matches(text, pattern, groups)).alias("n", "m"))
     return exploded.select(*kept, "n", "m.*")
 
 

@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from fleetlens import dims
 from fleetlens.functions.text import (
-    blank_to_null, matches, newline_count, normalize_newlines, normalize_text, rstrip, rx, strip, text_sha12,
+    blank_to_null, literal, newline_count, newlines, normalize_newlines, normalize_text, rstrip, rx, scanned, strip, text_sha12,
 )
 
 BEGIN = rx(dims.BLOCK_BEGIN, "i")
-# A BEGIN pairs with the first END after it; the END id is not compared.
-BEGIN_WITH_BODY = rx(rf"({dims.BLOCK_BEGIN})(?=([\s\S]*?){dims.BLOCK_END})", "i")
-WHOLE_BLOCK = rx(rf"{dims.BLOCK_BEGIN}([\s\S]*?){dims.BLOCK_END}", "i")
+MARKER = rx(rf"{dims.BLOCK_BEGIN}|{dims.BLOCK_END}", "i")
+END = rx(rf"\A{dims.BLOCK_END}", "i")
 LOCK = rx(dims.LOCK_MARK, "i")
 FINGERPRINT = rx(dims.FINGERPRINT_MARK, "i")
 
@@ -45,9 +44,49 @@ def merge_action(text: Column, repo: Column) -> Column:
     )
 
 
-def block_items(text: Column) -> Column:
-    """array<struct<line, marker, id, sha, content>> in document order."""
-    return matches(text, BEGIN_WITH_BODY, {"marker": 1, "id": 2, "sha": 3, "content": 4})
+def marked(text: str) -> str:
+    """SQL for array<struct<gap, mark, ends, id, sha>> of column ``text``: the text before each marker and the marker, the last without one.
+
+    Two passes over the text; whatever follows works on the markers in their order.
+    """
+    m, begin = literal(MARKER), literal(BEGIN)
+    zipped = f"arrays_zip(split({text}, {m}, -1), regexp_extract_all({text}, {m}, 0))"
+    return (
+        f"transform({zipped}, v -> named_struct('gap', v.`0`, 'mark', v.`1`, 'ends', coalesce(v.`1` rlike {literal(END)}, false), "
+        f"'id', regexp_extract(v.`1`, {begin}, 1), 'sha', regexp_extract(v.`1`, {begin}, 2)))"
+    )
+
+
+def inside(first: str, last: str) -> str:
+    """SQL for the text after marker ``first`` up to marker ``last`` (places in ``m``)."""
+    return f"array_join(transform(slice(m, {first} + 2, {last} - {first}), (v, i) -> IF(i < {last} - {first} - 1, concat(v.gap, v.mark), v.gap)), '')"
+
+
+def block_items(text: str) -> Column:
+    """array<struct<line, marker, id, sha, content>> of column ``text`` in document order.
+
+    A BEGIN pairs with the first END after it, whose id is not compared: a fold over the markers from the last one
+    carries the nearest END.
+    """
+    places = "reverse(transform(m, (v, i) -> named_struct('i', i, 'ends', v.ends)))"
+    nearest = f"reverse({scanned(places, '-1', 'IF(x.ends, x.i, s.last)', 'int')})"
+    lines = scanned(
+        f"transform(m, v -> named_struct('before', {newlines('v.gap')}, 'inside', coalesce({newlines('v.mark')}, 0)))",
+        "named_struct('line', 1, 'next', 1)", "named_struct('line', s.last.next + x.before, 'next', s.last.next + x.before + x.inside)", "struct<line:int,next:int>")
+    begins = f"filter(transform(arrays_zip({nearest}, {lines}), (z, i) -> named_struct('i', i, 'last', z.`0`, 'line', z.`1`.line)), z -> z.last > z.i AND NOT m[z.i].ends)"
+    shaped = f"transform({begins}, z -> named_struct('line', z.line, 'marker', m[z.i].mark, 'id', m[z.i].id, 'sha', m[z.i].sha, 'content', {inside('z.i', 'z.last')}))"
+    return F.expr(f"CASE WHEN {text} rlike {literal(BEGIN)} THEN transform(array({marked(text)}), m -> {shaped})[0] END")
+
+
+def outer_blocks() -> str:
+    """SQL for array<struct<first, last>> over markers ``m``: a small state machine that is inside a block or outside."""
+    states = scanned(
+        "transform(m, (v, i) -> named_struct('i', i, 'ends', v.ends, 'begins', v.mark IS NOT NULL AND NOT v.ends))",
+        "named_struct('open', -1, 'first', -1, 'last', -1)",
+        "CASE WHEN s.last.open < 0 AND x.begins THEN named_struct('open', x.i, 'first', -1, 'last', -1) "
+        "WHEN s.last.open >= 0 AND x.ends THEN named_struct('open', -1, 'first', s.last.open, 'last', x.i) "
+        "ELSE named_struct('open', s.last.open, 'first', -1, 'last', -1) END", "struct<open:int,first:int,last:int>")
+    return f"filter({states}, s -> s.last >= 0)"
 
 
 def block_pairing(readmes: DataFrame) -> DataFrame:
@@ -55,14 +94,14 @@ def block_pairing(readmes: DataFrame) -> DataFrame:
 
     The pairing is a look-ahead inside the row, so no window and no shuffle.
     """
-    exploded = readmes.select("repo", F.posexplode(block_items(F.col("text"))).alias("n", "b"))
+    exploded = readmes.select("repo", F.posexplode(block_items("text")).alias("n", "b"))
     end = F.col("b.line") + newline_count(F.concat(F.col("b.marker"), F.col("b.content")))
     return exploded.select("repo", "n", "b.id", F.col("b.line").alias("begin_line"), end.alias("end_line"))
 
 
 def managed_blocks(readmes: DataFrame) -> DataFrame:
     """(repo, n, id, declared_sha, current_sha, frozen, content)."""
-    exploded = readmes.select("repo", F.posexplode(block_items(F.col("text"))).alias("n", "b"))
+    exploded = readmes.select("repo", F.posexplode(block_items("text")).alias("n", "b"))
     declared, current = blank_to_null(F.col("b.sha")), text_sha12(F.col("b.content"))
     frozen = F.coalesce(declared != current, F.lit(False))
     return exploded.select(
@@ -79,29 +118,22 @@ def merge_blocks(readmes: DataFrame, generated: str = "generated") -> DataFrame:
     """
     text, body = F.col("text"), normalize_text(F.col(generated))
 
-    def replaced(b: Column) -> Column:
-        return F.concat(
-            F.lit("<!-- AI:BEGIN id="), b["id"], F.lit(" sha="), F.col("_sha"), F.lit(" -->\n"),
-            F.col("_body"), F.lit("\n<!-- AI:END id="), b["id"], F.lit(" -->"))
-
-    def is_frozen(b: Column) -> Column:
-        return (b["sha"] != "") & (b["sha"] != text_sha12(b["content"]))
-
-    def group(number: int) -> Column:
-        return F.regexp_extract_all(text, F.lit(WHOLE_BLOCK), F.lit(number))
+    def between(first: str, last: str) -> str:
+        """Everything after marker ``first`` and before marker ``last``, other markers included."""
+        return f"array_join(transform(slice(m, {first} + 2, {last} - {first}), (v, i) -> IF(i < {last} - {first} - 1, concat(v.gap, coalesce(v.mark, '')), v.gap)), '')"
 
-    blocks = F.arrays_zip(
-        group(0).alias("whole"), group(1).alias("id"), group(2).alias("sha"), group(3).alias("content"))
-    judged = readmes.where(text.rlike(BEGIN)).select(
-        "repo", "text", body.alias("_body"), text_sha12(body).alias("_sha"),
-        F.transform(blocks, lambda b: F.struct(
-            b["whole"].alias("whole"), b["id"].alias("id"), is_frozen(b).alias("frozen"))).alias("_blocks"),
-        F.split(text, WHOLE_BLOCK, -1).alias("_between"),
+    content = inside("b.first", "b.last")
+    cut = f"transform({outer_blocks()}, b -> named_struct('first', b.first, 'last', b.last, 'id', m[b.first].id, 'sha', m[b.first].sha, 'content', {content}))"
+    judged = readmes.where(text.rlike(BEGIN)).select("repo", "text", body.alias("_body"), text_sha12(body).alias("_sha"), F.expr(marked("text")).alias("m")).select(
+        "*", F.expr(cut).alias("_cut")
     )
-    pieces = F.transform(F.col("_blocks"), lambda b: F.when(b["frozen"], b["whole"]).otherwise(replaced(b)))
-    zipped = F.arrays_zip(F.col("_between").alias("before"), pieces.alias("block"))
-    merged = F.array_join(F.flatten(F.transform(zipped, lambda z: F.array(
-        z["before"], F.coalesce(z["block"], F.lit(""))))), "")
+    frozen = F.transform("_cut", lambda b: F.struct(*[b[c].alias(c) for c in ("first", "last", "id")], ((b["sha"] != "") & (b["sha"] != text_sha12(b["content"]))).alias("frozen")))
+    judged = judged.select("repo", "text", "_body", "_sha", "m", frozen.alias("_blocks"))
+    whole = f"concat(m[b.first].mark, {inside('b.first', 'b.last')}, m[b.last].mark)"
+    fresh = "concat('<!-- AI:BEGIN id=', b.id, ' sha=', _sha, ' -->\\n', _body, '\\n<!-- AI:END id=', b.id, ' -->')"
+    before = between("IF(n = 0, -1, _blocks[n - 1].last)", "b.first")
+    tail = between("_blocks[size(_blocks) - 1].last", "size(m) - 1")
+    merged = F.expr(f"concat(array_join(transform(_blocks, (b, n) -> concat({before}, IF(b.frozen, {whole}, {fresh}))), ''), {tail})")
     ended = F.when(merged.endswith("\n"), merged).otherwise(F.concat(merged, F.lit("\n")))
     open_blocks = F.exists("_blocks", lambda b: ~b["frozen"])
     return judged.where(F.size("_blocks") > 0).select(

@@ -5,7 +5,7 @@ array<struct<kind, value, method, line>>. ``signals`` chooses the extractors of
 the row's language, concatenates their arrays and explodes once.
 
 The Python extractors are line-anchored patterns, not a syntax tree: files that
-do not parse still report, and import-like lines inside strings do too.
+do not parse still report. Imports are read from the code alone, without strings and comments.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens import dims
-from fleetlens.functions.text import blank_to_null, first_line, fold, matches, may_match, rx, strip, strip_fence
+from fleetlens.functions.text import blank_to_null, fold, literal, literal_core, match_sql, matches, newlines, rx, strip, strip_fence
 from fleetlens.sources.corpus import analysis_scope
 
 ITEM = "array<struct<kind:string,value:string,method:string,line:int>>"
@@ -27,7 +27,7 @@ ITEM = "array<struct<kind:string,value:string,method:string,line:int>>"
 @dataclass(frozen=True)
 class Extractor:
     lang: str
-    build: Callable[[Column], list[Column]]
+    build: Callable[[str], list[Column]]
 
 
 def _items(found: Column, kind: str, value, method=None) -> Column:
@@ -43,9 +43,9 @@ def _items(found: Column, kind: str, value, method=None) -> Column:
     return F.coalesce(shaped.cast(ITEM), F.array().cast(ITEM))
 
 
-def _group1(kind: str, *patterns: str) -> Callable[[Column], list[Column]]:
+def _group1(kind: str, *patterns: str) -> Callable[[str], list[Column]]:
     """Extractor for patterns whose first group is the value."""
-    def build(text: Column) -> list[Column]:
+    def build(text: str) -> list[Column]:
         return [_items(matches(text, p, {"g1": 1}), kind, lambda m: m["g1"]) for p in patterns]
 
     return build
@@ -53,11 +53,15 @@ def _group1(kind: str, *patterns: str) -> Callable[[Column], list[Column]]:
 
 # --- Python -----------------------------------------------------------------
 
-PY_IMPORT = rx(
-    r"^[ \t]*import[ \t]+([\w.]+(?:[ \t]+as[ \t]+\w+)?"
-    r"(?:[ \t]*,[ \t]*[\w.]+(?:[ \t]+as[ \t]+\w+)?)*)", "m"
+# Blanks inside a statement; a backslash at the end of a line joins the next one.
+PY_GAP = r"(?:[ \t]++|\\\r?\n)*+"
+PY_IMPORT = rx(rf"^[ \t]*+import(?=[ \t\\]){PY_GAP}([\w.]++(?:{PY_GAP}(?:,{PY_GAP}[\w.]++|as\b{PY_GAP}\w++))*+)", "m")
+PY_FROM = rx(rf"^[ \t]*+from(?=[ \t\\.]){PY_GAP}\.*+{PY_GAP}([^\W\d][\w.]*+)(?=[ \t\\]){PY_GAP}import\b", "m")
+# What the reader of a program skips: strings over several lines, strings in one line, comments. Possessive, so a long string costs no stack.
+PY_OPAQUE = (
+    r"\"\"\"(?:[^\"\\]++|\\[\s\S]|\"(?!\"\"))*+(?:\"\"\"|\z)|'''(?:[^'\\]++|\\[\s\S]|'(?!''))*+(?:'''|\z)"
+    r"|\"(?:[^\"\\\n]++|\\[\s\S])*+\"?|'(?:[^'\\\n]++|\\[\s\S])*+'?|#[^\n]*+"
 )
-PY_FROM = rx(r"^[ \t]*from[ \t]+\.*[ \t]*([^\W\d][\w.]*)[ \t]+import\b", "m")
 PY_FUNCTION = rx(r"^[ \t]*(?:async[ \t]+)?def[ \t]+(\w+)", "m")
 PY_CLASS = rx(r"^[ \t]*class[ \t]+(\w+)", "m")
 PY_ROUTE = rx(r"@(\w+)\.(get|post|put|patch|delete|route)\s*\(\s*['\"]([^'\"]+)", "i")
@@ -68,25 +72,27 @@ PY_ENV = (
 )
 
 
-def _py_imports(text: Column) -> list[Column]:
-    statements = matches(text, PY_IMPORT, {"names": 1})
-    names = F.flatten(
-        F.transform(
-            statements,
-            lambda m: F.transform(
-                F.split(m["names"], ","),
-                lambda n: F.struct(
-                    m["line"].alias("line"),
-                    F.regexp_extract(n, r"([^ \t]+)", 1).alias("g1"),
-                ),
-            ),
-        )
-    )
-    plain = _items(names, "import", lambda m: m["g1"])
-    return [plain] + _group1("import", PY_FROM)(text)
+def python_code(text: str) -> str:
+    """SQL for a Python text whose strings and comments are reduced to their line breaks.
+
+    Only a string over several lines can hide an import at the start of a line, so a text without triple quotes is left as it is.
+    """
+    p = literal(PY_OPAQUE)
+    pieces = f"zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (code, skipped) -> concat(code, coalesce(regexp_replace(skipped, '[^\\\\n]++', ''), '')))"
+    return f"CASE WHEN contains({text}, {literal('"' * 3)}) OR contains({text}, {literal("'" * 3)}) THEN array_join({pieces}, '') ELSE {text} END"
+
+
+def _py_imports(text: str) -> list[Column]:
+    """Modules of ``import a, b as c`` and ``from m import ...``; names are split, however many there are."""
+    def each(pattern: str, value: str) -> Column:
+        return F.expr(f"flatten(transform(array({python_code(text)}), code -> {value.replace('FOUND', match_sql('code', pattern, {'g1': 1}))}))")
+
+    listed = f"transform(FOUND, m -> transform(split(m.g1, ','), n -> named_struct('line', m.line, 'g1', regexp_extract(n, {literal(rx(r'[\w.]+'))}, 0))))"
+    names = F.flatten(each(PY_IMPORT, listed))
+    return [_items(names, "import", lambda m: m["g1"]), _items(each(PY_FROM, "FOUND"), "import", lambda m: m["g1"])]
 
 
-def _py_routes(text: Column) -> list[Column]:
+def _py_routes(text: str) -> list[Column]:
     found = matches(text, PY_ROUTE, {"verb": 2, "path": 3})
     return [_items(found, "route", lambda m: m["path"], lambda m: F.upper(m["verb"]))]
 
@@ -94,7 +100,8 @@ def _py_routes(text: Column) -> list[Column]:
 # --- JavaScript / TypeScript ------------------------------------------------
 
 JS_IMPORT = (
-    rx(r"import\s+(?:[\s\S]*?\s+from\s+)?['\"]([^'\"]+)['\"]"),
+    # What is imported holds neither a quote nor another import, so a text is passed over once.
+    rx(r"import\s++(?:(?:(?!\bimport\b)[^'\"])*?(?<!\s)\s++from\s++)?['\"]([^'\"]+)['\"]"),
     rx(r"require\s*\(\s*['\"]([^'\"]+)['\"]\s*\)"),
 )
 JS_EXPORT = rx(
@@ -110,12 +117,12 @@ JS_ENV = rx(
 )
 
 
-def _js_exports(text: Column) -> list[Column]:
+def _js_exports(text: str) -> list[Column]:
     named = F.filter(matches(text, JS_EXPORT, {"g1": 1}), lambda m: m["g1"] != F.lit(""))
     return [_items(named, "export", lambda m: m["g1"])]
 
 
-def _js_api_calls(text: Column) -> list[Column]:
+def _js_api_calls(text: str) -> list[Column]:
     fetched = _items(
         matches(text, JS_FETCH, {"g1": 1}), "api_call", lambda m: m["g1"], lambda m: F.lit("FETCH")
     )
@@ -126,7 +133,7 @@ def _js_api_calls(text: Column) -> list[Column]:
     return [fetched, axios]
 
 
-def _js_env(text: Column) -> list[Column]:
+def _js_env(text: str) -> list[Column]:
     found = matches(text, JS_ENV, {"g1": 1, "g2": 2})
     return [_items(found, "env_var", lambda m: F.coalesce(blank_to_null(m["g1"]), m["g2"]))]
 
@@ -167,11 +174,11 @@ def signal_items(names: tuple[str, ...]) -> tuple[Column, Column, Column]:
 
     Expressions are unresolved, so one build serves every DataFrame.
     """
-    content, language = F.col("content"), F.col("language")
+    language = F.col("language")
     by_lang: dict[str, list[Column]] = {}
     for name in names:
         extractor = EXTRACTORS[name]
-        by_lang.setdefault(extractor.lang, []).extend(extractor.build(content))
+        by_lang.setdefault(extractor.lang, []).extend(extractor.build("content"))
     wanted = [x for lang in by_lang for x in LANGUAGES_OF[lang]]
     items, label = None, None
     for lang, arrays in by_lang.items():
@@ -213,10 +220,10 @@ def sql_operation_counts(files: DataFrame) -> DataFrame:
 # --- HTML assets ------------------------------------------------------------
 
 def asset_pattern(tags: str = "script|link") -> str:
-    return rx(rf"<(?:{tags})[^>]*?(?:src|href)\s*=\s*[\"']([^\"']+)[\"']", "i")
+    return rx(rf"<(?:{tags})[^<>]*?(?:src|href)\s*=\s*[\"']([^\"']+)[\"']", "i")
 
 
-def asset_items(content: Column, needles=dims.ASSET_TO_TECH, tags: str = "script|link") -> Column:
+def asset_items(content: str, needles=dims.ASSET_TO_TECH, tags: str = "script|link") -> Column:
     """array<struct<tech, asset, line>>: every needle of every asset URL."""
     known = [(n, t) for n, t in needles if t is not None]
     found = matches(content, asset_pattern(tags), {"asset": 1})
@@ -237,25 +244,27 @@ def html_assets(files: DataFrame, needles=dims.ASSET_TO_TECH, tags: str = "scrip
     pages = files.where(F.col("language") == "HTML")
     return pages.select(
         "repo", F.col("path").alias("file"), "third_party",
-        F.inline(asset_items(F.col("content"), needles, tags)),
+        F.inline(asset_items("content", needles, tags)),
     )
 
 
 # --- mentions ---------------------------------------------------------------
 
-def mention_items(content: Column, folded: Column, patterns=dims.TECHNOLOGY_PATTERNS) -> Column:
+def mention_items(content: str, folded: str, patterns=dims.TECHNOLOGY_PATTERNS) -> Column:
     """array<struct<tech, line, pattern>>: first match of each pattern, null where there is none.
 
-    ``folded`` is ``fold(content)``; a substring test on it spares the pattern
+    Column ``folded`` is ``fold(content)``; a substring test on it spares the pattern
     search for most files.
     """
     hits = []
     for tech, alternatives in patterns.items():
         for p in alternatives:
-            pattern = rx(p, "i")
-            hits.append(F.when(may_match(folded, (p,)) & content.rlike(pattern), F.struct(
-                F.lit(tech).alias("tech"), first_line(content, pattern).alias("line"), F.lit(p).alias("pattern"))))
-    return F.array(*hits)
+            pattern, core = literal(rx(p, "i")), literal_core(p)
+            likely = f"contains({folded}, {literal(core)}) AND " if core else ""
+            before = f"element_at(split({content}, {pattern}, 2), 1)"
+            item = f"named_struct('tech', {literal(tech)}, 'line', {newlines(before)} + 1, 'pattern', {literal(p)})"
+            hits.append(f"CASE WHEN {likely}{content} rlike {pattern} THEN {item} END")
+    return F.expr(f"array({', '.join(hits)})")
 
 
 def mention_rows(files: DataFrame, patterns=dims.TECHNOLOGY_PATTERNS) -> DataFrame:
@@ -264,21 +273,21 @@ def mention_rows(files: DataFrame, patterns=dims.TECHNOLOGY_PATTERNS) -> DataFra
     scoped = analysis_scope(files).withColumn("_folded", fold(F.col("content")))
     exploded = scoped.select(
         "repo", F.col("path").alias("file"), weight.alias("weight"),
-        F.explode(mention_items(F.col("content"), F.col("_folded"), patterns)).alias("m"),
+        F.explode(mention_items("content", "_folded", patterns)).alias("m"),
     )
     return exploded.where("m is not null").select("repo", "m.tech", "file", "m.line", "m.pattern", "weight")
 
 
 # --- documents --------------------------------------------------------------
 
-def citation_items(text: Column) -> Column:
+def citation_items(text: str) -> Column:
     found = matches(text, rx(dims.CITATION), {"cited": 1, "cited_line": 2})
     return F.filter(found, lambda m: ~m["cited"].isin(*dims.NOT_A_CITATION))
 
 
 def citation_extract(documents: DataFrame) -> DataFrame:
     """(repo, document, cited, cited_line, line): file citations of each document."""
-    return documents.select("repo", "document", F.inline(citation_items(F.col("text")))).select(
+    return documents.select("repo", "document", F.inline(citation_items("text"))).select(
         "repo", "document", "cited", blank_to_null(F.col("cited_line")).cast("int").alias("cited_line"), "line"
     )
 

@@ -7,27 +7,46 @@ from pyspark.sql import functions as F
 
 from fleetlens import dims
 from fleetlens.functions import paths
-from fleetlens.functions.text import NOT_SPACE, SPACE, lines_of, rstrip, rx, strip
+from fleetlens.functions.text import NOT_SPACE, SPACE, column_name, lines_of, literal, rstrip, rx, scanned, strip
 from fleetlens.operators.ranking import ranked
 
-# The 40 characters before the address (fewer at the start of the text) are
-# captured by a bounded look-behind that is only tried where an address starts.
-# The engine steps back in UTF-16 units, up to two per character, and takes the
-# shortest window that holds 40 characters.
-_ADDRESS = dims.EMAIL.removeprefix(r"\b")
-EMAIL_WITH_PREFIX = rx(rf"\b(?={_ADDRESS})(?<=(\A[\s\S]{{0,79}}|[\s\S]{{40,80}}))({_ADDRESS})")
+# An address is searched from its sign: what precedes it is read backwards to the end of its run, what follows forwards.
+# Every character is looked at a bounded number of times, however long a run is.
+LOCAL_RUN = r"\A[A-Za-z0-9._%+-]++"
+DOMAIN = rx(r"\A[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b")
+BEFORE = 40  # characters kept of what stands before an address
 
 
-def email_items(text: Column, drop_after_colon: bool = True) -> Column:
-    """Distinct addresses that may lead to a person.
+def _addresses(text: str) -> str:
+    """SQL for array<struct<tail, used, before, address>>: the matches of ``dims.EMAIL``, with empty addresses where a sign has none.
+
+    A fold over the parts between the signs carries how much of a part the address before it used up, since matches do
+    not overlap. A local part starts at the first word boundary of its run.
+    """
+    run = f"reverse(regexp_extract(reverse(substring(x.`left`, s.last.used + 1)), {literal(LOCAL_RUN)}, 0))"
+    led = "concat(substring(x.`left`, length(x.`left`) - length(r), IF(length(x.`left`) > length(r), 1, 0)), r)"
+    word, other = literal(rx(r"\A\w++")), literal(rx(r"\A\W*+"))
+    local = (
+        f"transform(array({run}), r -> IF(length(x.`left`) > length(r) AND substring(x.`left`, length(x.`left`) - length(r), 1) rlike {literal(rx(r'\w'))}, "
+        f"regexp_replace({led}, {word}, ''), regexp_replace({led}, {other}, '')))[0]"
+    )
+    found = "l <> '' AND x.domain <> ''"
+    step = (
+        f"transform(array({local}), l -> named_struct('tail', right(concat(s.last.tail, x.`left`, '@'), {BEFORE}), 'used', IF({found}, length(x.domain), 0), "
+        f"'before', right(concat(s.last.tail, left(x.`left`, length(x.`left`) - length(l))), {BEFORE}), 'address', IF({found}, concat(l, '@', x.domain), '')))[0]"
+    )
+    parts = f"transform(array(split({text}, '@', -1)), p -> zip_with(slice(p, 1, size(p) - 1), slice(p, 2, size(p) - 1), (a, b) -> named_struct('left', a, 'domain', regexp_extract(b, {literal(DOMAIN)}, 0))))[0]"
+    return scanned(parts, "named_struct('tail', '', 'used', 0, 'before', '', 'address', '')", step, "struct<tail:string,used:int,before:string,address:string>")
+
+
+def email_items(text: str | Column, drop_after_colon: bool = True) -> Column:
+    """Distinct addresses in column ``text`` that may lead to a person.
 
     Dropped: machine and documentation addresses, templates, and the user part
     of a URL (``://`` in the token before the address).
     """
-    found = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(EMAIL_WITH_PREFIX), F.lit(1)).alias("before"),
-        F.regexp_extract_all(text, F.lit(EMAIL_WITH_PREFIX), F.lit(2)).alias("address"),
-    )
+    text = column_name(text)
+    found = F.expr(f"filter({_addresses(text)}, a -> a.address <> '')")
     ending = r"(?:\$|\}|:|//)\z" if drop_after_colon else r"(?:\$|\}|//)\z"
 
     def personal(m: Column) -> Column:
@@ -39,7 +58,7 @@ def email_items(text: Column, drop_after_colon: bool = True) -> Column:
         )
 
     kept = F.array_distinct(F.transform(F.filter(found, personal), lambda m: m["address"]))
-    return F.when(text.contains("@"), kept).otherwise(F.array().cast("array<string>"))
+    return F.when(F.col(text).contains("@"), kept).otherwise(F.array().cast("array<string>"))
 
 
 def distinct_hits(text: Column, pattern: str) -> Column:
@@ -54,13 +73,13 @@ def _lower_hits(text: Column, pattern: str) -> Column:
 def personal_emails(documents: DataFrame) -> DataFrame:
     """(repo, document, emails): number of distinct personal addresses, never their text."""
     return documents.select(
-        "repo", "document", F.size(email_items(F.col("text"))).alias("emails")
+        "repo", "document", F.size(email_items("text")).alias("emails")
     ).where("emails > 0")
 
 
-def personal_values(text: Column) -> Column:
-    """How many distinct identity numbers and addresses a text transcribes."""
-    return F.size(distinct_hits(text, rx(dims.RUT))) + F.size(email_items(text))
+def personal_values(text: str) -> Column:
+    """How many distinct identity numbers and addresses the column ``text`` transcribes."""
+    return F.size(distinct_hits(F.col(text), rx(dims.RUT))) + F.size(email_items(text))
 
 
 def pii_scan(files: DataFrame) -> DataFrame:
@@ -79,7 +98,7 @@ def pii_scan(files: DataFrame) -> DataFrame:
     counted = own.where(sheet | readable).select(
         "repo", "path", "ext", "size", sheet.alias("sheet"), in_test.alias("in_test_path"), "content",
         F.when(sheet, 0).otherwise(F.size(distinct_hits(text, rx(dims.RUT)))).alias("rut"),
-        F.when(sheet, 0).otherwise(F.size(email_items(text))).alias("correo"),
+        F.when(sheet, 0).otherwise(F.size(email_items("content"))).alias("correo"),
         F.when(sheet, 0).otherwise(F.size(distinct_hits(text, rx(dims.PHONE_CL)))).alias("telefono"),
         raw.alias("sha256"),
     )

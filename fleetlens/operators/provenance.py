@@ -77,7 +77,7 @@ def imported_items() -> Column:
 
 @cache
 def vendored_items() -> Column:
-    shaped = F.transform(asset_items(F.col("content")), lambda a: _item(
+    shaped = F.transform(asset_items("content"), lambda a: _item(
         a["tech"], "vendored", a["line"], a["asset"]))
     return _or_empty(F.when(F.col("language") == "HTML", shaped))
 
@@ -85,7 +85,7 @@ def vendored_items() -> Column:
 @cache
 def mentioned_items() -> Column:
     scoped = F.col("text")
-    shaped = F.transform(mention_items(F.col("content"), F.col("_folded")), lambda m: _item(
+    shaped = F.transform(mention_items("content", "_folded"), lambda m: _item(
         m["tech"], "mentioned", m["line"], m["pattern"]))
     return _or_empty(F.when(scoped, shaped))
 

@@ -91,7 +91,7 @@ def publish_gate(documents: DataFrame, files: DataFrame, required=dims.REQUIRED_
     checked = citation_check(documents, files).groupBy("repo").agg(
         F.count(F.lit(1)).alias("citations"), F.count_if(~F.col("valid")).alias("invented"))
     personal = documents.groupBy("repo").agg(
-        F.count_if(personal_values(F.col("text")) > 0).alias("personal_documents"))
+        F.count_if(personal_values("text") > 0).alias("personal_documents"))
     joined = missing_documents(documents, required).join(personal, "repo").join(checked, "repo", "left")
     citations = F.coalesce(F.col("citations"), F.lit(0))
     invented = F.coalesce(F.col("invented"), F.lit(0))
