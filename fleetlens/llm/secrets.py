@@ -10,7 +10,8 @@ linear in the spans.
 
 Defined cases: null and empty texts have no spans; rows that repeat doc_id and
 text each get the same spans, and rows without doc_id are handled like others;
-an empty table gives an empty result. Only doc_id and text are read.
+an empty table gives an empty result; an unbroken run of any length takes time in proportion
+to it. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.text import literal, scanned
 from fleetlens.llm.common import landed, text_or_empty
 
 SCOPE = 400
@@ -30,27 +32,26 @@ HEX = r"[0-9a-f]{24,}"
 # Weak parts: worth nothing alone.
 IDENT = r"""(?i)\b(?:access_?key_?id|client_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
 SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/]{0,39}[A-Z])(?=[A-Za-z0-9+/]{0,39}[a-z])(?=[A-Za-z0-9+/]{0,39}[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_=-])"
-ENDPOINT = r"""https?://[^\s"'<>]+|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?\b|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|net|org|io|dev|cloud)\b"""
+# No repeated group, and a host name is judged once per run of its characters: time stays linear in a run.
+ENDPOINT = r"""https?://[^\s"'<>]++|(?<![\w.-])(?:[0-9]{1,3}+\.){3}[0-9]{1,3}(?::[0-9]{2,5})?\b|(?<![\w.-])[A-Za-z0-9][A-Za-z0-9.-]{0,252}\.(?:com|net|org|io|dev|cloud)\b"""
 SPAN = "struct<start:bigint,no:int,end:bigint>"
 
 
-def _spans(text: Column, pattern: str, no: int, value_group: int | None = None, least: int = 0) -> Column:
-    """Spans of all matches: the gaps between them and the matches give the places.
+def _spans(pattern: str, no: int, value_group: int | None = None, least: int = 0) -> Column:
+    """Spans of all matches in ``text``: the gaps between them and the matches give the places.
 
     Splitting and extracting step through a text in the same way, leftmost and without overlap.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else matches
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("match"), values.alias("value"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["match"]), F.lit(0))
-        span = F.array(F.struct(begin.alias("start"), F.lit(no).alias("no"), end.alias("end")).cast(SPAN))
-        return F.struct(end.cast("bigint").alias("at"), F.when(F.length(x["value"]) >= least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    p = literal(pattern)
+    matches = f"regexp_extract_all(text, {p}, 0)"
+    values = f"regexp_extract_all(text, {p}, {value_group})" if value_group else matches
+    sizes = f"transform(arrays_zip(split(text, {p}, -1), {matches}, {values}), v -> named_struct('gap', length(v.`0`), 'size', length(v.`1`), 'value', length(v.`2`)))"
+    placed = scanned(
+        sizes, f"named_struct('start', 0, 'no', {no}, 'end', 0, 'kept', false)",
+        f"named_struct('start', s.last.end + x.gap, 'no', {no}, 'end', s.last.end + x.gap + coalesce(x.size, 0), 'kept', coalesce(x.value >= {least}, false))",
+        "struct<start:bigint,no:int,end:bigint,kept:boolean>",
+    )
+    return F.expr(f"transform(filter({placed}, v -> v.kept), v -> named_struct('start', v.start, 'no', v.no, 'end', v.end))").cast(f"array<{SPAN}>")
 
 
 def _none() -> Column:
@@ -64,19 +65,21 @@ def _if(found: Column, spans: Column) -> Column:
 def find_parts(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, text_hash, base spans, and weak candidates of texts that hold a possible partner."""
     text = text_or_empty()
-    base = docs.select(
-        "doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"), text.rlike(IDENT).alias("has_ident"),
-        _if(text.rlike(ASSIGN), _spans(text, ASSIGN, 0, 2, 6)).alias("assign"),
-        _if(text.contains("AKIA"), _spans(text, ACCESS, 1)).alias("access"),
-        _if(text.rlike("[0-9a-f]{24}"), _spans(text, HEX, 2)).alias("hex"),
+    whole = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    text = F.col("text")
+    base = whole.select(
+        "doc_id", "text_hash", "text", text.rlike(IDENT).alias("has_ident"),
+        _if(text.rlike(ASSIGN), _spans(ASSIGN, 0, 2, 6)).alias("assign"),
+        _if(text.contains("AKIA"), _spans(ACCESS, 1)).alias("access"),
+        _if(text.rlike("[0-9a-f]{24}"), _spans(HEX, 2)).alias("hex"),
     )
     identified = F.col("has_ident") | (F.size("access") > 0)
     return base.select(
         "doc_id", "text_hash", F.concat("assign", "access", "hex").alias("base"),
         F.concat(
-            _if(F.col("has_ident"), _spans(F.col("text"), IDENT, 3)),
-            _if(identified, _spans(F.col("text"), SECRET, 4)),
-            _if(identified, _spans(F.col("text"), ENDPOINT, 5)),
+            _if(F.col("has_ident"), _spans(IDENT, 3)),
+            _if(identified, _spans(SECRET, 4)),
+            _if(identified, _spans(ENDPOINT, 5)),
         ).alias("weak"),
     )
 
