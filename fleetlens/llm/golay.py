@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import landed, shuffle_width, text_rows, words_of
+from fleetlens.llm.common import landed, shuffle_width, text_or_empty, text_rows, words_of
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
@@ -148,14 +148,16 @@ def forest(prints: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    out = pa.schema([("doc_id", pa.int64()), ("print", pa.int64())])
+    """doc_id, text_hash, print of every row."""
+    out = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("print", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, np.uint64(fingerprint(t, width)).astype(np.int64)) for d, t in text_rows(iter([batch]), "doc_id", "text")]
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array(np.array([p for _, p in rows], np.int64))], schema=out)
+            prints = [fingerprint(t, width) for (t,) in text_rows(iter([batch]), "text")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64))], schema=out)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id long, print long")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, print long")
 
 
 def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -186,7 +188,8 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
             held_keys, held = keys[cut:], prints[cut:]
         yield edges_of(held_keys, held)
 
-    keyed = nodes.select("print").mapInArrow(emit, "key long, print long")
+    # The aggregate before may have left few partitions; a row makes about 170 keys.
+    keyed = nodes.select("print").repartition(shuffle_width(nodes.sparkSession), "print").mapInArrow(emit, "key long, print long")
     placed = keyed.repartition(shuffle_width(nodes.sparkSession), "key").sortWithinPartitions("key", "print")
     return placed.mapInArrow(compare, "a long, b long").distinct()
 
@@ -213,8 +216,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, distance: int = DISTANCE) -> DataFrame:
-    """Per row of ``docs``: doc_id, print (long), component_id."""
+def grouped(docs: DataFrame, width: int = 4, distance: int = DISTANCE) -> DataFrame:
+    """Per row of ``docs``: doc_id, text_hash, print (long), root (a fingerprint its group shares), component_id."""
     if distance > DISTANCE:
         raise ValueError("the keys cover at most four differing bits")
     prints = landed(fingerprints(docs, width), "prints")
@@ -222,5 +225,19 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = DISTANCE) -
     roots = components(links(nodes, distance))
     labelled = landed(nodes.join(roots, F.col("print") == F.col("node"), "left").select("print", "first", F.coalesce("root", "print").alias("root")), "labels")
     smallest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = labelled.join(smallest, "root").select("print", "component_id")
-    return prints.join(named, "print").select("doc_id", "print", "component_id")
+    named = labelled.join(smallest, "root").select("print", "root", "component_id")
+    return prints.join(named, "print").select("doc_id", "text_hash", "print", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, width: int = 4, distance: int = DISTANCE) -> DataFrame:
+    """Per row of ``docs``: doc_id, print (long), component_id."""
+    return grouped(docs, width, distance).select("doc_id", "print", "component_id")
+
+
+def survivors(docs: DataFrame, width: int = 4, distance: int = DISTANCE) -> DataFrame:
+    """One row of every group of ``docs``, as it is: the first by doc_id (none last), then text hash."""
+    order = F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_hash").alias("_hash"))
+    first = grouped(docs, width, distance).groupBy("root").agg(F.min(order).alias("row")).select("row.*")
+    key = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "_hash": F.xxhash64(text_or_empty())}
+    left = docs.select(F.struct("*").alias("_row"), *[c.alias(name) for name, c in key.items()])
+    return left.join(first, [*key], "left_semi").dropDuplicates([*key]).select("_row.*")

@@ -9,8 +9,12 @@ curve fitted on the same sample.
 
 Bounds: at most ``SAMPLE`` labelled rows per class are learned from (the first in hash order of
 doc_id), and the ``TERMS`` terms of the largest weight are kept, so the model and its training rows
-are bounded; every document is scored whole. Of near copies in a class (``copies``:
-five-word shingles, similarity 0.8, verified) one text counts, and every other text of the sample counts once.
+are bounded; every document is scored whole. Of near copies in a class (``golay``: fingerprints
+within four bits) one text counts, and every other text of the sample counts once.
+
+Exception phrases are learned as well: pairs and triples of words that hold a matching word and stand, relative
+to the class sizes, at least as often in clean texts as in toxic ones, in ``LEAST_SUPPORT`` clean texts or more.
+The ``EXCEPTIONS`` that stand in most clean texts are kept.
 
 Defined cases: null and empty texts have no match and get the curve's value
 there; labels that are null are left out and a doc_id labelled twice takes the larger; without
@@ -23,7 +27,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Container, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,9 +36,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import in_batches, landed, text_or_empty, text_rows
-from fleetlens.llm.copies import near_copies
+from fleetlens.llm.golay import grouped
 
-SAMPLE, TERMS = 10_000, 20_000
+SAMPLE, TERMS, EXCEPTIONS = 10_000, 20_000, 20_000
 LEAST_SUPPORT, LEAST_WEIGHT = 5, 2.5
 SHORTEST, LONGEST = 4, 8  # of word beginnings
 THRESHOLD = 0.7
@@ -126,21 +130,42 @@ def _distinct(found: DataFrame) -> DataFrame:
     """toxic, text: of the near copies in each class one text, every other text as it is."""
     def of(toxic: int) -> DataFrame:
         own = found.where(F.col("toxic") == toxic)
-        near = near_copies(own).distinct()
-        one = own.join(near, ["doc_id", "text_hash"]).groupBy("component").agg(F.min("text").alias("text"))
+        near = grouped(own).select("doc_id", "text_hash", "root").distinct()
+        one = own.join(near, ["doc_id", "text_hash"]).groupBy("root").agg(F.min("text").alias("text"))
         return one.select(F.lit(toxic).alias("toxic"), "text")
 
     return landed(of(1).unionByName(of(0)), "toxicity-distinct")
 
 
-def _counted(texts: DataFrame) -> DataFrame:
+def word_terms(text: str | None) -> set[str]:
+    return {t for w in {*_WORD.findall(fold(text or ""))} if len(w) > 2 for t in terms_of(w)}
+
+
+def phrases_of(text: str | None, terms: Container[str]) -> set[str]:
+    """Pairs and triples of folded words, one blank apart, that hold a word with a term."""
+    folded = fold(text or "")
+    found = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(folded)]
+    telling = {w: any(t in terms for t in terms_of(w)) for w in {w for _, _, w in found}}
+    out = set()
+    for i, (start, at, word) in enumerate(found):
+        hit = telling[word]
+        for _, (a, b, other) in zip(range(2), found[i + 1 : i + 3]):
+            if a != at + 1 or folded[at] != " ":
+                break
+            hit, at = hit or telling[other], b
+            if hit:
+                out.add(folded[start:at])
+    return out
+
+
+def _counted(texts: DataFrame, terms_in: Callable[[str | None], set[str]] = word_terms) -> DataFrame:
     """Term -> number of texts."""
     out = pa.schema([("term", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for (text,) in text_rows(batches, "text"):
-            counts.update({t for w in {*_WORD.findall(fold(text or ""))} if len(w) > 2 for t in terms_of(w)})
+            counts.update(terms_in(text))
             if len(counts) > 500_000:
                 yield from in_batches(iter(counts.items()), out, 50_000)
                 counts.clear()
@@ -150,7 +175,7 @@ def _counted(texts: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS, exceptions: tuple[str, ...] = ()) -> Lexicon:
-    """The lexicon and curve from labelled rows; ``labels`` must hold only rows to learn from."""
+    """The lexicon and curve from labelled rows; ``labels`` must hold only rows to learn from. ``exceptions`` join the learned ones."""
     found = _sampled(docs, labels, sample)
     sizes = {r.toxic: r.n for r in found.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
@@ -164,6 +189,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     weighed = toxic.join(clean, "term", "left").select("term", log_odds.alias("weight")).where(F.col("weight") >= LEAST_WEIGHT)
     kept = weighed.orderBy(F.col("weight").desc(), "term").limit(terms).collect()
     lexicon = Lexicon({r.term: round(r.weight, 6) for r in kept}, exceptions)
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(lexicon.terms))
+    phrases = lambda text: phrases_of(text, shared.value)
+    safe = _counted(single.where("toxic = 0"), phrases).where(F.col("n") >= LEAST_SUPPORT)
+    harmful = _counted(single.where("toxic = 1"), phrases).select("term", F.col("n").alias("m"))
+    even = F.col("n") * kinds[1] >= F.coalesce("m", F.lit(0)) * kinds[0]
+    spared = safe.join(harmful, "term", "left").where(even).orderBy(F.col("n").desc(), "term").limit(EXCEPTIONS).collect()
+    lexicon.exceptions = tuple(sorted({*exceptions, *(r.term for r in spared)}))
     rows = totals(found.select(F.col("toxic").cast("bigint").alias("doc_id"), "text"), lexicon).collect()  # the sample: bounded
     lexicon.curve = _curve(np.array([[r.total, r.words, r.doc_id] for r in rows], float))
     return lexicon

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -16,7 +17,7 @@ from conftest import SF
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from fleetlens.llm import copies, golay, lines, mixing, neural, packing, queries, secrets, toxicity, voronoi, wavelet, winnow
+from fleetlens.llm import golay, lines, mixing, neural, packing, queries, secrets, toxicity, voronoi, wavelet, winnow
 from fleetlens.llm.encoding import Encoder
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, batch int, hash string, part int, size int, key string"
@@ -271,9 +272,50 @@ def test_only_near_copies_are_dropped_from_the_sample(spark):
     assert kept == {0: 20, 1: 20}
 
 
-def test_rare_telling_terms_stand_behind_no_frequent_ones(spark, monkeypatch):
+def naive_totals(lexicon, text):
+    """(sum of weights, words) without an automaton: every term and phrase is tried at every word."""
+    folded = toxicity.fold(text or "")
+    letter = lambda i: 0 <= i < len(folded) and folded[i].isalpha()
+    spans = []
+    for phrase in map(toxicity.fold, lexicon.exceptions):
+        spans += [(i, i + len(phrase)) for i in range(len(folded)) if folded.startswith(phrase, i) and not letter(i - 1) and not letter(i + len(phrase))]
+    total = 0.0
+    for i in range(len(folded)):
+        best, end = 0.0, i
+        for term, weight in lexicon.terms.items() if not letter(i - 1) else ():
+            word = term.strip()
+            if folded.startswith(word, i) and (not term.endswith(" ") or not letter(i + len(word))) and weight > best:
+                best, end = weight, i + len(word)
+        if best and not any(a <= i and end <= b for a, b in spans):
+            total += best
+    return total, len(folded.split())
+
+
+def test_toxicity_equals_a_naive_matcher(spark, documents):
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    lexicon = toxicity.learn(docs, toxicity.training_labels(labels), exceptions=("the the", "and of"))
+    words = collections.Counter(w for _, t in documents for w in t.lower().split() if w.isalpha())
+    lexicon.terms |= {w + " ": 3.0 for w, _ in words.most_common(6)[3:]} | {w[:4]: 2.0 for w, _ in words.most_common(60)[40:] if len(w) > 4}
+    found = {r.doc_id: r for r in toxicity.totals(docs, lexicon).collect()}
+    for i, text in documents:
+        total, n = naive_totals(lexicon, text)
+        z = lexicon.curve[0] + lexicon.curve[1] * math.log1p(total) + lexicon.curve[2] * math.log1p(1000 * total / max(1, n))
+        assert found[i].total == pytest.approx(total) and found[i].words == n and found[i].score == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_exception_phrases_are_learned(spark):
+    """A telling word inside a phrase of clean texts does not count there, and does elsewhere."""
+    rng = random.Random(4)
+    filler = lambda: " ".join(f"n{''.join(rng.choices('abcdefghij', k=6))}" for _ in range(12))
+    rows = [(i, filler() + (" you vileterm" if i < 60 else " the vileterm festival" if i < 68 else "")) for i in range(400)]
+    lexicon = toxicity.learn(frame(spark, rows), spark.createDataFrame([(i, int(i < 60)) for i in range(400)], "doc_id bigint, toxic int"))
+    assert "vileterm " in lexicon.terms and "the vileterm festival" in lexicon.exceptions and "you vileterm" not in lexicon.exceptions
+    match = lexicon.matcher()
+    assert match("see the vileterm festival")[0] == 0 and match("see the vileterm")[0] == 0 and match("you vileterm")[0] > 0
+
+
+def test_rare_telling_terms_stand_behind_no_frequent_ones(spark):
     """Terms are cut by weight and never by their count."""
-    monkeypatch.setattr(toxicity, "CANDIDATES", 5, raising=False)
     rng = random.Random(9)
     filler = lambda: " ".join(rng.sample(["house", "table", "garden", "window", "river", "mountain"], 5)) + "".join(f" n{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}o" for _ in range(9))
     rows = [(i, filler() + (" vileterm" if i < 40 and i % 4 == 0 else "")) for i in range(140)]
@@ -423,6 +465,41 @@ def test_op8(spark, documents, odd, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def brute_links(text, scope=400):
+    """Weak candidates with their complementary parts in reach, by comparing all spans."""
+    base = base_spans(text)
+    if not (re.search(secrets.IDENT, text) or any(k == 1 for _, k, _ in base)):
+        return set()
+    weak = [(m.start(), no, m.end()) for no, p in ((3, secrets.IDENT), (4, secrets.SECRET), (5, secrets.ENDPOINT.replace("++", "+").replace("}+", "}"))) for m in re.finditer(p, text)]
+    role = {0: "secret", 2: "secret", 4: "secret", 1: "identifier", 3: "identifier"}
+    parts = [(a, b, role[k]) for a, k, b in base + weak if k != 5]
+    out = set()
+    for a, k, b in weak:
+        near = {r for x, y, r in parts if y >= a - scope and x <= b + scope}
+        if {3: "secret" in near, 4: "identifier" in near, 5: {"identifier", "secret"} <= near}[k]:
+            out.add((a, k, b))
+    return out
+
+
+def test_op8_links_equal_brute_force(spark):
+    rng = random.Random(12)
+    pieces = [KEY, WEAK, "client_id: robot_7", "login = someone", "secret = " + "q" * 12, "https://example.org/a?b", "db1.internal.net", "10.0.0.12:8080", "deadbeef" * 3, "x_a.b.com", "Word.", "\n", "é😀"]
+    texts = ["".join(rng.choice(pieces) + " " * rng.choice([1, 1, 5, 150, 350]) for _ in range(rng.randint(1, 9))) for _ in range(250)]
+    rows = {r.doc_id: {(s.start, s.no, s.end) for s in r.linked} for r in secrets.scan(frame(spark, [*enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        assert rows[i] == brute_links(t), t
+
+
+def test_op8_long_runs(spark):
+    """Texts that once overflowed the stack or took square time."""
+    n = 1_000_000
+    head = "client_id: robot_7 token=abcdefgh "
+    runs = ["a." * (n // 2), "a-" * (n // 2), "a" * n, "token=" * (n // 6), "login" + " " * n, "1." * (n // 2), "AKIA" * (n // 4), "0123456789abcdef" * (n // 16), "token=abc1234 " * (n // 14), "aB3/" * (n // 4)]
+    start = time.monotonic()
+    rows = secrets.digest(secrets.scan(frame(spark, [(i, head + r) for i, r in enumerate(runs)]).repartition(8))).collect()
+    assert len(rows) == len(runs) and {r.doc_id: r.n_assign for r in rows}[8] == 1 + n // 14 and time.monotonic() - start < 90
+
+
 # ---------------------------------------------------------------- top-k
 def brute_top(vectors, k=20):
     usable = [(i, [math.floor(64 * x) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
@@ -509,56 +586,10 @@ def test_op10(spark, documents, odd, empty):
     assert winnow.compare_edited(empty).count() == 0
 
 
-# ---------------------------------------------------------------- near copies
-def shingle_set(text, k=5):
-    w = words(text)
-    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
-
-
-def similar(a, b):
-    return a == b or len(a & b) >= 0.8 * len(a | b)
-
-
-def brute_copies(pairs):
-    """The smallest doc_id that a chain of similar texts reaches."""
-    sets, least = [shingle_set(t) for _, t in pairs], [i for i, _ in pairs]
-    linked, changed = [(a, b) for a in range(len(pairs)) for b in range(a) if similar(sets[a], sets[b])], True
-    while changed:
-        before = [*least]
-        for a, b in linked:
-            least[a] = least[b] = min(least[a], least[b])
-        changed = before != least
-    return least
-
-
-def grouped(rows, pairs):
-    least = {}
-    for r in rows:
-        least[r.component] = min(r.doc_id, least.get(r.component, r.doc_id))
-    found = {r.doc_id: least[r.component] for r in rows}
-    return [found[i] for i, _ in pairs]
-
-
-def test_near_copies_by_similarity(spark, documents, odd, empty):
-    """Beyond four bits of a SimHash, chains, and members of a band that its first member is not like."""
-    assert grouped(copies.near_copies(spark.read.parquet(f"{SF}/documents.parquet")).collect(), documents) == brute_copies(documents)
-    rng = random.Random(6)
-    pairs = []
-    for _ in range(15):
-        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
-        for n in (0, 2, 4, 6, 9):
-            changed = [*base]
-            for at in rng.sample(range(200), n):
-                changed[at] = f"x{rng.randrange(5000)}"
-            pairs.append((len(pairs), " ".join(changed)))
-    assert any(brute_print(a).__xor__(brute_print(b)).bit_count() > 4 and similar(shingle_set(a), shingle_set(b)) for (_, a), (_, b) in zip(pairs, pairs[1:]))
-    assert grouped(copies.near_copies(frame(spark, pairs)).collect(), pairs) == brute_copies(pairs)
-    assert copies.near_copies(odd).count() == len(ODD) and copies.near_copies(empty).count() == 0
-
-
-def test_pipeline_drops_similar_texts(spark, documents):
+# ---------------------------------------------------------------- near-dedup stage
+def test_near_dedup_keeps_one_of_each_group(spark, documents):
     kept = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(set(brute_copies(documents)))
+    assert sorted(r.doc_id for r in kept) == sorted(set(brute_groups([i for i, _ in documents], [brute_print(t) for _, t in documents])))
 
 
 # ---------------------------------------------------------------- pipeline
