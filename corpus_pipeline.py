@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import copies, lines, mixing, packing, toxicity
+from fleetlens.llm import golay, lines, mixing, packing, toxicity
 from fleetlens.llm.common import landed, table, text_or_empty
 from fleetlens.llm.queries import vocabulary
 
@@ -28,12 +28,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) one row stays: the first by doc_id (none last), then text hash."""
-    near = landed(copies.near_copies(docs), "near-copies")
-    order = F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_hash").alias("_hash"))
-    first = near.groupBy("component").agg(F.min(order).alias("row")).select("row.*")
-    key = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "_hash": F.xxhash64(text_or_empty())}
-    return docs.withColumns(key).join(first, [*key], "left_semi").dropDuplicates([*key]).select(*COLUMNS)
+    """Of each group of fingerprints that link at four or fewer bits (four-word shingles) one row stays: the first by doc_id (none last), then text hash."""
+    return golay.survivors(docs).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
