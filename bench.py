@@ -31,6 +31,9 @@ def main() -> None:
     start = time.perf_counter()
     StoredInputs(spark, folder).evidence.signals().count()
     timings["land_evidence"] = round(time.perf_counter() - start, 3)
+    start = time.perf_counter()
+    StoredInputs(spark, folder).mentions.table("grams").count()
+    timings["land_mentions"] = round(time.perf_counter() - start, 3)
     for name in HEADLINE:
         start = time.perf_counter()
         runner(name)(spark, folder).write.format("noop").mode("overwrite").save()

@@ -10,6 +10,7 @@ from fleetlens.functions import paths
 from fleetlens.functions.text import rx
 from fleetlens.operators.ranking import ranked
 from fleetlens.session import cut_lineage
+from fleetlens.sources.mentions import UNITS, MentionIndex, unit_of
 
 STEM_WITH_SUFFIX = rx(rf"\A(.+?){dims.VARIANT_SUFFIX}\z")
 
@@ -50,16 +51,6 @@ def orphan_by_import(files: DataFrame, signals: DataFrame) -> DataFrame:
     return with_stem.join(imported_modules(signals), ["repo", "stem"], "left_anti")
 
 
-# Text units a name can be searched in, from fine to coarse: a name made of word
-# characters only occurs inside one maximal word run, one without white space
-# inside one chunk, any other inside one line.
-UNITS = {"word": rx(r"\w+"), "chunk": r"\S+", "line": r"[^\n]+"}
-
-
-def unit_of(stem: Column) -> Column:
-    return F.when(stem.rlike(rx(r"\A\w+\z")), "word").when(stem.rlike(r"\A\S+\z"), "chunk").otherwise("line")
-
-
 def mention_vocabulary(files: DataFrame, units: list[str]) -> DataFrame:
     """Distinct text units per repository with the range of stems that contain them.
 
@@ -124,13 +115,17 @@ def orphan_by_mention(suspects: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def orphan_suspects(files: DataFrame, signals: DataFrame) -> DataFrame:
-    """(repo, path, size, stem): own code nobody imports that is neither protected, an entry point nor a variant."""
+    """(repo, path, size, stem): own code nobody imports that is neither protected, an entry point nor a variant.
+
+    Files with a stored column ``entry`` (see ``sources.store``) need no ``content``.
+    """
     path = F.col("path")
+    entry = F.col("entry") if "entry" in files.columns else paths.entry_point(F.col("content"))
     kept = ~paths.protected_path(path) & ~is_artefact(path) & ~is_build_residue(path)
     code = files.where(
         kept & ~F.col("third_party") & F.col("text")
         & ~F.col("ext").isin(*dims.NON_CODE_EXTENSIONS)
-        & ~F.coalesce(paths.entry_point(F.col("content")), F.lit(False))
+        & ~F.coalesce(entry, F.lit(False))
     ).select("repo", "path", "size")
     unimported = orphan_by_import(code, signals).where(~F.col("stem").isin(*dims.CONVENTIONAL_STEMS))
     return unimported.join(variant_of(files).select("repo", "path"), ["repo", "path"], "left_anti").select("repo", "path", "size", "stem")
@@ -140,11 +135,12 @@ def _candidate(df: DataFrame, category: Column, confidence: str) -> DataFrame:
     return df.select("repo", "path", "size", category.alias("category"), F.lit(confidence).alias("confidence"))
 
 
-def deletion_candidates(tracked: DataFrame, files: DataFrame, signals: DataFrame) -> DataFrame:
+def deletion_candidates(tracked: DataFrame, files: DataFrame, signals: DataFrame, mentions: MentionIndex | None = None) -> DataFrame:
     """(repo, path, size, category, confidence): first category wins.
 
     ``tracked`` is everything under version control (artefacts and build
-    residue are exactly what the scan skips); ``files`` is the scan.
+    residue are exactly what the scan skips); ``files`` is the scan. With a stored index of mentions
+    no text is read.
     """
     path = F.col("path")
     artefact, residue = is_artefact(path), is_build_residue(path)
@@ -160,9 +156,9 @@ def deletion_candidates(tracked: DataFrame, files: DataFrame, signals: DataFrame
         all_variants.where(~protected & ~artefact & ~residue), F.lit(dims.CATEGORY_VARIANT), "media"
     )
 
-    orphans = _candidate(
-        orphan_by_mention(orphan_suspects(files, signals), files), F.lit(dims.CATEGORY_ORPHAN), "media"
-    )
+    suspects = orphan_suspects(files, signals)
+    lonely = mentions.unmentioned(suspects) if mentions else orphan_by_mention(suspects, files)
+    orphans = _candidate(lonely, F.lit(dims.CATEGORY_ORPHAN), "media")
     return by_path.unionByName(variants).unionByName(orphans)
 
 

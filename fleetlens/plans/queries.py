@@ -17,7 +17,7 @@ from fleetlens.operators import (
 )
 from fleetlens.plans import derived as d
 from fleetlens.session import checkpoint_dir
-from fleetlens.sources import corpus, sinks, store
+from fleetlens.sources import corpus, mentions, sinks, store
 from fleetlens.streaming import gate
 
 SCOPE = "repo_"
@@ -150,6 +150,7 @@ class Inputs:
 
 
 _STORES: dict[tuple[str, str], store.EvidenceStore] = {}
+_MENTIONS: dict[tuple[str, str], mentions.MentionIndex] = {}
 
 
 class StoredInputs(Inputs):
@@ -173,6 +174,21 @@ class StoredInputs(Inputs):
     def manifests(self) -> DataFrame:
         return self.evidence.manifests()
 
+    @cached_property
+    def mentions(self) -> mentions.MentionIndex:
+        landed = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if landed not in _MENTIONS:
+            _MENTIONS[landed] = mentions.land_mentions(self.files, self.scratch("mentions"))
+        return _MENTIONS[landed]
+
+    @cached_property
+    def suspects(self) -> DataFrame:
+        return cleanup.orphan_suspects(self.evidence.scanned(self.files), self.only("py_imports", "js_imports"))
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        return cleanup.deletion_candidates(self.tracked, self.evidence.scanned(self.files), self.only("py_imports", "js_imports"), self.mentions)
+
     @cached_property
     def evidence_rows(self) -> DataFrame:
         return self.evidence.technology_evidence()
@@ -186,7 +202,7 @@ class StoredInputs(Inputs):
 # Queries over extracted evidence; all others start from file contents.
 FROM_STORE = {
     "evidence_sink", "card_sink", "conclusive_only", "normalize_token", "tech_for", "tech_mentioned_only",
-    "capability_corroboration", "orphan_by_import", "verdict_join", "cleanup_summary", "fingerprint", "repo_card",
+    "capability_corroboration", "orphan_by_import", "orphan_by_mention", "verdict_join", "cleanup_summary", "fingerprint", "repo_card",
     "private_rollup", "run_inventory", "weak_signals", "validation_summary", "context_digest", "candidate_order",
     "manifest_order", "deletion_candidates", "claims_minus_evidence", "claims_env", "claims_endpoints",
     "claims_technologies", "claims_tables", "claims_commands", "known_commands", "env_example_rows", "api_doc_rows",
@@ -345,8 +361,7 @@ put("pii_ignore_status", lambda i: pii.pii_ignore_status(
     pii.pii_scan(i.files), pii.gitignore_patterns(i.files)).select("repo", "path", "mark", "ignored_anchored"))
 put("orphan_by_import", lambda i: cleanup.orphan_by_import(
     i.files, i.only("py_imports", "js_imports")).select("repo", "path", "stem"))
-put("orphan_by_mention", lambda i: cleanup.orphan_by_mention(
-    cleanup.orphan_suspects(i.files, i.only("py_imports", "js_imports")), i.files).select("repo", "path", "stem"))
+put("orphan_by_mention", lambda i: i.mentions.unmentioned(i.suspects).select("repo", "path", "stem"))
 put("variant_of", lambda i: cleanup.variant_of(i.files))
 
 
@@ -358,8 +373,7 @@ def _verdict_join(i: Inputs) -> DataFrame:
     invented = i.repos.select(
         F.col("name").alias("repo"), F.lit("no/existe.py").alias("path"), F.lit("borrar").alias("verdict"),
         F.lit("x").alias("reason"))
-    candidates = cleanup.deletion_candidates(i.tracked, i.files, i.only("py_imports", "js_imports"))
-    return cleanup.verdict_join(candidates, verdicts.unionByName(invented))
+    return cleanup.verdict_join(i.candidates, verdicts.unionByName(invented))
 
 
 put("citation_check", lambda i: publish.citation_check(i.sections, i.files))
