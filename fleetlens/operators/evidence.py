@@ -73,17 +73,18 @@ def deployment_files(files: DataFrame, limit: int | None = None) -> DataFrame:
     return _first(named.select("repo", "path"), ["path"], limit)
 
 
-def summary_items(text: Column, limit: int = 35) -> Column:
-    """array<string>: the first non-blank, non-badge lines, each cut at 240 characters."""
+def summary_items(text: Column, limit: int | None = None, width: int | None = None) -> Column:
+    """array<string>: the non-blank, non-badge lines; with ``limit`` the first ones, with ``width`` each cut there."""
     stripped = F.transform(lines_of(text), strip)
     kept = F.filter(stripped, lambda l: (l != "") & ~l.startswith("![") & ~l.startswith("[!["))
-    return F.transform(F.slice(kept, 1, limit), lambda l: F.when(
-        F.length(l) > 240, F.concat(F.substring(l, 1, 240), F.lit("..."))).otherwise(l))
+    first = kept if limit is None else F.slice(kept, 1, limit)
+    return first if width is None else F.transform(first, lambda l: F.when(
+        F.length(l) > width, F.concat(F.substring(l, 1, width), F.lit("..."))).otherwise(l))
 
 
-def summary_lines(readmes: DataFrame, limit: int = 35) -> DataFrame:
+def summary_lines(readmes: DataFrame, limit: int | None = None, width: int | None = None) -> DataFrame:
     """(repo, rank, value): works inside each README row, no window needed."""
-    exploded = readmes.select("repo", F.posexplode(summary_items(F.col("text"), limit)).alias("n", "value"))
+    exploded = readmes.select("repo", F.posexplode(summary_items(F.col("text"), limit, width)).alias("n", "value"))
     return exploded.select("repo", (F.col("n") + 1).alias("rank"), "value")
 
 
@@ -218,7 +219,7 @@ def digest_lines(
         section("capabilities", capability_rows, ["category", "file", "line"], signal_line),
         section("modules", python_outline(signals), ["file"], F.concat(F.col("file"), F.lit(": "), F.col("outline"))),
         section("components", component_outline(signals), ["file"], F.concat(F.col("file"), F.lit(": "), F.col("outline"))),
-        section("readme", summary_lines(readmes, limits["readme"] + 1).withColumnRenamed("rank", "_n"), ["_n"], F.col("value")),
+        section("readme", summary_lines(readmes, limits["readme"] + 1, 240).withColumnRenamed("rank", "_n"), ["_n"], F.col("value")),
         section("deployment", deployment_files(files), ["path"], _marked("deployment", F.col("path"))),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -29,7 +29,7 @@ def health_facts(files: DataFrame) -> DataFrame:
     runs inside that row, so texts never reach the shuffle.
     """
     path, name = F.col("path"), F.col("name")
-    summary = summary_items(F.col("content"))
+    summary = summary_items(F.col("content"), 35, 240)
     first_line = F.regexp_replace(F.lower(strip(F.try_element_at(summary, F.lit(1)))), r"\A[# ]+", "")
     title_only = (F.size(summary) == 0) | ((F.size(summary) == 1) & (first_line == F.lower("repo")))
     priority = F.when(path == "README.md", 0).when(path == "README", 1).otherwise(2)

@@ -396,9 +396,12 @@ CTES["latest"] = (
 )
 
 
-def summary_sql(text: str) -> str:
+def summary_sql(text: str, cut: bool = True) -> str:
     stripped = f"list_transform(string_split(CASE WHEN ends_with({text}, chr(10)) THEN left({text}, length({text}) - 1) ELSE {text} END, chr(10)), lambda l: {strip('l')})"
-    kept = f"list_filter({stripped}, lambda l: l <> '' AND NOT starts_with(l, '![') AND NOT starts_with(l, '[!['))[1:35]"
+    kept = f"list_filter({stripped}, lambda l: l <> '' AND NOT starts_with(l, '![') AND NOT starts_with(l, '[!['))"
+    if not cut:
+        return kept
+    kept += "[1:35]"
     return f"list_transform({kept}, lambda l: CASE WHEN length(l) > 240 THEN l[1:240] || '...' ELSE l END)"
 
 
@@ -692,7 +695,7 @@ add("evidence_top_n", "SELECT repo, tech, CAST(rank AS BIGINT) AS rank, n, file,
 add("carry_path", "SELECT * FROM carried")
 add("block_pairing", f"SELECT repo, n, id, begin_line, begin_line + {nl('marker || content')} AS end_line FROM blocks")
 add("latest_pulls", "SELECT repo, rank, number, closed_at, merged_at FROM latest")
-add("summary_lines", f"SELECT repo, unnest(range(1, len(s) + 1)) AS rank, unnest(s) AS value FROM (SELECT repo, {summary_sql('text')} AS s FROM readmes)")
+add("summary_lines", f"SELECT repo, unnest(range(1, len(s) + 1)) AS rank, unnest(s) AS value FROM (SELECT repo, {summary_sql('text', False)} AS s FROM readmes)")
 add("important_files", "SELECT * FROM important")
 add("debt_score", "SELECT repo, debt FROM debts")
 add("debt_ranking", "SELECT repo, debt, row_number() OVER (ORDER BY debt DESC, lower(repo), repo) AS rank FROM debts")
@@ -776,7 +779,7 @@ CTES["records"] = (
     "UNION ALL SELECT repo, 'env', value, lang, file, line FROM env UNION ALL SELECT repo, 'api', method || ' ' || path, type, file, line FROM api UNION ALL SELECT repo, 'tables', value, NULL, file, line FROM tabs "
     "UNION ALL SELECT repo, 'capabilities', category, confidence || '|' || own_files || '|' || corroborated_by || '|' || keyword, file, line FROM caps "
     "UNION ALL SELECT repo, 'signals', value, lang || '|' || kind || '|' || coalesce(method, ''), file, line FROM signals "
-    f"UNION ALL SELECT repo, 'readme', NULL, unnest(s), NULL, unnest(range(1, len(s) + 1)) FROM (SELECT repo, {summary_sql('text')} AS s FROM root_readme)"
+    f"UNION ALL SELECT repo, 'readme', NULL, unnest(s), NULL, unnest(range(1, len(s) + 1)) FROM (SELECT repo, {summary_sql('text', False)} AS s FROM root_readme)"
 )
 add("evidence_sink", "SELECT * FROM records")
 

@@ -183,11 +183,11 @@ class StoredInputs(Inputs):
 
     @cached_property
     def suspects(self) -> DataFrame:
-        return cleanup.orphan_suspects(self.evidence.scanned(self.files), self.only("py_imports", "js_imports"))
+        return cleanup.orphan_suspects(self.evidence.scan(), self.only("py_imports", "js_imports"))
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return cleanup.deletion_candidates(self.tracked, self.evidence.scanned(self.files), self.only("py_imports", "js_imports"), self.mentions)
+        return cleanup.deletion_candidates(self.tracked, self.evidence.scan(), self.only("py_imports", "js_imports"), self.mentions)
 
     @cached_property
     def evidence_rows(self) -> DataFrame:

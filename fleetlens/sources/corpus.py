@@ -123,17 +123,18 @@ def scan_corpus(
     )
 
 
-def land_corpus(tracked: DataFrame, folder: str, files_per_language: int | None = None) -> None:
+def land_corpus(tracked: DataFrame, folder: str, records_per_file: int | None = None) -> None:
     """Write a corpus table (repo, path, size, content) with ``name`` and ``ext``, partitioned by language.
 
-    Rows are dealt by (language, hash of the path), so a language with most of the files spreads over
-    all tasks and each folder gets few, large files.
+    The layout follows the bytes: a rebalance by language joins small partitions and splits large ones at
+    the session's advisory size, so a language with most of the bytes gets as many tasks and files as it fills,
+    and a rare one a single file. ``records_per_file`` bounds files further.
     """
     path = F.col("path")
     ext = F.lower(paths.suffix_of(path))
     named = tracked.select("repo", "path", "size", "content", paths.name_of(path).alias("name"), ext.alias("ext"), paths.language_of(ext).alias("language"))
-    spread = F.pmod(F.xxhash64("repo", "path"), F.lit(files_per_language or 8))
-    named.repartition("language", spread).sortWithinPartitions("language", "repo", "path").write.partitionBy("language").parquet(folder)
+    writer = named.hint("rebalance", F.col("language")).write.partitionBy("language")
+    (writer.option("maxRecordsPerFile", records_per_file) if records_per_file else writer).parquet(folder)
 
 
 def analysis_scope(files: DataFrame, max_bytes: int | None = None) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import paths
 from fleetlens.functions.text import rx
+from fleetlens.session import cut_lineage
 
 PIECE = 256  # characters of a piece, besides the overlap
 # A name of word characters only occurs inside one maximal word run, one without white space inside one chunk, any other inside one line.
@@ -49,6 +50,7 @@ class MentionIndex:
 
     def unmentioned(self, names: DataFrame) -> DataFrame:
         """The rows of ``names`` (repo, stem, ...) whose stem occurs in no file with another stem."""
+        names = cut_lineage(names)  # read twice
         wanted = names.select("repo", "stem").distinct().withColumn("unit", unit_of(F.col("stem")))
         grams = self.table("grams")
         short = wanted.where(F.length("stem") < 3).join(grams.withColumnRenamed("gram", "stem"), ["repo", "unit", "stem"]).select("repo", "stem", "low_stem", "high_stem")

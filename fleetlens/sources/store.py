@@ -48,10 +48,9 @@ class EvidenceStore:
             "repo", "file", "lang", "s.kind", "s.value", "s.method", "s.line", "third_party")
         return found.where(F.col("kind").isin(sorted({KIND_OF[n] for n in names}))) if names else found
 
-    def scanned(self, files: DataFrame) -> DataFrame:
-        """The scan with the stored ``entry`` flag in place of its contents."""
-        known = self.rows.select("repo", "path", "entry")
-        return files.drop("content", "bytes", "sha256").join(known, ["repo", "path"])
+    def scan(self) -> DataFrame:
+        """The scanned files as they were landed, with the ``entry`` flag in place of their contents."""
+        return self.rows.select("repo", "path", "name", "ext", "language", "size", "text", "important", "third_party", "entry")
 
     def manifests(self) -> DataFrame:
         m = F.col("manifest")
@@ -76,7 +75,7 @@ def land(files: DataFrame, folder: str) -> EvidenceStore:
         F.when(wanted & F.col("text"), items).alias("signals"),
         F.when(is_manifest(F.col("name"), path), manifest_item()).alias("manifest"),
         technology_items().alias("technologies"), F.when(capability_scope(), capability_items()).alias("hits"),
-        F.when(F.col("text"), paths.entry_point(F.col("content"))).alias("entry"), "language",
+        "name", "ext", "size", "text", "important", F.when(F.col("text"), paths.entry_point(F.col("content"))).alias("entry"), "language",
     )
     rows.write.mode("overwrite").partitionBy("language").parquet(folder)
     return EvidenceStore(files.sparkSession, folder, rows.schema)

@@ -24,3 +24,32 @@ def test_tree_is_read_like_text_files(spark, tmp_path):
     rows = corpus.scan_corpus(corpus.read_content(tracked)).collect()
     assert {(r["repo"], r["path"]): (r["content"], r["size"], r["language"]) for r in rows} == {
         ("r1", "app/a.py"): ("x = 1\ny\nz\n", 12, "Python"), ("r2", "README.md"): ("ñ\n", 3, "Markdown")}
+
+
+def test_layout_follows_the_bytes(spark, tmp_path):
+    """One language in 99% of the rows is split over many files, the others stay whole."""
+    from fleetlens.sources.corpus import land_corpus
+
+    rows = spark.range(20_000).selectExpr(
+        "'r' AS repo", "concat('d/f', id, CASE WHEN id % 100 = 0 THEN '.sql' ELSE '.py' END) AS path", "500L AS size",
+        "concat_ws(' ', sha2(string(id), 512), sha2(string(-id), 512), sha2(string(id * 7), 512)) AS content",
+    )
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "512k")
+    try:
+        land_corpus(rows, str(tmp_path / "c"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    files = {d.name: len([*d.glob("part-*")]) for d in (tmp_path / "c").glob("language=*")}
+    stored = spark.read.parquet(str(tmp_path / "c"))
+    assert files["language=Python"] >= 8 and files["language=SQL"] <= 2 and stored.count() == 20_000
+
+
+def test_summary_lines_are_whole(spark):
+    from fleetlens.operators.evidence import summary_lines
+
+    text = "![badge](x)\n\n" + "\n".join(f"{n} " + "y" * 400 for n in range(60))
+    rows = spark.createDataFrame([("r", text)], "repo string, text string")
+    found = summary_lines(rows).orderBy("rank").collect()
+    assert [r.value for r in found] == text.split("\n")[2:]
+    assert [len(r.value) for r in summary_lines(rows, 35, 240).collect()] == [243] * 35
