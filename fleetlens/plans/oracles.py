@@ -653,6 +653,17 @@ CTES["parts"] = (
 CTES["printed"] = "SELECT repo, part || ':' || entry || '*' || count(*) AS l FROM parts WHERE part IS NOT NULL GROUP BY repo, part, entry"
 CTES["prints"] = "SELECT repo, left(md5(l), 4) AS bucket, sha256(string_agg(l, chr(10) ORDER BY encode(l))) AS s FROM printed GROUP BY ALL"
 add("fingerprint", "SELECT repo, sha256(coalesce(string_agg(bucket || s, '' ORDER BY bucket), '')) AS sha, count(bucket) AS buckets FROM (SELECT DISTINCT repo FROM files) LEFT JOIN prints USING (repo) GROUP BY repo")
+CTES["file_parts"] = (
+    "SELECT repo, 'api' AS part, method || ' ' || path AS entry FROM api UNION ALL SELECT repo, 'dependencies', file || '::' || name || '@' || coalesce(version, '') FROM deps "
+    "UNION ALL SELECT repo, 'env', value FROM (SELECT DISTINCT repo, file, value FROM signals WHERE kind = 'env_var') "
+    "UNION ALL SELECT repo, 'important_files', path FROM important UNION ALL SELECT repo, 'scripts', name || '=' || command FROM scripts "
+    "UNION ALL SELECT repo, 'tables', value FROM tabs "
+    "UNION ALL SELECT repo, 'technologies', tech || ':' || ['declared', 'imported', 'vendored'][rank + 1] FROM (SELECT DISTINCT repo, file, tech, rank FROM ev WHERE rank < 3)"
+)
+LANE_SUMS = ", ".join(f"coalesce(sum(CAST('0x' || substr(h, {15 * n + 1}, 15) AS HUGEINT)), 0) AS l{n}" for n in range(4))
+CTES["lanes"] = f"SELECT repo, count(*) AS entries, {LANE_SUMS} FROM (SELECT repo, sha256(part || ':' || entry) AS h FROM file_parts) GROUP BY repo"
+add("fingerprint_updated", "SELECT f.repo, f.n AS files, coalesce(entries, 0) AS entries, sha256(concat_ws(':', coalesce(entries, 0), coalesce(l0, 0), coalesce(l1, 0), coalesce(l2, 0), coalesce(l3, 0))) AS sha "
+    "FROM (SELECT repo, count(*) AS n FROM files GROUP BY repo) f LEFT JOIN lanes USING (repo)")
 add("health_facts", "SELECT * FROM health")
 
 
@@ -782,6 +793,8 @@ CTES["records"] = (
     f"UNION ALL SELECT repo, 'readme', NULL, unnest(s), NULL, unnest(range(1, len(s) + 1)) FROM (SELECT repo, {summary_sql('text', False)} AS s FROM root_readme)"
 )
 add("evidence_sink", "SELECT * FROM records")
+add("evidence_replaced", "SELECT * FROM records")
+add("store_replaced", "SELECT * FROM signals")
 
 
 def digest_section(number: int, limit: int, source: str, order: str, line: str, where: str = "true") -> str:

@@ -18,6 +18,7 @@ from fleetlens.operators import (
 from fleetlens.plans import derived as d
 from fleetlens.session import checkpoint_dir
 from fleetlens.sources import corpus, mentions, sinks, store
+from fleetlens.sources.buckets import BucketTable
 from fleetlens.streaming import gate
 
 SCOPE = "repo_"
@@ -202,7 +203,7 @@ class StoredInputs(Inputs):
 # Queries over extracted evidence; all others start from file contents.
 FROM_STORE = {
     "evidence_sink", "card_sink", "conclusive_only", "normalize_token", "tech_for", "tech_mentioned_only",
-    "capability_corroboration", "orphan_by_import", "orphan_by_mention", "verdict_join", "cleanup_summary", "fingerprint", "repo_card",
+    "capability_corroboration", "orphan_by_import", "orphan_by_mention", "verdict_join", "cleanup_summary", "fingerprint", "fingerprint_updated", "repo_card",
     "private_rollup", "run_inventory", "weak_signals", "validation_summary", "context_digest", "candidate_order",
     "manifest_order", "deletion_candidates", "claims_minus_evidence", "claims_env", "claims_endpoints",
     "claims_technologies", "claims_tables", "claims_commands", "known_commands", "env_example_rows", "api_doc_rows",
@@ -278,6 +279,40 @@ def _evidence_sink(i: Inputs) -> DataFrame:
     return i.spark.read.schema(records.schema).parquet(folder)
 
 
+def _earlier(files: DataFrame) -> DataFrame:
+    """The corpus as an earlier run may have seen it: some files missing, some different, some repositories that are gone by now."""
+    repo, path = F.crc32("repo"), F.crc32("path")
+    older = files.where((repo % 3 != 0) | (path % 4 != 0)).withColumn(
+        "content", F.when((repo % 3 == 0) & (path % 4 == 1), F.concat(F.col("content"), F.lit("\nimport older\n"))).otherwise(F.col("content")))
+    return older.unionByName(files.where((repo % 5 == 0) & (path % 4 == 2)).withColumn("repo", F.concat(F.lit("gone_"), F.col("repo"))))
+
+
+@query("store_replaced")
+def _store_replaced(i: Inputs) -> DataFrame:
+    """Signals of a store landed from an earlier corpus and brought up to date bucket by bucket."""
+    folder = i.scratch("replaced")
+    store.land_changed(_earlier(i.files), folder, 32)
+    return store.land_changed(i.files, folder, 32)[0].signals()
+
+
+@query("evidence_replaced")
+def _evidence_replaced(i: Inputs) -> DataFrame:
+    """Evidence records written from an earlier corpus and brought up to date bucket by bucket."""
+    folder = i.scratch("records")
+
+    def records(files: DataFrame) -> DataFrame:
+        part = store.land(files, i.scratch("part"))
+        found, techs = part.manifests(), provenance.provenance_rank(part.technology_evidence())
+        support = provenance.capability_corroboration(techs, manifests.declared_dependencies(found))
+        caps = provenance.capability_signals(part.capability_hits(), support)
+        return sinks.evidence_records(files, part.signals(), found, techs, caps, evidence.existing_readme(files))
+
+    sinks.evidence_replace(_earlier(i.files), records, folder, 32)
+    sinks.evidence_replace(i.files, records, folder, 32)
+    schema = "repo string, section string, name string, detail string, file string, line bigint"
+    return BucketTable(i.spark, folder, 32).read(schema)
+
+
 @query("card_sink")
 def _card_sink(i: Inputs) -> DataFrame:
     folder = i.scratch("cards")
@@ -419,6 +454,22 @@ def _pii_scan(i: Inputs) -> DataFrame:
 put("personal_emails", lambda i: pii.personal_emails(i.documents))
 put("cleanup_summary", lambda i: cleanup.cleanup_summary(i.candidates, i.files))
 put("fingerprint", lambda i: i.fingerprints)
+
+
+@query("fingerprint_updated")
+def _fingerprint_updated(i: Inputs) -> DataFrame:
+    """Prints held from an earlier corpus, updated from the files that changed, came or went since."""
+    now = fingerprint.file_parts(i.evidence.scan(), i.signals, i.manifests, i.evidence_rows)
+    path = F.crc32("path")
+    came, changed, went = path % 5 == 0, path % 3 == 0, path % 7 == 0
+    then = now.where(~came).withColumn("entry", F.when(changed, F.concat("entry", F.lit("~"))).otherwise(F.col("entry")))
+    older = now.where(went).withColumn("path", F.concat(F.lit("gone/"), F.col("path")))
+    held = fingerprint.repo_prints(fingerprint.file_prints(then.unionByName(older)))
+    before = fingerprint.file_prints(then.where(changed).unionByName(older))
+    after = fingerprint.file_prints(now.where(came | changed))
+    return fingerprint.print_sha(fingerprint.updated_prints(held, before, after))
+
+
 put("health_facts", lambda i: fleet.health_facts(i.files))
 put("repo_card", lambda i: i.cards.select(
     "repo", "private", "debt", *[f"n_{n}" for n in fleet.CARD_COUNTS], joined("languages"), joined("technologies")))

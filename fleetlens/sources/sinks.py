@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from fleetlens.operators.evidence import (
 )
 from fleetlens.operators.manifests import declared_dependencies, npm_scripts
 from fleetlens.operators.fleet import leak_check, private_rollup, public_view
+from fleetlens.sources.buckets import BUCKETS, BucketTable
 
 
 def evidence_records(
@@ -56,6 +58,14 @@ def evidence_sink(records: DataFrame, path: str) -> None:
     records.write.mode("overwrite").partitionBy("section").parquet(path)
 
 
+def evidence_replace(files: DataFrame, records: Callable[[DataFrame], DataFrame], path: str, buckets: int = BUCKETS) -> list[int]:
+    """The records under ``path`` brought up to ``files``; returns the buckets of repositories that were rewritten.
+
+    ``records`` makes the evidence records of the files it is given: those of changed buckets only.
+    """
+    return BucketTable(files.sparkSession, path, buckets).replace(files, records, ("section",))
+
+
 def card_json(cards: DataFrame) -> DataFrame:
     """(repo, private, text): each card as one JSON text."""
     return cards.select("repo", "private", F.to_json(F.struct(*[F.col(c) for c in cards.columns])).alias("text"))

@@ -18,6 +18,7 @@ from fleetlens.functions.text import fold
 from fleetlens.operators.extract import EXTRACTORS, LANGUAGES_OF, signal_items
 from fleetlens.operators.manifests import is_manifest, manifest_item
 from fleetlens.operators.provenance import capability_items, capability_scope, technology_items
+from fleetlens.sources.buckets import BUCKETS, BucketTable
 
 KIND_OF = {
     "py_imports": "import", "py_functions": "function", "py_classes": "class", "py_routes": "route",
@@ -36,7 +37,7 @@ class EvidenceStore:
 
     @property
     def rows(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.folder)
+        return self.spark.read.schema(self.schema).parquet(self.folder).where("repo is not null")
 
     def signals(self, *names: str) -> DataFrame:
         """Stored signals of the chosen extractors; only the folders of their languages are read."""
@@ -66,16 +67,32 @@ class EvidenceStore:
         return self.rows.where("hits is not null").select("repo", F.col("path").alias("file"), "third_party", F.inline("hits"))
 
 
-def land(files: DataFrame, folder: str) -> EvidenceStore:
-    """Extract every kind of evidence of a corpus into ``folder``: one scan of the contents, one write."""
+def evidence_rows(files: DataFrame) -> DataFrame:
+    """One row per file with every kind of evidence in nested columns: a projection of one scan."""
     wanted, label, items = signal_items(tuple(EXTRACTORS))
     path = F.col("path")
-    rows = files.withColumn("_folded", fold(F.col("content"))).select(
+    return files.withColumn("_folded", fold(F.col("content"))).select(
         "repo", "path", "third_party", paths.depth_of(path).alias("depth"), label.alias("lang"),
         F.when(wanted & F.col("text"), items).alias("signals"),
         F.when(is_manifest(F.col("name"), path), manifest_item()).alias("manifest"),
         technology_items().alias("technologies"), F.when(capability_scope(), capability_items()).alias("hits"),
         "name", "ext", "size", "text", "important", F.when(F.col("text"), paths.entry_point(F.col("content"))).alias("entry"), "language",
     )
+
+
+def land(files: DataFrame, folder: str) -> EvidenceStore:
+    """Extract every kind of evidence of a corpus into ``folder``: one scan of the contents, one write."""
+    rows = evidence_rows(files)
     rows.write.mode("overwrite").partitionBy("language").parquet(folder)
     return EvidenceStore(files.sparkSession, folder, rows.schema)
+
+
+def land_changed(files: DataFrame, folder: str, buckets: int = BUCKETS) -> tuple[EvidenceStore, list[int]]:
+    """The store brought up to ``files``: only buckets of repositories with changed files are extracted and rewritten.
+
+    Returns the store and the rewritten buckets. The partition is the bucket; rows are sorted by language within it,
+    so readers skip the row groups of other languages.
+    """
+    table = BucketTable(files.sparkSession, folder, buckets)
+    done = table.replace(files, evidence_rows, ("language",))
+    return EvidenceStore(files.sparkSession, f"{folder}/rows", evidence_rows(files).schema), done

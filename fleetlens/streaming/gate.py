@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fleetlens.operators.extract import signals
+from fleetlens.operators.extract import EXTRACTORS, signal_items
 from fleetlens.operators.pii import pii_scan
-from fleetlens.sources.corpus import scan_corpus
+from fleetlens.sources.corpus import analysis_scope, scan_corpus
 
 CORPUS_SCHEMA = "repo string, path string, size bigint, content string"
 
@@ -77,13 +77,32 @@ def stream_corpus(spark: SparkSession, folder: str, max_files: int = 1000) -> Da
     return spark.readStream.schema(CORPUS_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(folder)
 
 
-def stream_evidence(corpus: DataFrame, output: str, checkpoint: str, kind: str = "signals", **trigger) -> StreamingQuery:
-    """Arriving files through the stateless extractors (``signals``) or the PII scan (``pii``).
+def _once(rows: DataFrame, keys: list[str], remember: str) -> DataFrame:
+    """Rows whose keys were not seen in the time ``remember`` before; the time is that of arrival."""
+    timed = rows.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", remember)
+    return timed.dropDuplicatesWithinWatermark(keys).drop("_arrived")
 
-    The operators are projections, so the stream needs no state and no watermark.
+
+def stream_evidence(
+    corpus: DataFrame, output: str, checkpoint: str, kind: str = "signals", remember: str = "7 days", **trigger
+) -> StreamingQuery:
+    """Arriving files through the extractors (``signals``) or the PII scan (``pii``).
+
+    A file that arrives again with a content it had within the time ``remember`` is reported once, a changed one
+    again. The state holds repository, path and sha256 of files that had something to report, and the watermark
+    drops them after that time. A file's evidence is one nested row until then, so its contents are not shuffled.
     """
     files = scan_corpus(corpus)
-    found = signals(files) if kind == "signals" else pii_scan(files)
+    if kind == "signals":
+        wanted, label, items = signal_items(tuple(EXTRACTORS))
+        rows = analysis_scope(files).where(wanted).select(
+            "repo", F.col("path").alias("file"), label.alias("lang"), "third_party", items.alias("items"),
+            F.sha2(F.col("content").cast("binary"), 256).alias("sha256"))
+        fresh = _once(rows.where(F.size("items") > 0), ["repo", "file", "sha256"], remember)
+        found = fresh.select("repo", "file", "lang", "third_party", F.explode("items").alias("s")).select(
+            "repo", "file", "lang", "s.kind", "s.value", "s.method", "s.line", "third_party")
+    else:
+        found = _once(pii_scan(files), ["repo", "path", "sha256"], remember)
     return (
         found.writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint)
         .outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
