@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+import tempfile
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -41,31 +46,148 @@ def changes(arrivals: DataFrame, previous: DataFrame | None = None, bucket_secon
 
 
 CHANGES = "repo string, sha string, ts timestamp, tie bigint"
+PLACED = "repo string, sha string, micros bigint, tie bigint"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+NO_PLACE = -(2**63)  # a missing time or tie comes first
+FAN_IN = 64
+MERGE_ROWS = 5_000
+
+
+def _spilled(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One sorted run written to a nameless file, which ends with the task; its frames on demand."""
+    file, writer = tempfile.TemporaryFile(), None
+    for frame in frames:
+        table = pa.Table.from_pandas(frame, preserve_index=False)
+        writer = writer or pa.ipc.new_stream(file, table.schema)
+        writer.write_table(table, max_chunksize=MERGE_ROWS)
+    writer.close()
+    file.seek(0)
+    with file:
+        yield from (batch.to_pandas() for batch in pa.ipc.open_stream(file))
+
+
+def _written(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The run of ``frames``, written now and read later."""
+    run = _spilled(frames)
+    return itertools.chain([next(run)], run)
+
+
+def _sorted(frames: list[pd.DataFrame]) -> pd.DataFrame:
+    frame = frames[0] if len(frames) == 1 else pd.concat(frames)
+    return frame if len(frame) == 1 else frame.take(np.lexsort((frame["tie"].to_numpy(), frame["micros"].to_numpy())))
+
+
+def _places(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return frame["micros"].to_numpy(), frame["tie"].to_numpy()
+
+
+def _upto(places: tuple[np.ndarray, np.ndarray], bound: tuple[int, int]) -> int:
+    """How many leading rows of a sorted frame stand at ``bound`` or before."""
+    micros, tie = places
+    low, high = np.searchsorted(micros, bound[0], "left"), np.searchsorted(micros, bound[0], "right")
+    return int(low + np.searchsorted(tie[low:high], bound[1], "right"))
+
+
+def _merged(runs: list[Iterator[pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+    """Sorted runs as one; a step passes on all rows up to the smallest last place of the frames at hand."""
+    heads = [[next(run), 0, run] for run in runs]  # frame, rows passed on, the rest of the run
+    places = [_places(head[0]) for head in heads]
+    while heads:
+        bound = min((micros[-1], tie[-1]) for micros, tie in places)
+        ready = []
+        for n, (frame, passed, run) in enumerate(heads):
+            upto = _upto(places[n], bound)
+            if upto > passed:
+                ready.append(frame.iloc[passed:upto])
+            heads[n][1] = upto
+            if upto == len(frame):
+                heads[n][:2] = next(run, None), 0
+                places[n] = None if heads[n][0] is None else _places(heads[n][0])
+        heads = [head for head in heads if head[0] is not None]
+        places = [place for place in places if place is not None]
+        yield _sorted(ready)
+
+
+def in_order(frames: Iterable[pd.DataFrame], held_rows: int) -> Iterator[pd.DataFrame]:
+    """``frames`` sorted by (micros, tie) with about ``held_rows`` rows in memory: an external merge sort by levels."""
+    levels: list[list[Iterator[pd.DataFrame]]] = [[]]
+    held: list[pd.DataFrame] = []
+
+    def spill() -> None:
+        levels[0].append(_written([_sorted(held)]))
+        held.clear()
+        for depth, level in enumerate(levels):
+            if len(level) == FAN_IN:
+                if depth + 1 == len(levels):
+                    levels.append([])
+                levels[depth + 1].append(_written(_merged(level)))
+                level.clear()
+
+    count = 0
+    for frame in frames:
+        held.append(frame)
+        count += len(frame)
+        if count >= held_rows:
+            spill()
+            count = 0
+    runs = [run for level in reversed(levels) for run in level]
+    if held and not runs:
+        yield _sorted(held)
+    else:
+        yield from _merged(runs + ([iter([_sorted(held)])] if held else []))
+
+
+def _changed(held_rows: int):
+    def changed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """The arrivals of one repository whose sha differs from the one before; the state is the last sha."""
+        last = state.get[0] if state.exists else None
+        for frame in in_order(frames, held_rows):
+            shas = frame["sha"].to_numpy()
+            differs = np.append(last is None or shas[0] != last, shas[1:] != shas[:-1])
+            last = shas[-1]
+            yield frame[differs]
+        state.update((last,))
 
+    return changed
 
-def _changed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The arrivals of one repository in one micro-batch against its last value."""
-    rows = pd.concat(batches).sort_values(["ts", "tie"], kind="stable")
-    before = rows["sha"].shift()
-    before.iloc[0] = state.get[0] if state.exists else None
-    state.update((rows["sha"].iloc[-1],))
-    yield rows[before.isna() | (before != rows["sha"])]
 
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB; others keep the session's provider."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
 
-def stream_change_gate(arrivals: DataFrame, output: str, checkpoint: str, **trigger) -> StreamingQuery:
+
+def stream_change_gate(
+    arrivals: DataFrame, output: str, checkpoint: str, held_rows: int = 200_000, **trigger
+) -> StreamingQuery:
     """Emit a repository only when its fingerprint differs from the last one seen.
 
-    ``arrivals`` streams (repo, sha, seq); arrivals without a sha say nothing. The state store holds
-    one value per repository, so a batch costs what it brings and the state grows with the
-    repositories only; a task holds the three small columns of one repository's arrivals in one
-    micro-batch. ``output`` must be in shared storage.
+    ``arrivals`` streams (repo, sha, seq); arrivals without a sha say nothing, a missing part of seq comes first.
+    The state store (RocksDB, off the heap) holds one value per repository, so a batch costs what it brings and the
+    state grows with the repositories only. A task takes arrivals one Arrow batch at a time and holds ``held_rows``
+    of them; more go to sorted runs on its disk, so a hot repository never stands in one frame. ``output`` must be
+    in shared storage.
     """
-    flat = arrivals.where("sha is not null").select("repo", "sha", "seq.ts", F.col("seq.tie").cast("bigint").alias("tie"))
-    found = flat.groupBy("repo").applyInPandasWithState(_changed, CHANGES, "sha string", "append", GroupStateTimeout.NoTimeout)
-    return (
-        found.writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
-    )
+    spark = arrivals.sparkSession
+    missing = F.lit(NO_PLACE).cast("bigint")
+    placed = arrivals.where("sha is not null").select(
+        "repo", "sha", F.coalesce(F.unix_micros("seq.ts"), missing).alias("micros"),
+        F.coalesce(F.col("seq.tie").cast("bigint"), missing).alias("tie"))
+    gated = placed.groupBy("repo").applyInPandasWithState(
+        _changed(held_rows), PLACED, "sha string", "append", GroupStateTimeout.NoTimeout)
+    found = gated.select(
+        "repo", "sha", F.timestamp_micros(F.nullif("micros", missing)).alias("ts"), F.nullif("tie", missing).alias("tie"))
+    with _rocksdb(spark):
+        return (
+            found.writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
+        )
 
 
 def read_changes(spark: SparkSession, output: str) -> DataFrame:
