@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens import dims
 from fleetlens.functions import paths
+from fleetlens.sources import tree
 
 INVENTORY = ("path", "name", "ext", "language", "size", "text", "important", "third_party")
 
@@ -28,7 +28,8 @@ def read_tree(spark: SparkSession, root: str, repo_depth: int = 1) -> DataFrame:
     The first ``repo_depth`` folders below the root name the repository. Meant
     for landing a tree once; write the result as a corpus table for queries.
     Spark's file listing leaves out names that start with ``.`` or ``_``: where
-    those matter (``.gitignore``, ``__init__.py``), use :func:`read_paths`.
+    those matter (``.gitignore``, ``__init__.py``), use :func:`read_paths` or
+    :func:`fleetlens.sources.tree.read_files`.
     """
     base = root.rstrip("/") + "/"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -43,36 +44,14 @@ def read_tree(spark: SparkSession, root: str, repo_depth: int = 1) -> DataFrame:
     )
 
 
-READ_CHUNK = 64 * 1024 * 1024
-
-
 def read_paths(tracked_paths: DataFrame, root: str) -> DataFrame:
-    """(repo, path, size, bytes) of listed files (repo, path) in a shared file system.
+    """(repo, path, size, bytes) of listed files (repo, path[, size]) in shared storage.
 
-    For the list a version control index gives, hidden names included. Each
-    task opens its own files and hands them on in chunks of bounded size; a file
-    that cannot be opened keeps its row with null bytes.
+    For the list a version control index gives, hidden names included. With a ``size``
+    column the files are laid out by their bytes first; a file that cannot be opened
+    keeps its row with null bytes (see :mod:`fleetlens.sources.tree`).
     """
-    def read(batches):
-        for batch in batches:
-            rows, held = [], 0
-            for repo, path in zip(batch["repo"], batch["path"]):
-                try:
-                    with open(f"{root}/{repo}/{path}", "rb") as handle:
-                        data = handle.read()
-                except OSError:
-                    data = None
-                size = len(data or b"")
-                rows.append((repo, path, size, data))
-                held += size
-                if held >= READ_CHUNK:
-                    yield pd.DataFrame(rows, columns=["repo", "path", "size", "bytes"])
-                    rows, held = [], 0
-            if rows:
-                yield pd.DataFrame(rows, columns=["repo", "path", "size", "bytes"])
-
-    schema = "repo string, path string, size bigint, bytes binary"
-    return tracked_paths.select("repo", "path").mapInPandas(read, schema)
+    return tree.read_listed(tree.by_bytes(tracked_paths) if "size" in tracked_paths.columns else tracked_paths, root)
 
 
 def read_content(tracked: DataFrame) -> DataFrame:
