@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyarrow import fs
@@ -79,17 +80,20 @@ def _children(folders: DataFrame, root: str, skipped: tuple[str, ...], deep: boo
     return folders.select("repo", "path").mapInPandas(listed, LISTED)
 
 
-def list_tree(repos: DataFrame, root: str, skipped: tuple[str, ...] = SKIPPED_FOLDERS) -> DataFrame:
+def list_tree(repos: DataFrame, root: str, skipped: tuple[str, ...] = SKIPPED_FOLDERS, spread: int = 2) -> DataFrame:
     """(repo, path, size) of all files below the folders ``repo``; a folder that is not there has none.
 
-    The folders right below a repository are dealt to tasks one by one, so a hot repository is listed by many.
-    Links are followed as the file system follows them.
+    The first ``spread`` levels below a repository are listed one by one and their folders dealt to all tasks, so
+    a hot repository is listed by many; what lies deeper in a folder is walked by its task. Links are followed as
+    the file system follows them.
     """
-    top = cut_lineage(_children(repos.select("repo", F.lit("").alias("path")), root, skipped, deep=False))
-    folders = top.where("size is null")
     tasks = max(1, repos.sparkSession.sparkContext.defaultParallelism)
-    dealt = folders.repartition(tasks, "repo", "path")
-    return top.where("size is not null").unionByName(_children(dealt, root, skipped, deep=True))
+    folders, found = repos.select("repo", F.lit("").alias("path")), []
+    for _ in range(spread):
+        level = cut_lineage(_children(folders, root, skipped, deep=False))
+        found.append(level.where("size is not null"))
+        folders = level.where("size is null").repartition(tasks, "repo", "path")
+    return reduce(DataFrame.unionByName, found, _children(folders, root, skipped, deep=True))
 
 
 def by_bytes(listed: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:

@@ -36,6 +36,14 @@ def test_repositories_two_levels_deep(spark, tmp_path):
     assert sorted(map(tuple, listed.collect())) == [("org/r1", "a.py", 1), ("org/r2", ".b/c", 1), ("other/r1", "d", 1)]
 
 
+def test_every_spread_lists_the_same(spark, tmp_path):
+    write(tmp_path, {f"r/{'d/' * n}f{n}": b"x" * n for n in range(5)})
+    repos = tree.repositories(spark, str(tmp_path))
+    for spread in (0, 1, 2, 7):
+        listed = tree.list_tree(repos, str(tmp_path), spread=spread).collect()
+        assert sorted((r.path, r.size) for r in listed) == sorted(("d/" * n + f"f{n}", n) for n in range(5))
+
+
 def test_an_empty_root(spark, tmp_path):
     assert tree.read_files(spark, str(tmp_path)).collect() == []
 
