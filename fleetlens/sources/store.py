@@ -19,6 +19,7 @@ from fleetlens.operators.extract import EXTRACTORS, LANGUAGES_OF, signal_items
 from fleetlens.operators.manifests import is_manifest, manifest_item
 from fleetlens.operators.provenance import capability_items, capability_scope, technology_items
 from fleetlens.sources.buckets import BUCKETS, BucketTable
+from fleetlens.sources.corpus import spread
 
 KIND_OF = {
     "py_imports": "import", "py_functions": "function", "py_classes": "class", "py_routes": "route",
@@ -81,8 +82,8 @@ def evidence_rows(files: DataFrame) -> DataFrame:
 
 
 def land(files: DataFrame, folder: str) -> EvidenceStore:
-    """Extract every kind of evidence of a corpus into ``folder``: one scan of the contents, one write."""
-    rows = evidence_rows(files)
+    """Extract every kind of evidence of a corpus into ``folder``: one scan of the contents, one write, by tasks of like work."""
+    rows = evidence_rows(spread(files))
     rows.write.mode("overwrite").partitionBy("language").parquet(folder)
     return EvidenceStore(files.sparkSession, folder, rows.schema)
 
@@ -94,5 +95,5 @@ def land_changed(files: DataFrame, folder: str, buckets: int = BUCKETS) -> tuple
     so readers skip the row groups of other languages.
     """
     table = BucketTable(files.sparkSession, folder, buckets)
-    done = table.replace(files, evidence_rows, ("language",))
+    done = table.replace(files, lambda chosen: evidence_rows(spread(chosen)), ("language",))
     return EvidenceStore(files.sparkSession, f"{folder}/rows", evidence_rows(files).schema), done
