@@ -32,7 +32,7 @@ def main() -> None:
     StoredInputs(spark, folder).evidence.signals().count()
     timings["land_evidence"] = round(time.perf_counter() - start, 3)
     start = time.perf_counter()
-    StoredInputs(spark, folder).mentions.table("grams").count()
+    StoredInputs(spark, folder).mentions.table("units").count()
     timings["land_mentions"] = round(time.perf_counter() - start, 3)
     for name in HEADLINE:
         start = time.perf_counter()

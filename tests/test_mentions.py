@@ -49,3 +49,30 @@ def test_candidates_read_no_text(spark, corpus_of, tmp_path):
     with_index = cleanup.deletion_candidates(flagged, flagged, signals, index)
     plain = cleanup.deletion_candidates(files, files, signals)
     assert sorted(map(tuple, with_index.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_names_of_few_letters_cost_no_product(spark, corpus_of, tmp_path):
+    """Numbered names share all their trigrams with all units; places compared grow with the names, not with their square."""
+    def compared(bits):
+        names = [f"tool_{n:0{bits}b}" for n in range(2 ** bits)]
+        contents = {("r", f"lib/{s}.py"): f"see {names[k - 1]}x" if k % 2 else "" for k, s in enumerate(names)}
+        index, suspects = check(corpus_of(contents), contents, tmp_path / str(bits))
+        return index.candidates(suspects).count()
+
+    few, many = compared(6), compared(9)
+    assert many <= 10 * few
+
+
+def test_files_are_spread_by_weight(spark, corpus_of):
+    """Files are dealt to tasks by their characters, however well they compress; none is lost and languages stay together."""
+    from fleetlens.sources.corpus import spread
+
+    contents = {("r", f"a/m_{n}.py"): "x = 1\n" * 2000 for n in range(400)} | {("r", "b.sql"): "select 1", ("r", "c.md"): "# c"}
+    files = corpus_of(contents)
+    dealt = spread(files, 256 * 1024).select("path", "language", F.spark_partition_id().alias("p"))
+    rows = dealt.collect()
+    assert sorted(r.path for r in rows) == sorted(path for _, path in contents)
+    sizes = {}
+    for r in rows:
+        sizes[r.p] = sizes.get(r.p, 0) + len(contents["r", r.path]) + 256
+    assert len(sizes) >= 15 and max(sizes.values()) < 3 * 256 * 1024
