@@ -72,11 +72,12 @@ def evidence_rows(files: DataFrame) -> DataFrame:
     """One row per file with every kind of evidence in nested columns: a projection of one scan."""
     wanted, label, items = signal_items(tuple(EXTRACTORS))
     path = F.col("path")
-    return files.withColumn("_folded", fold(F.col("content"))).select(
-        "repo", "path", "third_party", paths.depth_of(path).alias("depth"), label.alias("lang"),
-        F.when(wanted & F.col("text"), items).alias("signals"),
-        F.when(is_manifest(F.col("name"), path), manifest_item()).alias("manifest"),
-        technology_items().alias("technologies"), F.when(capability_scope(), capability_items()).alias("hits"),
+    # Signals and manifests are read once; the technologies of imports and dependencies follow from them.
+    read = files.withColumn("signals", F.when(wanted & F.col("text"), items)).withColumn(
+        "manifest", F.when(is_manifest(F.col("name"), path), manifest_item()))
+    return read.withColumn("_folded", fold(F.col("content"))).select(
+        "repo", "path", "third_party", paths.depth_of(path).alias("depth"), label.alias("lang"), "signals", "manifest",
+        technology_items(dependencies="manifest.dependencies", signals="signals").alias("technologies"), F.when(capability_scope(), capability_items()).alias("hits"),
         "name", "ext", "size", "text", "important", F.when(F.col("text"), paths.entry_point(F.col("content"))).alias("entry"), "language",
     )
 
