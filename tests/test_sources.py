@@ -53,3 +53,15 @@ def test_summary_lines_are_whole(spark):
     found = summary_lines(rows).orderBy("rank").collect()
     assert [r.value for r in found] == text.split("\n")[2:]
     assert [len(r.value) for r in summary_lines(rows, 35, 240).collect()] == [243] * 35
+
+
+def test_repetitive_texts_are_stored_in_files_of_bounded_rows(spark, tmp_path):
+    """Texts that shrink to nothing on disk do not end in one file, which a single task would have to read."""
+    from fleetlens.sources.corpus import FILE_RECORDS, land_corpus
+
+    rows = spark.range(3 * FILE_RECORDS - 1).selectExpr(
+        "'r' AS repo", "concat('d/f', id, '.sql') AS path", "500L AS size", "repeat('select 1;', 50) AS content")
+    land_corpus(rows, str(tmp_path / "c"))
+    stored = spark.read.parquet(str(tmp_path / "c"))
+    held = [r["count"] for r in stored.groupBy("_metadata.file_path").count().collect()]
+    assert sum(held) == 3 * FILE_RECORDS - 1 and max(held) <= FILE_RECORDS
