@@ -68,23 +68,35 @@ class EvidenceStore:
         return self.rows.where("hits is not null").select("repo", F.col("path").alias("file"), "third_party", F.inline("hits"))
 
 
-def evidence_rows(files: DataFrame) -> DataFrame:
-    """One row per file with every kind of evidence in nested columns: a projection of one scan."""
+PARTS = ("signals", "manifest", "technologies", "hits", "entry")
+
+
+def evidence_rows(files: DataFrame, parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """One row per file with every kind of evidence in nested columns, or the chosen ``parts``: a projection of one scan."""
     wanted, label, items = signal_items(tuple(EXTRACTORS))
     path = F.col("path")
-    # Signals and manifests are read once; the technologies of imports and dependencies follow from them.
-    read = files.withColumn("signals", F.when(wanted & F.col("text"), items)).withColumn(
-        "manifest", F.when(is_manifest(F.col("name"), path), manifest_item()))
+    # Signals and manifests are read once; where both are held, the technologies of imports and dependencies follow from them.
+    read = files
+    if "signals" in parts:
+        read = read.withColumn("signals", F.when(wanted & F.col("text"), items))
+    if "manifest" in parts:
+        read = read.withColumn("manifest", F.when(is_manifest(F.col("name"), path), manifest_item()))
+    technologies = technology_items(
+        dependencies="manifest.dependencies" if "manifest" in parts else None, signals="signals" if "signals" in parts else None)
+    made = {
+        "signals": F.col("signals"), "manifest": F.col("manifest"), "technologies": technologies,
+        "hits": F.when(capability_scope(), capability_items()),
+    }
+    entry = F.when(F.col("text"), paths.entry_point(F.col("content"))).alias("entry")
     return read.withColumn("_folded", fold(F.col("content"))).select(
-        "repo", "path", "third_party", paths.depth_of(path).alias("depth"), label.alias("lang"), "signals", "manifest",
-        technology_items(dependencies="manifest.dependencies", signals="signals").alias("technologies"), F.when(capability_scope(), capability_items()).alias("hits"),
-        "name", "ext", "size", "text", "important", F.when(F.col("text"), paths.entry_point(F.col("content"))).alias("entry"), "language",
+        "repo", "path", "third_party", paths.depth_of(path).alias("depth"), label.alias("lang"), *[c.alias(p) for p, c in made.items() if p in parts],
+        "name", "ext", "size", "text", "important", *([entry] if "entry" in parts else []), "language",
     )
 
 
-def land(files: DataFrame, folder: str) -> EvidenceStore:
-    """Extract every kind of evidence of a corpus into ``folder``: one scan of the contents, one write, by tasks of like work."""
-    rows = evidence_rows(spread(files))
+def land(files: DataFrame, folder: str, parts: tuple[str, ...] = PARTS) -> EvidenceStore:
+    """Extract every kind of evidence of a corpus, or the chosen ``parts``, into ``folder``: one scan of the contents, one write, by tasks of like work."""
+    rows = evidence_rows(spread(files), parts)
     rows.write.mode("overwrite").partitionBy("language").parquet(folder)
     return EvidenceStore(files.sparkSession, folder, rows.schema)
 
