@@ -65,6 +65,31 @@ def test_encoder_equals_whole_texts(name, leading, documents):
         assert [x.tolist() for x in encoder.encode(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name,leading", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_encoder_cuts_where_the_vocabulary_cuts(name, leading):
+    parts = ["ab", "Zq", "é", "É", "ß", "ж", "Ж", "中", "ſ", "e\u0301", "\u0338", "7", "٣", ".", ",", "!!", "$$$", "-", "_", "'", "'s", "'S", "<|endoftext|>", "|>", "😀",
+             " ", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x00", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u200b", "\u3000", "«", "×", "÷", "İ", "Σ"]
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(parts, k=rng.randrange(14))) for _ in range(4000)]
+    path = public_tokenizers.path(name)
+    encoder, plain = Encoder(path, leading), Tokenizer.from_file(path)
+    for at in range(0, len(texts), 500):
+        own = [x.tolist() for x in encoder.encode(texts[at : at + 500])]
+        assert own == [plain.encode(t, add_special_tokens=False).ids for t in texts[at : at + 500]]
+
+
+def test_encoder_meets_a_word_once_and_remembers_little(monkeypatch):
+    encoder = Encoder(public_tokenizers.path("word_bpe_49k.json"), False)
+    slow, asked = encoder._together, []
+    monkeypatch.setattr(encoder, "_together", lambda keys: asked.extend(keys) or slow(keys))
+    encoder.encode(["alpha, Alpha alpha. alpha!! été, été"])
+    assert sum(b"alpha" in k for k in encoder.known) == 1  # not once for each mark after it
+    assert not {b"alpha", "été".encode()} & {*asked}  # letters alone go to the model directly
+    for at in range(0, 400_000, 50_000):
+        encoder.encode([" ".join(f"{i:x}" for i in range(at, at + 50_000))])
+    assert len(encoder.known) <= 350_000
+
+
 def test_wavelet_matrix():
     ids = np.random.default_rng(1).integers(0, 49408, 3000).astype(np.uint16)
     ids[::7] = 5
