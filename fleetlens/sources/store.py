@@ -69,15 +69,26 @@ class EvidenceStore:
 
 
 PARTS = ("signals", "manifest", "technologies", "hits", "entry")
+IMPORTS = ("py_imports", "js_imports")
+
+
+def serves(held: tuple[str, ...], parts: tuple[str, ...]) -> bool:
+    """Whether a store of the parts ``held`` has all that one of ``parts`` has; the signals hold the imports."""
+    return set(parts) <= {*held, *(["imports"] if "signals" in held else [])}
 
 
 def evidence_rows(files: DataFrame, parts: tuple[str, ...] = PARTS) -> DataFrame:
-    """One row per file with every kind of evidence in nested columns, or the chosen ``parts``: a projection of one scan."""
-    wanted, label, items = signal_items(tuple(EXTRACTORS))
+    """One row per file with every kind of evidence in nested columns, or the chosen ``parts``: a projection of one scan.
+
+    The part ``imports`` is the column ``signals`` with imports alone, for queries that read no other signal.
+    """
+    label = signal_items(tuple(EXTRACTORS))[1]
     path = F.col("path")
     # Signals and manifests are read once; where both are held, the technologies of imports and dependencies follow from them.
     read = files
-    if "signals" in parts:
+    if "signals" in parts or "imports" in parts:
+        wanted, _, items = signal_items(tuple(EXTRACTORS) if "signals" in parts else IMPORTS)
+        parts = ("signals", *parts)
         read = read.withColumn("signals", F.when(wanted & F.col("text"), items))
     if "manifest" in parts:
         read = read.withColumn("manifest", F.when(is_manifest(F.col("name"), path), manifest_item()))

@@ -76,3 +76,26 @@ def test_files_are_spread_by_weight(spark, corpus_of):
     for r in rows:
         sizes[r.p] = sizes.get(r.p, 0) + len(contents["r", r.path]) + 256
     assert len(sizes) >= 15 and max(sizes.values()) < 3 * 256 * 1024
+
+
+def test_kinds_of_names_are_worked_out_once(spark, corpus_of, tmp_path):
+    """The longest name of each kind is stored beside the units, whose texts are laid out before any join."""
+    contents = {("r", "used.py"): "", ("r", "my-part.js"): "see used", ("s", "a b.md"): "my-part", ("s", ".py"): ""}
+    index = land_mentions(corpus_of(contents), str(tmp_path))
+    assert sorted(map(tuple, index.table("kinds").collect())) == [("r", "chunk", 7), ("r", "word", 4), ("s", "chunk", 3), ("s", "line", 3)]
+
+
+def test_one_pattern_for_paths_means_each_of_them(spark):
+    """Patterns that share the beginning of a folder or name say of every path what they say one by one."""
+    import random
+
+    from fleetlens import dims
+    from fleetlens.functions.text import rx
+
+    rng = random.Random(3)
+    parts = ["vendor", "plugins", "plugin", "lib", "external", "x", "README", "README.md", "LICENSE", ".github", ".env", "tests", "a.min.js", "Dockerfile", "vite.config.ts", "setup.py", "notvendor", "platforms", "android", "DIST", "\n"]
+    rows = spark.createDataFrame([("/".join(rng.choices(parts, k=rng.randint(1, 5))) + rng.choice(["", "", "/"]),) for _ in range(4000)], "path string")
+    for patterns in (dims.EXCLUDED_PATH_PATTERNS, dims.THIRD_PARTY_PATTERNS, dims.PROTECTED_PATHS, (r"\.x$",), (r"(^|/)a",)):
+        assert paths.any_of(patterns).count("(^|/)") <= 1
+        other = F.col("path").rlike(rx("|".join(patterns), "i")) != F.col("path").rlike(rx(paths.any_of(patterns), "i"))
+        assert rows.where(other).isEmpty()

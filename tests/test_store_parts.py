@@ -62,3 +62,19 @@ def test_queries_land_the_parts_they_read(spark, tables):
     assert {name: rows_of(queries.runner(name)(spark, tables)) for name in names} == narrow and list(held) == [store.PARTS]
     assert all(narrow.values())
     assert set(queries.PARTS_OF) <= queries.FROM_STORE
+
+
+def test_search_for_names_lands_imports_and_entries_alone(spark, corpus_of, tables, tmp_path):
+    """``orphan_by_mention`` extracts no other signal, technology or keyword; the suspects are those of the whole store."""
+    landed = store.land(corpus_of(CORPUS), str(tmp_path / "narrow"), ("imports", "entry"))
+    whole = store.land(corpus_of(CORPUS), str(tmp_path / "whole"))
+    assert set(store.PARTS) & set(landed.rows.columns) == {"signals", "entry"}
+    assert rows_of(landed.signals()) == rows_of(whole.signals(*store.IMPORTS)) and rows_of(landed.scan()) == rows_of(whole.scan())
+
+    held = queries._STORES.setdefault((spark.sparkContext.applicationId, tables), {})
+    held.clear()
+    narrow = rows_of(queries.runner("orphan_by_mention")(spark, tables))
+    assert narrow and list(held) == [("imports", "entry")]
+    held.clear()
+    assert queries.StoredInputs(spark, tables).evidence and rows_of(queries.runner("orphan_by_mention")(spark, tables)) == narrow
+    assert list(held) == [store.PARTS]
