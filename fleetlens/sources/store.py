@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions import paths
@@ -19,7 +19,7 @@ from fleetlens.operators.extract import EXTRACTORS, LANGUAGES_OF, signal_items
 from fleetlens.operators.manifests import is_manifest, manifest_item
 from fleetlens.operators.provenance import capability_items, capability_scope, technology_items
 from fleetlens.sources.buckets import BUCKETS, BucketTable
-from fleetlens.sources.corpus import spread
+from fleetlens.sources.corpus import spread, task_count
 
 KIND_OF = {
     "py_imports": "import", "py_functions": "function", "py_classes": "class", "py_routes": "route",
@@ -77,11 +77,15 @@ def serves(held: tuple[str, ...], parts: tuple[str, ...]) -> bool:
     return set(parts) <= {*held, *(["imports"] if "signals" in held else [])}
 
 
-def evidence_rows(files: DataFrame, parts: tuple[str, ...] = PARTS) -> DataFrame:
+def evidence_rows(files: DataFrame, parts: tuple[str, ...] = PARTS, held: str | None = None) -> DataFrame:
     """One row per file with every kind of evidence in nested columns, or the chosen ``parts``: a projection of one scan.
 
-    The part ``imports`` is the column ``signals`` with imports alone, for queries that read no other signal.
+    The part ``imports`` is the column ``signals`` with imports alone, for queries that read no other signal. ``held`` names a column
+    with the parts as extracted before, null for a file that is to be read.
     """
+    def kept(part: str, made: Column) -> Column:
+        return F.when(F.col(held).isNotNull(), F.col(held)[part]).otherwise(made) if held else made
+
     label = signal_items(tuple(EXTRACTORS))[1]
     path = F.col("path")
     # Signals and manifests are read once; where both are held, the technologies of imports and dependencies follow from them.
@@ -89,19 +93,20 @@ def evidence_rows(files: DataFrame, parts: tuple[str, ...] = PARTS) -> DataFrame
     if "signals" in parts or "imports" in parts:
         wanted, _, items = signal_items(tuple(EXTRACTORS) if "signals" in parts else IMPORTS)
         parts = ("signals", *parts)
-        read = read.withColumn("signals", F.when(wanted & F.col("text"), items))
+        read = read.withColumn("signals", kept("signals", F.when(wanted & F.col("text"), items)))
     if "manifest" in parts:
-        read = read.withColumn("manifest", F.when(is_manifest(F.col("name"), path), manifest_item()))
+        read = read.withColumn("manifest", kept("manifest", F.when(is_manifest(F.col("name"), path), manifest_item())))
     technologies = technology_items(
         dependencies="manifest.dependencies" if "manifest" in parts else None, signals="signals" if "signals" in parts else None)
     made = {
-        "signals": F.col("signals"), "manifest": F.col("manifest"), "technologies": technologies,
-        "hits": F.when(capability_scope(), capability_items()),
+        "signals": F.col("signals"), "manifest": F.col("manifest"), "technologies": kept("technologies", technologies),
+        "hits": kept("hits", F.when(capability_scope(), capability_items())),
     }
-    entry = F.when(F.col("text"), paths.entry_point(F.col("content"))).alias("entry")
-    return read.withColumn("_folded", fold(F.col("content"))).select(
+    entry = kept("entry", F.when(F.col("text"), paths.entry_point(F.col("content")))).alias("entry")
+    folded = fold(F.col("content"))
+    return read.withColumn("_folded", F.when(F.col(held).isNull(), folded) if held else folded).select(
         "repo", "path", "third_party", paths.depth_of(path).alias("depth"), label.alias("lang"), *[c.alias(p) for p, c in made.items() if p in parts],
-        "name", "ext", "size", "text", "important", *([entry] if "entry" in parts else []), "language",
+        "name", "ext", "size", "text", "important", *([entry] if "entry" in parts else []), *[k for k in KEYS if k in files.columns], "language",
     )
 
 
@@ -112,6 +117,30 @@ def land(files: DataFrame, folder: str, parts: tuple[str, ...] = PARTS) -> Evide
     return EvidenceStore(files.sparkSession, folder, rows.schema)
 
 
+KEYS = ("key0", "key1")
+
+
+def keyed(files: DataFrame) -> DataFrame:
+    """The files with two 64-bit hashes of all their columns, the text included: equal for files that give equal evidence."""
+    columns = [F.col(c) for c in sorted(files.columns)]
+    return files.withColumns({k: F.xxhash64(F.lit(n), *[c.isNull() for c in columns], *columns) for n, k in enumerate(KEYS)})
+
+
+def land_again(files: DataFrame, folder: str, earlier: EvidenceStore | None = None) -> EvidenceStore:
+    """A whole store of ``files`` with their keys: rows of the ``earlier`` one serve the files it holds unchanged, all others are extracted.
+
+    Files meet their earlier rows by key in one shuffle of each, in as many tasks as their characters take. Equal files have equal rows,
+    so of those that come twice in the earlier store one serves. ``earlier`` must be a store that this function landed.
+    """
+    if earlier is None:
+        return land(keyed(files), folder)
+    tasks = task_count(files)
+    then = earlier.rows.select(*KEYS, F.struct(*PARTS).alias("_held")).repartition(tasks, *KEYS).dropDuplicates([*KEYS])
+    rows = evidence_rows(keyed(files).repartition(tasks, *KEYS).join(then, [*KEYS], "left"), held="_held")
+    rows.write.mode("overwrite").parquet(folder)
+    return EvidenceStore(files.sparkSession, folder, rows.schema)
+
+
 def land_changed(files: DataFrame, folder: str, buckets: int = BUCKETS) -> tuple[EvidenceStore, list[int]]:
     """The store brought up to ``files``: only buckets of repositories with changed files are extracted and rewritten.
 

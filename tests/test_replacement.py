@@ -126,3 +126,47 @@ def test_file_that_arrives_twice_is_reported_once(spark, tmp_path):
             query.awaitTermination()
         got = spark.read.parquet(str(folder / "out")).select(*columns).collect()
         assert sorted(tuple(r) for r in got) == expected
+
+
+def test_unchanged_files_keep_their_evidence(spark, corpus_of, tmp_path):
+    """Only files that changed are read again; files that come twice, without a text, or went away give the rows of a whole landing."""
+    old = {("a", "app.py"): "import flask\n@app.get('/p')\ndef f(): pass", ("a", "same.js"): "import x from 'react'\nfetch('/q')", ("b", "package.json"): '{"dependencies": {"vue": "1"}}',
+           ("b", "twin.py"): "import numpy", ("c", "gone.md"): "login", ("c", "moved.py"): "import os"}
+    new = {k: v for k, v in old.items() if k not in (("c", "gone.md"), ("c", "moved.py"))}
+    new |= {("a", "app.py"): "import django\nif __name__ == '__main__':\n  pass", ("d", "moved.py"): "import os", ("d", "new.sql"): "select * from t"}
+
+    def odd(files):
+        unread = files.where("path = 'same.js'").withColumn("content", F.lit(None).cast("string"))
+        return files.unionByName(files.where("path = 'twin.py'")).unionByName(unread).unionByName(files.where("path = 'twin.py'").withColumn("content", F.lit("import pandas")))
+
+    def rows(landed):
+        parts = ("repo", "path", "language", "depth", "lang", "third_party", "size", *store.PARTS, *store.KEYS)
+        return sorted(str([r[c] for c in parts]) for r in landed.rows.collect())
+
+    before, now = odd(corpus_of(old)), odd(corpus_of(new))
+    first = store.land_again(before, str(tmp_path / "first"))
+    whole = rows(store.land_again(now, str(tmp_path / "whole")))
+    assert rows(store.land_again(now, str(tmp_path / "again"), first)) == whole and len(whole) == now.count()
+    # A mark in the earlier store shows which rows came from there.
+    first.rows.withColumn("entry", F.lit(True)).write.parquet(str(tmp_path / "marked"))
+    marked = store.land_again(now, str(tmp_path / "kept"), store.EvidenceStore(spark, str(tmp_path / "marked"), first.schema))
+    kept = marked.rows.where("entry and path <> 'app.py'").select("repo", "path").collect()
+    assert sorted(map(tuple, kept)) == [("a", "same.js"), ("a", "same.js"), ("b", "package.json"), ("b", "twin.py"), ("b", "twin.py"), ("b", "twin.py")]
+    assert [r.s.value for r in marked.rows.where("path = 'app.py'").selectExpr("explode(signals) AS s").collect()] == ["django"]
+    # The files of an empty run, and a run from an empty store.
+    none = store.land_again(now.where("false"), str(tmp_path / "none"), first)
+    assert rows(none) == [] and rows(store.land_again(now, str(tmp_path / "anew"), none)) == whole
+
+
+def test_evidence_replaced_reads_unchanged_files_once(spark, tmp_path, monkeypatch):
+    """The second run of the query is handed the store of the first one."""
+    from fleetlens.plans import queries
+
+    spark.range(480).selectExpr("id AS o_orderkey", "id % 70 AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    earlier, land_again = [], store.land_again
+    monkeypatch.setattr(store, "land_again", lambda files, folder, held=None: earlier.append(held) or land_again(files, folder, held))
+    found = queries.runner("evidence_replaced")(spark, str(tmp_path))
+    assert earlier[0] is None and earlier[1] is not None and len(earlier) == 2
+    records = queries.runner("evidence_sink")(spark, str(tmp_path))
+    columns = ["repo", "section", "name", "detail", "file", "line"]
+    assert sorted(map(str, found.select(columns).collect())) == sorted(map(str, records.select(columns).collect()))
